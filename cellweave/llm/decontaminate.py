@@ -188,8 +188,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
             F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop")))),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    joined = meta.join(spans.select("digest", merged.alias("spans"), "items"), "digest", "left")
-    return joined.select("doc_id", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    none = F.array().cast("array<struct<start:int,stop:int>>"), F.array().cast("array<string>")
+    # rows without candidates don't join: their null keys would all meet in one task
+    clear = meta.where(F.col("digest").isNull()).select("doc_id", "n_words", none[0].alias("spans"), none[1].alias("items"))
+    joined = meta.where(F.col("digest").isNotNull()).join(spans.select("digest", merged.alias("spans"), "items"), "digest", "left")
+    return clear.unionByName(joined.select("doc_id", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items")))
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
