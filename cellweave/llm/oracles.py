@@ -25,4 +25,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLES: dict[str, str] = {"op4_decontaminate": OP4}
+OP9 = """
+WITH t AS (
+  SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, role, text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+j AS (
+  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.n, r.n) AS n,
+    c.n IS NOT NULL AND r.n IS NOT NULL AND c.role IS NOT DISTINCT FROM r.role AND c.text IS NOT DISTINCT FROM r.text AS same
+  FROM (SELECT * FROM t WHERE side = 0) c FULL JOIN (SELECT * FROM t WHERE side = 1) r ON c.pair_id = r.pair_id AND c.n = r.n
+),
+k AS (SELECT pair_id, coalesce(min(n) FILTER (NOT same), max(n) + 1) - 1 AS n_prefix FROM j GROUP BY pair_id),
+x AS (
+  SELECT t.pair_id, side, n, n_prefix, role, n <= n_prefix AS common,
+    '<|' || coalesce(role, 'unknown') || '|>' || chr(10) AS head, replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS body
+  FROM t JOIN k ON t.pair_id = k.pair_id
+),
+y AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY pair_id, side, common ORDER BY n) AS last FROM x)
+SELECT pair_id, CAST(any_value(n_prefix) AS BIGINT) AS n_prefix,
+  coalesce(string_agg(head || body, '' ORDER BY n) FILTER (common AND side = 0), '') AS prompt,
+  coalesce(string_agg(head || body, '' ORDER BY n) FILTER (NOT common AND side = 0), '') AS chosen,
+  coalesce(string_agg((last - length(body)) || '-' || last, ',' ORDER BY n) FILTER (NOT common AND side = 0 AND role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg(head || body, '' ORDER BY n) FILTER (NOT common AND side = 1), '') AS rejected,
+  coalesce(string_agg((last - length(body)) || '-' || last, ',' ORDER BY n) FILTER (NOT common AND side = 1 AND role = 'assistant'), '') AS rejected_spans
+FROM y GROUP BY pair_id
+"""
+
+ORACLES: dict[str, str] = {"op9_preference": OP9, "op4_decontaminate": OP4}

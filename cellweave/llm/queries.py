@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, neighbours, pieces, sharding, toxicity
+from . import decontaminate, language, neighbours, pieces, preference, sharding, toxicity, wrapper
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,4 +65,15 @@ def op7_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"), query_every=20, k=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_profiles, op2_factorization, op3_virtual_slots, op4_decontaminate, op5_pieces, op7_additive)}
+def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = preference.neighbours_paired(_table(spark, sf_dir, "conversations"))
+    listed = {c: F.array_join(F.transform(c, lambda s: F.concat(s["first"].cast("string"), F.lit("-"), s["last"].cast("string"))), ",") for c in ("chosen_spans", "rejected_spans")}
+    return rows.select("pair_id", F.col("n_prefix").cast("long").alias("n_prefix"), "prompt", "chosen", listed["chosen_spans"].alias("chosen_spans"), "rejected", listed["rejected_spans"].alias("rejected_spans"))
+
+
+def op10_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = wrapper.extract(_table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_profiles, op2_factorization, op3_virtual_slots, op4_decontaminate, op5_pieces, op7_additive, op9_preference, op10_wrapper)}
