@@ -78,6 +78,12 @@ class _Powers:
 _POWERS: dict[int, _Powers] = {}
 
 
+def powers(seed: int) -> _Powers:
+    if seed not in _POWERS:
+        _POWERS[seed] = _Powers(seed)
+    return _POWERS[seed]
+
+
 def words(data: np.ndarray, offsets: np.ndarray, kind: ByteClass) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start byte, end byte, row) of each word; offsets bound the rows inside data."""
     lo, hi = int(offsets[0]), int(offsets[-1])
@@ -103,11 +109,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, kind: B
     """A 64-bit hash of each word's folded bytes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    powers = _POWERS.setdefault(seed, _Powers(seed))
+    own = powers(seed)
     lo, hi = int(starts[0]), int(stops[-1])
-    up, down = powers.grown(hi - lo + 1)
+    up, down = own.grown(hi - lo + 1)
     sums = np.zeros(hi - lo + 1, np.uint64)
-    np.cumsum(powers.table[kind.fold[data[lo:hi]]] * up[: hi - lo], out=sums[1:])
+    np.cumsum(own.table[kind.fold[data[lo:hi]]] * up[: hi - lo], out=sums[1:])
     a, b = starts - lo, stops - lo
     return _mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 

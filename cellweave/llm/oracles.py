@@ -25,6 +25,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
 """
 
+OP6 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, doc_id, k, array_to_string(w[k : k + 12], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13)),
+m AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT r, unnest(range(k, k + 13)) AS p FROM g JOIN m ON g.g = m.g WHERE doc_id > first),
+words AS (SELECT r, p, w[p] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+kept AS (SELECT words.r, count(gone.r) AS n_removed, string_agg(word, ' ' ORDER BY words.p) FILTER (gone.r IS NULL) AS t FROM words LEFT JOIN gone ON words.r = gone.r AND words.p = gone.p GROUP BY words.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+OP8 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_FOLD.format("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT r, array_to_string(w[k : k + least(5, len(w)) - 1], ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS k FROM d WHERE len(w) > 0)
+),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+e AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT r, r FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (r) JOIN (SELECT reach.a AS r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a) c USING (r)
+"""
+
 OP9 = """
 WITH t AS (
   SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, role, text,
@@ -52,4 +77,4 @@ SELECT pair_id, CAST(any_value(n_prefix) AS BIGINT) AS n_prefix,
 FROM y GROUP BY pair_id
 """
 
-ORACLES: dict[str, str] = {"op9_preference": OP9, "op4_decontaminate": OP4}
+ORACLES: dict[str, str] = {"op6_debruijn": OP6, "op8_metric_join": OP8, "op9_preference": OP9, "op4_decontaminate": OP4}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, neighbours, pieces, preference, sharding, toxicity, wrapper
+from . import decontaminate, jaccard, language, neighbours, pieces, preference, sharding, substrings, toxicity, wrapper
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,10 +61,18 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_spans(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"), query_every=20, k=20)
 
 
+def op8_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = preference.neighbours_paired(_table(spark, sf_dir, "conversations"))
     listed = {c: F.array_join(F.transform(c, lambda s: F.concat(s["first"].cast("string"), F.lit("-"), s["last"].cast("string"))), ",") for c in ("chosen_spans", "rejected_spans")}
@@ -76,4 +84,4 @@ def op10_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_profiles, op2_factorization, op3_virtual_slots, op4_decontaminate, op5_pieces, op7_additive, op9_preference, op10_wrapper)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_profiles, op2_factorization, op3_virtual_slots, op4_decontaminate, op5_pieces, op6_debruijn, op7_additive, op8_metric_join, op9_preference, op10_wrapper)}
