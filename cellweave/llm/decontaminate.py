@@ -107,7 +107,7 @@ def _runs(documents: DataFrame, tables: dict[int, tuple[np.ndarray, int]]) -> Da
                             i, end = int(p[a]), int(p[b - 1]) + s
                             row = int(rows[i])
                             runs[lo + row].append({"first": i - int(first[row]), "words": words_of(data, starts[i:end], stops[i:end]), "shingles": W.signed(found[a:b])})
-            digests = [hashlib.blake2b(data[offsets[i] : offsets[i + 1]].tobytes(), digest_size=16).digest() if r else None for i, r in enumerate(runs)]
+            digests = [hashlib.sha256(data[offsets[i] : offsets[i + 1]].tobytes()).digest() if r else None for i, r in enumerate(runs)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words), pa.array(digests, pa.binary()), pa.array(runs, _RUN_ARROW)], schema=_PER_DOC_ARROW)
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, _PER_DOC)
@@ -169,7 +169,7 @@ def _digested(documents: DataFrame) -> DataFrame:
             n_words = np.zeros(batch.num_rows, np.int64)
             for lo, hi in R.chunks(offsets):
                 n_words[lo:hi] = np.bincount(W.words(data, offsets[lo : hi + 1], W.ALNUM_LOWER)[2], minlength=hi - lo)
-            digests = [hashlib.blake2b(data[offsets[i] : offsets[i + 1]].tobytes(), digest_size=16).digest() for i in range(batch.num_rows)]
+            digests = [hashlib.sha256(data[offsets[i] : offsets[i + 1]].tobytes()).digest() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words), pa.array(digests, pa.binary())], names=["doc_id", "n_words", "digest"])
 
     return documents.mapInArrow(scan, "doc_id long, n_words long, digest binary")
@@ -195,17 +195,12 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     return clear.unionByName(joined.select("doc_id", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items")))
 
 
-def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a hit, with all their columns; a null doc_id is kept when its text is clean."""
+def clean(documents: DataFrame, benchmark: DataFrame, max_broadcast: int = 500_000) -> DataFrame:
+    """The documents without a hit, with all their columns.  The digests of texts with hits are
+    broadcast up to max_broadcast of them (32 bytes each) and joined beyond."""
     _, found = find_hits(documents, benchmark)
-    R.prepare(documents.sparkSession)
-    bad = found.select(F.col("digest").alias("__digest")).distinct()
-    return documents.withColumn("__digest", F.unhex(_blake(F.col("text").cast("string")))).join(bad, "__digest", "left_anti").drop("__digest")
-
-
-def _blake(text: F.Column) -> F.Column:
-    @F.pandas_udf("string")
-    def digest(s):  # noqa: ANN001, ANN202
-        return s.map(lambda x: hashlib.blake2b((x or "").encode(), digest_size=16).hexdigest())
-
-    return digest(text)
+    bad = R.written(found.select(F.col("digest").alias("__bad")).distinct(), "bad-texts")
+    if bad.count() <= max_broadcast:
+        bad = F.broadcast(bad)
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
+    return documents.withColumn("__digest", digest).join(bad, F.col("__digest") == F.col("__bad"), "left_anti").drop("__digest")

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _runtime as R
@@ -374,3 +374,19 @@ def join(documents: DataFrame, words: int = WORDS, percent: int = 75) -> DataFra
     some = rows.where("n > 0").join(by_class, F.col("cls") == F.col("__cls")).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
     none = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return some.unionByName(none)
+
+
+def representatives(documents: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
+    """The rows of each component's least id, one of several with that id; rows without shingles
+    or without an id all stay.  Columns stay as they are."""
+    least = join(documents, words, percent).where(F.col("n_shingles") > 0).groupBy(F.col("doc_id").alias("__doc")).agg(F.min("component_id").alias("__least"))
+    gone = least.where(F.col("__least") < F.col("__doc")).select("__doc")
+    left = documents.join(gone, documents["doc_id"].cast("long") == gone["__doc"], "left_anti")
+    repeated = R.written(least.where(F.col("__least") == F.col("__doc")).select("__doc").join(documents.groupBy(F.col("doc_id").cast("long").alias("__doc")).count().where("count > 1").select("__doc"), "__doc"), "repeated")
+    if repeated.isEmpty():
+        return left
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").isNull(), F.length("text").desc(), "text"))
+    apart = left.join(repeated, left["doc_id"].cast("long") == repeated["__doc"], "left")
+    single = apart.where(F.col("__doc").isNull())
+    first = apart.where(F.col("__doc").isNotNull()).withColumn("__order", order).where((F.col("__order") == 1) | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("__order")
+    return single.unionByName(first).drop("__doc")
