@@ -7,7 +7,9 @@ shingles.  A document's region is that of its first shingle in one order of all
 it is replicated into the regions that a document within the radius could have for its own:
 those of its first n - ceil(t n) + 1 shingles.  Two linked documents meet in the region of the
 first shingle they share.  Frequent shingles, counted over all documents, come last in the
-order, so regions stay small unless their documents are alike.
+order, so regions stay small unless their documents are alike.  Linked documents share not one
+but a number of replicated shingles that follows from their sizes, so pairs that meet in fewer
+regions part before their sets are compared.
 
 Inside a region the pivots are documents.  A region of few documents compares all; a larger
 one compares its documents with a pivot.  Those within the radius are linked to it.  The rest,
@@ -71,7 +73,7 @@ def _distinct_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[n
     return row[first], s[first]
 
 
-def frequent(documents: DataFrame, words: int = WORDS, least: int = 16, at_most: int = 1 << 20) -> DataFrame:
+def frequent(documents: DataFrame, words: int = WORDS, least: int = _SMALL, at_most: int = 1 << 21) -> DataFrame:
     """(shingle >> 24, count) of shingles in ``least`` documents or more, over all documents.
 
     Blocks send their sorted, difference-coded hashes, about 3 bytes for each shingle.  The
@@ -154,27 +156,29 @@ def _all_pairs(group: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _met(key: np.ndarray, x: np.ndarray, n: np.ndarray, percent: int, small: int) -> Iterator[tuple[str, tuple]]:
-    """What the members of regions (sorted by key and x, distinct) give: pairs, large members, pivots."""
+def _met(key: np.ndarray, x: np.ndarray, n: np.ndarray, flagged: np.ndarray, percent: int, small: int) -> tuple[tuple, np.ndarray]:
+    """What the members of regions (sorted by key and x, distinct) give: pairs (x, n, y, m), and which
+    members are in large regions.  A region that a block found large is large."""
     group = _groups(key)
     sizes = np.diff(np.r_[group, len(key)])
-    few = (sizes > 1) & (sizes <= small)
+    marked = np.maximum.reduceat(flagged, group) > 0
+    few = (sizes > 1) & (sizes <= small) & ~marked
     i, j = _all_pairs(group[few], sizes[few])
-    many = np.repeat(sizes > small, sizes)
+    many = np.repeat((sizes > small) | (marked & (sizes > 1)), sizes)
     pivot = np.repeat(group, sizes)
-    yield "large", (key[many], x[many], n[many])
     rest = np.flatnonzero(many & (pivot != np.arange(len(key))))
     i, j = np.r_[i, pivot[rest]], np.r_[j, rest]
     ok = _near_sizes(n[i], n[j], percent)
     i, j = i[ok], j[ok]
-    yield "pairs", (x[i], n[i], x[j], n[j])
-    yield "heads", (group, sizes)
+    return (x[i], n[i], x[j], n[j]), many
 
 
-def _distinct_pairs(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, ...]:
+def _counted_pairs(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+    """Each pair once; its key is the number of regions where it met."""
     order = np.lexsort((y, x))
-    first = order[_groups(x[order], y[order])]
-    return x[first], n[first], y[first], m[first]
+    group = _groups(x[order], y[order])
+    first = order[group]
+    return _rows(_PAIR, np.diff(np.r_[group, len(order)]), x[first], n[first], y[first], m[first])
 
 
 def regions(documents: DataFrame, hot: tuple[np.ndarray, np.ndarray], words: int = WORDS, percent: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -192,15 +196,13 @@ def regions(documents: DataFrame, hot: tuple[np.ndarray, np.ndarray], words: int
         sizes = np.diff(np.r_[group, len(key)])
         many = np.repeat(sizes > _BLOCK_SMALL, sizes)
         sent = ~many
-        sent[group] = True  # of a larger group, the pivot
-        yield _rows(_MEMBER, key[sent], x[sent], n[sent])
+        sent[group] = True  # of a larger group, the pivot, marked
+        yield _rows(_MEMBER, key[sent], x[sent], n[sent], m=many[sent].astype(np.int64))
         if many.any():
-            for what, got in _met(key[many], x[many], n[many], percent, _BLOCK_SMALL):
-                if what == "pairs":
-                    a, b, c, d = _distinct_pairs(*got)
-                    yield _rows(_PAIR, a ^ c, a, b, c, d)
-                elif what == "large":
-                    yield _rows(_LARGE, got[1] ^ got[0], got[1], got[2], got[0])
+            key, x, n = key[many], x[many], n[many]
+            got, large = _met(key, x, n, np.ones(len(key), np.int64), percent, _BLOCK_SMALL)
+            yield _counted_pairs(*got)
+            yield _rows(_LARGE, key[large], x[large], n[large], key[large])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, counts = shared.value
@@ -249,19 +251,18 @@ def regions(documents: DataFrame, hot: tuple[np.ndarray, np.ndarray], words: int
             member = kind == _MEMBER
             if not member.all():
                 yield from table.filter(pa.array(~member)).to_batches()
-            key, x, n = (table.column(c).to_numpy()[member] for c in ("key", "x", "n"))
+            key, x, n, marked = (table.column(c).to_numpy()[member] for c in ("key", "x", "n", "m"))
             if not len(key):
                 continue
-            order = np.lexsort((x, key))
-            key, x, n = key[order], x[order], n[order]
+            order = np.lexsort((-marked, x, key))
+            key, x, n, marked = key[order], x[order], n[order], marked[order]
             first = _groups(key, x)
-            key, x, n = key[first], x[first], n[first]
-            for what, got in _met(key, x, n, percent, _SMALL):
-                if what == "pairs" and len(got[0]):
-                    a, b, c, d = _distinct_pairs(*got)
-                    yield _rows(_PAIR, a ^ c, a, b, c, d)
-                elif what == "large" and len(got[0]):
-                    yield _rows(_LARGE, got[0], got[1], got[2], got[0])
+            key, x, n, marked = key[first], x[first], n[first], marked[first]
+            got, large = _met(key, x, n, marked, percent, _SMALL)
+            if len(got[0]):
+                yield _counted_pairs(*got)
+            if large.any():
+                yield _rows(_LARGE, key[large], x[large], n[large], key[large])
 
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = source.mapInArrow(scan, _ROW_SQL)
@@ -312,15 +313,15 @@ def linked(documents: DataFrame, words: int = WORDS, percent: int = 75) -> tuple
     """(doc_id, n, cls) of every row, and the links found between classes (x, y)."""
     spark = R.prepare(documents.sparkSession)
     top = frequent(documents, words).toPandas()
-    cuts, counts = top["cut"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
+    cuts, counts = top["cut"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int32)
     order = np.argsort(cuts)
     rows, gathered = regions(documents, (cuts[order], counts[order]), words, percent)
     classes = R.written(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "classes")
-    pairs = R.written(gathered.where(f"kind = {_PAIR}").select("x", "n", "y", "m").distinct(), "pairs")
-    measured = R.written(_verified(pairs, classes, documents, words), "distances")
+    large = R.written(gathered.where(f"kind = {_LARGE}").select(F.col("y").alias("region"), "x", "n").distinct(), "large")
+    crowded = R.written(large.groupBy("x").agg(F.count("*").alias("regions")), "crowded")
+    met = R.written(gathered.where(f"kind = {_PAIR}").groupBy("x", "n", "y", "m").agg(F.sum("key").alias("met")), "pairs")
+    measured = R.written(_verified(_enough(met, crowded, percent), classes, documents, words), "distances")
     near = F.col("both") * 100 >= (F.col("n") + F.col("m") - F.col("both")) * percent
-    large = gathered.where(f"kind = {_LARGE}").select(F.col("y").alias("region"), "x", "n").distinct()
-    large = R.written(large, "large")
     pivots = 1
     while not large.isEmpty():
         roots = components(measured.where(near).select(F.col("x").alias("a"), F.col("y").alias("b")))
@@ -332,11 +333,12 @@ def linked(documents: DataFrame, words: int = WORDS, percent: int = 75) -> tuple
             break
         pivots *= 2
         chosen = _least(large, pivots)
-        met = large.alias("l").join(chosen.alias("p"), (F.col("l.region") == F.col("p.region")) & (F.col("l.x") != F.col("p.x")) & (F.col("l.root") != F.col("p.root")))
+        pair = large.alias("l").join(chosen.alias("p"), (F.col("l.region") == F.col("p.region")) & (F.col("l.x") != F.col("p.x")) & (F.col("l.root") != F.col("p.root")))
         sizes = F.least("l.n", "p.n") * 100 >= F.greatest("l.n", "p.n") * percent
-        asked = met.where(sizes).select(F.least("l.x", "p.x").alias("x"), F.when(F.col("l.x") < F.col("p.x"), F.col("l.n")).otherwise(F.col("p.n")).alias("n"), F.greatest("l.x", "p.x").alias("y"), F.when(F.col("l.x") < F.col("p.x"), F.col("p.n")).otherwise(F.col("l.n")).alias("m")).distinct()
-        asked = asked.join(measured.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
-        asked = R.written(_in_window(asked, measured, percent), "pairs")
+        first = F.col("l.x") < F.col("p.x")
+        asked = pair.where(sizes).select(F.least("l.x", "p.x").alias("x"), F.when(first, F.col("l.n")).otherwise(F.col("p.n")).alias("n"), F.greatest("l.x", "p.x").alias("y"), F.when(first, F.col("p.n")).otherwise(F.col("l.n")).alias("m")).distinct()
+        asked = asked.join(measured.select("x", "y"), ["x", "y"], "left_anti").join(met.select("x", "y", "met"), ["x", "y"], "left").select("x", "n", "y", "m", F.coalesce("met", F.lit(0)).alias("met"))
+        asked = R.written(_in_window(_enough(asked, crowded, percent), measured, percent), "pairs")
         if not asked.isEmpty():
             measured = R.written(measured.unionByName(_verified(asked, classes, documents, words)), "distances")
         # pivots have met everything in their regions that could be near
@@ -344,6 +346,19 @@ def linked(documents: DataFrame, words: int = WORDS, percent: int = 75) -> tuple
     return rows, measured.where(near).select("x", "y")
 
 
+def _enough(met: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
+    """Pairs that met often enough.  Of linked sets of n >= m shingles at least a = ceil(t (n + m) / (1 + t))
+    are shared, and no more than ceil(t n) - 1 of them can lie past n's replicated shingles, so they
+    meet in a - ceil(t n) + 1 regions or more.  Large regions may not have shown them to one another:
+    as many as the document in fewer of those is in count as met."""
+    share = F.expr(f"({percent}L * (n + m) + {99 + percent}) div {100 + percent}")
+    need = share - F.expr(f"({percent}L * greatest(n, m) + 99) div 100") + 1
+    a = crowded.select("x", F.col("regions").alias("__a"))
+    b = crowded.select(F.col("x").alias("y"), F.col("regions").alias("__b"))
+    both = met.join(a, "x", "left").join(b, "y", "left")
+    return both.where(F.col("met") + F.least(F.coalesce("__a", F.lit(0)), F.coalesce("__b", F.lit(0))) >= need).select("x", "n", "y", "m")
+
+
 def _least(large: DataFrame, k: int) -> DataFrame:
     """The k first documents of each region, combined before the shuffle: k at most from each group of rows."""
     part = large.groupBy("region", F.pmod(F.xxhash64("x"), F.lit(64)).alias("part")).agg(F.slice(F.sort_array(F.collect_set(F.struct("x", "n", "root"))), 1, k).alias("some"))

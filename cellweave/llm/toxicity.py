@@ -162,22 +162,24 @@ def learn(documents: DataFrame, labels: DataFrame, max_train: int = 16_000, max_
     return Machine(index, w0, w, v)
 
 
-def score(documents: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with score, the model's probability of label 1."""
+def score(documents: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The kept columns with the model's probability of label 1 under ``name``."""
     spark = R.prepare(documents.sparkSession)
     shared = spark.sparkContext.broadcast(machine)
-    source = documents.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = "text" in keep
+    source = documents.select(*keep) if own else documents.select(*keep, text.alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = R.text_buffers(batch.column(len(keep)))
+            data, offsets = R.text_buffers(batch.column("text" if own else len(keep)))
             scores = np.zeros(batch.num_rows)
             for lo, hi in R.chunks(offsets, R.CHUNK_BYTES // 2):
                 rows, buckets = terms(data, offsets[lo : hi + 1])
                 scores[lo:hi] = 1 / (1 + np.exp(-np.clip(shared.value.logits(rows, buckets, hi - lo), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores)], names=[*keep, name])
 
-    return source.mapInArrow(run, source.select(*keep).schema.add("score", "double"))
+    return source.mapInArrow(run, source.select(*keep).schema.add(name, "double"))
 
 
 def keep_clean(documents: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:
@@ -185,7 +187,4 @@ def keep_clean(documents: DataFrame, machine: Machine, threshold: float = 0.7) -
     name = "__score"
     while name in documents.columns:
         name += "_"
-    scored = score(documents, machine, tuple(documents.columns)).withColumnRenamed("score", name) if "score" not in documents.columns else None
-    if scored is None:
-        raise ValueError("the documents have a column named score")
-    return scored.where(F.col(name) < threshold).drop(name)
+    return score(documents, machine, tuple(documents.columns), name).where(F.col(name) < threshold).drop(name)
