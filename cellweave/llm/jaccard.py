@@ -128,15 +128,15 @@ def frequent(documents: DataFrame, words: int = WORDS, least: int = _SMALL, at_m
     return found.orderBy(F.desc("count"), "cut").limit(at_most)
 
 
-#: Rows that regions gather: kind, key, x, n, y, m.
-_ROW = {"key": pa.int64(), "kind": pa.int32(), "x": pa.int64(), "n": pa.int32(), "y": pa.int64(), "m": pa.int32()}
-_ROW_SQL = "key bigint, kind int, x bigint, n int, y bigint, m int"
+#: Rows that regions gather: members, pairs, members of large regions, and documents.
+_ROW = {"key": pa.int64(), "kind": pa.int32(), "x": pa.int64(), "n": pa.int32(), "y": pa.int64(), "m": pa.int32(), "met": pa.int32()}
+_ROW_SQL = "key bigint, kind int, x bigint, n int, y bigint, m int, met int"
 _MEMBER, _PAIR, _LARGE = 0, 1, 2
 
 
-def _rows(kind: int, key: np.ndarray, x: np.ndarray, n: np.ndarray, y: np.ndarray | None = None, m: np.ndarray | None = None) -> pa.RecordBatch:
+def _rows(kind: int, key: np.ndarray, x: np.ndarray, n: np.ndarray, y: np.ndarray | None = None, m: np.ndarray | None = None, met: np.ndarray | None = None) -> pa.RecordBatch:
     zero = np.zeros(len(x), np.int64)
-    own = {"key": key, "kind": np.full(len(x), kind, np.int32), "x": x, "n": n.astype(np.int32), "y": zero if y is None else y, "m": (zero if m is None else m).astype(np.int32)}
+    own = {"key": key, "kind": np.full(len(x), kind, np.int32), "x": x, "n": n.astype(np.int32), "y": zero if y is None else y, "m": (zero if m is None else m).astype(np.int32), "met": (zero if met is None else met).astype(np.int32)}
     return pa.RecordBatch.from_arrays([pa.array(own[c], k) for c, k in _ROW.items()], names=list(_ROW))
 
 
@@ -174,11 +174,11 @@ def _met(key: np.ndarray, x: np.ndarray, n: np.ndarray, flagged: np.ndarray, per
 
 
 def _counted_pairs(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
-    """Each pair once; its key is the number of regions where it met."""
+    """Each pair once, with the number of regions where it met."""
     order = np.lexsort((y, x))
     group = _groups(x[order], y[order])
     first = order[group]
-    return _rows(_PAIR, np.diff(np.r_[group, len(order)]), x[first], n[first], y[first], m[first])
+    return _rows(_PAIR, x[first], x[first], n[first], y[first], m[first], np.diff(np.r_[group, len(order)]))
 
 
 def regions(documents: DataFrame, hot: tuple[np.ndarray, np.ndarray], words: int = WORDS, percent: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -227,12 +227,8 @@ def regions(documents: DataFrame, hot: tuple[np.ndarray, np.ndarray], words: int
                 row, s = row[first], s[first]
                 n = np.bincount(row, minlength=hi - lo)
                 begin = np.cumsum(n) - n
-                cls = np.zeros(hi - lo, np.uint64)
-                some = np.flatnonzero(n)
-                if len(some):
-                    cls[some] = np.add.reduceat(W._mix(s + np.uint64(0xA0761D6478BD642F)), begin[some])
-                cls = W.signed(W._mix(cls + n.astype(np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int64)), pa.array(np.full(hi - lo, 9, np.int32)), pa.array(cls), pa.array(n.astype(np.int32)), ids.slice(lo, hi - lo), pa.array(np.zeros(hi - lo, np.int32))], names=list(_ROW))
+                cls = _classes(s, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int64)), pa.array(np.full(hi - lo, 9, np.int32)), pa.array(cls), pa.array(n.astype(np.int32)), ids.slice(lo, hi - lo), pa.array(np.zeros(hi - lo, np.int32)), pa.array(np.zeros(hi - lo, np.int32))], names=list(_ROW))
                 prefix = n - -(-percent * n // 100) + 1
                 inside = np.arange(len(row)) - begin[row] < prefix[row]
                 r = row[inside]
@@ -278,35 +274,41 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, words:
     chosen = R.written(needed.join(classes, "cls").select("cls", F.col("doc_id").alias("__doc")), "needed")
     if chosen.count() <= 500_000:
         chosen = F.broadcast(chosen)  # 16 bytes each
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, F.col("doc_id") == F.col("__doc")).select("cls", "text")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, F.col("doc_id").eqNullSafe(F.col("__doc"))).select("cls", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = R.text_buffers(batch.column("text"))
             for lo, hi in R.chunks(offsets):
                 row, s = _distinct_sets(data, offsets[lo : hi + 1], words)
-                yield pa.RecordBatch.from_arrays([batch.column("cls").slice(lo, hi - lo), R.list_column(W.signed(s), np.bincount(row, minlength=hi - lo), pa.int64())], names=["cls", "shingles"])
+                n = np.bincount(row, minlength=hi - lo)
+                own = batch.column("cls").slice(lo, hi - lo)
+                meant = _classes(s, n) == own.to_numpy()
+                yield pa.RecordBatch.from_arrays([own, R.list_column(W.signed(s), n, pa.int64())], names=["cls", "shingles"]).filter(pa.array(meant))
 
     # an id may stand for several rows; the class tells which of them is meant
-    listed = texts.mapInArrow(sets, "cls bigint, shingles array<bigint>").groupBy("cls").agg(F.collect_set("shingles").alias("shingles"))
+    listed = texts.mapInArrow(sets, "cls bigint, shingles array<bigint>").groupBy("cls").agg(F.first("shingles").alias("shingles"))
     a = pairs.join(listed.select(F.col("cls").alias("x"), F.col("shingles").alias("s")), "x")
     b = a.join(listed.select(F.col("cls").alias("y"), F.col("shingles").alias("t")), "y").select("x", "n", "y", "m", "s", "t")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = np.zeros(batch.num_rows, np.int32)
-            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            s, t = batch.column("s"), batch.column("t")
             for i in range(batch.num_rows):
-                s = _of_size(batch.column("s")[i], int(n[i]))
-                t = _of_size(batch.column("t")[i], int(m[i]))
-                both[i] = len(np.intersect1d(s, t, assume_unique=True))
+                both[i] = len(np.intersect1d(np.asarray(s[i].values), np.asarray(t[i].values), assume_unique=True))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(both), batch.column("n"), batch.column("m")], names=["x", "y", "both", "n", "m"])
 
     return b.mapInArrow(shared, "x bigint, y bigint, both int, n int, m int")
 
 
-def _of_size(sets: pa.Scalar, n: int) -> np.ndarray:
-    return next(own for own in (np.asarray(x.values) for x in sets.values) if len(own) == n)
+def _classes(shingles: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The class of each set, from distinct shingles row by row."""
+    cls = np.zeros(len(n), np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        cls[some] = np.add.reduceat(W._mix(shingles + np.uint64(0xA0761D6478BD642F)), (np.cumsum(n) - n)[some])
+    return W.signed(W._mix(cls + n.astype(np.uint64)))
 
 
 def linked(documents: DataFrame, words: int = WORDS, percent: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -319,7 +321,7 @@ def linked(documents: DataFrame, words: int = WORDS, percent: int = 75) -> tuple
     classes = R.written(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "classes")
     large = R.written(gathered.where(f"kind = {_LARGE}").select(F.col("y").alias("region"), "x", "n").distinct(), "large")
     crowded = R.written(large.groupBy("x").agg(F.count("*").alias("regions")), "crowded")
-    met = R.written(gathered.where(f"kind = {_PAIR}").groupBy("x", "n", "y", "m").agg(F.sum("key").alias("met")), "pairs")
+    met = R.written(gathered.where(f"kind = {_PAIR}").groupBy("x", "n", "y", "m").agg(F.sum("met").alias("met")), "pairs")
     measured = R.written(_verified(_enough(met, crowded, percent), classes, documents, words), "distances")
     near = F.col("both") * 100 >= (F.col("n") + F.col("m") - F.col("both")) * percent
     pivots = 1
