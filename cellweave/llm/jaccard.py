@@ -324,7 +324,7 @@ def linked(documents: DataFrame, words: int = WORDS, percent: int = 75) -> tuple
     met = R.written(gathered.where(f"kind = {_PAIR}").groupBy("x", "n", "y", "m").agg(F.sum("met").alias("met")), "pairs")
     measured = R.written(_verified(_enough(met, crowded, percent), classes, documents, words), "distances")
     near = F.col("both") * 100 >= (F.col("n") + F.col("m") - F.col("both")) * percent
-    pivots = 1
+    pivots = _SMALL
     while not large.isEmpty():
         roots = components(measured.where(near).select(F.col("x").alias("a"), F.col("y").alias("b")))
         own = large.join(roots.withColumnRenamed("node", "x"), "x", "left").select("region", "x", "n", F.coalesce("root", "x").alias("root"))

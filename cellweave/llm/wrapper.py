@@ -170,7 +170,9 @@ def _labelled(token: str, tag: str) -> tuple[str, bool, bool]:
     if not main and tag not in ("body", "html"):
         main = bool(_MAIN_WORDS.intersection(words)) and tag in ("div", "section")
         away = away or bool(_AWAY_WORDS.intersection(words))
-    return f"{tag}.{classes}" if classes else tag, away, main and not away
+    main = main and not away
+    # what is declared by id, role or hidden sets siblings of one tag apart too
+    return (f"{tag}.{classes}" if classes else tag) + "!" * away + "*" * main, away, main
 
 
 def tree_match(a: str, b: str) -> dict[int, int]:
