@@ -16,6 +16,7 @@ _EXPORTS = {
     ".operators.windows": "blockwise_stats merge_stats multiresolution_stats product_mean product_moments rolling_stats tiled_stats tree_reduce tree_reduce_variance window_stat",
     ".plans": "ReductionPlan ReductionStep factor_sequence reachable_factors solver_plan tower_plan",
     ".sources": "Grid gather rechunk scatter",
+    ".tiles": "Tiles",
     ".streaming": "IncrementalState windowed_state",
 }
 _MODULE_OF = {name: module for module, names in _EXPORTS.items() for name in names.split()}

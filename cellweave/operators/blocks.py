@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.statistics import Component, Statistic, minimal_components, nan
+from ..functions.statistics import Component, Min, Statistic, minimal_components, nan
 from ..plans.lattice import Factor, factor_shape
 from ..plans.planner import ReductionPlan
 from ..sources.grid import Grid
@@ -71,7 +71,11 @@ def materialize(state: DataFrame, dims: Sequence[str], stats: Sequence[Statistic
         for name, c in s.result(state_column).items():
             if name in out:
                 raise ValueError(f"two statistics give a column {name}")
-            out[name] = c.cast("float") if s.narrows and isinstance(value_type, T.FloatType) else c
+            if isinstance(value_type, T.FloatType) and (s.narrows or isinstance(s, Min)):
+                c = c.cast("float")
+            elif isinstance(s, Min) and value_type is not None and not isinstance(value_type, T.DoubleType):
+                c = state_column(name)  # no NaN in this type
+            out[name] = c
     return state.select(*dims, *[c.alias(n) for n, c in out.items()])
 
 

@@ -15,6 +15,7 @@ from .operators.sliding import WindowConfig, rolling_windows
 from .operators.windows import blockwise_stats, merge_stats, multiresolution_stats, product_mean, product_moments, rolling_stats, tiled_stats, tree_reduce, tree_reduce_variance, window_stat
 from .sources.grid import Grid
 from .streaming import windowed_state
+from .tiles import Tiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -437,6 +438,14 @@ def block_cov_integer_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reduce_stats(parts(spark, sf_dir), 25, [Cov()])[25], 4)
 
 
+@_query(_scales([(2, 2), (4, 4), (8, 8), (16, 16), (32, 32)], f"count(*) AS count, {_r('avg(v)')} AS mean, {_r(_sample('var_samp'))} AS var, {_r('min(v)')} AS min"))
+def tiles_multiscale_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = embeddings(spark, sf_dir)
+    tiles = Tiles.from_rows(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", g.extent)
+    df = tiles.reduce_stats([2, 4, 8, 16, 32], [Count(), Mean(), Var(), Min()]).to_dataframe()
+    return rounded(df.withColumnsRenamed({"f_d0": "f_i", "f_d1": "f_j", "d0": "i", "d1": "j"}))
+
+
 @_query(None)
 def plan_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The steps of the plan for scales 4, 6 and 9 of the embeddings grid."""

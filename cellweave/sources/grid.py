@@ -78,7 +78,9 @@ class Grid:
         values = tuple(values or (("v",) if len(arrays) == 1 else ("x", "y")))
         index = np.indices(shape).reshape(len(shape), -1)
         frame = pd.DataFrame({d: index[k] for k, d in enumerate(dims)} | {v: a.ravel() for v, a in zip(values, arrays, strict=True)})
-        return cls(spark.createDataFrame(frame), dims, tuple(int(x) for x in shape), values, **{"dense": True, **kwargs})
+        kinds = {"i": "long", "u": "long", "b": "boolean"}
+        schema = ", ".join([f"`{d}` long" for d in dims] + [f"`{v}` {kinds[a.dtype.kind] if a.dtype.kind != 'f' else 'float' if a.dtype.itemsize <= 4 else 'double'}" for v, a in zip(values, arrays, strict=True)])
+        return cls(spark.createDataFrame(frame, schema), dims, tuple(int(x) for x in shape), values, **{"dense": True, **kwargs})
 
     def pair(self, other: Grid) -> Grid:
         """One grid of two fields over the same box."""
