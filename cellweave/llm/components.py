@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import _runtime as R
@@ -20,7 +20,8 @@ def components(links: DataFrame) -> DataFrame:
         seen = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         lower = labels.join(seen, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        new = R.written(lower.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("further", "root")).alias("root")), "labels")
-        if new.where("was <> root").isEmpty():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
+        lower = lower.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("further", "root")).alias("root"))
+        moved = Observation()  # counted while the round is written
+        labels = R.written(lower.observe(moved, F.count_if(F.col("was") != F.col("root")).alias("n")).select("node", "root"), "labels")
+        if not moved.get["n"]:
+            return labels

@@ -44,6 +44,8 @@ from .substrings import _groups
 WORDS = 5
 #: Regions up to this many documents compare all of them.
 _SMALL = 8
+#: Pivots of a large region in its first round of recursion; each further round has twice as many.
+_PIVOTS = 64
 #: Members of one region that a block sends on; of more, it sends a pivot.
 _BLOCK_SMALL = 4
 _BLOCK = 1 << 21
@@ -311,8 +313,9 @@ def _classes(shingles: np.ndarray, n: np.ndarray) -> np.ndarray:
     return W.signed(W._mix(cls + n.astype(np.uint64)))
 
 
-def linked(documents: DataFrame, words: int = WORDS, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, cls) of every row, and the links found between classes (x, y)."""
+def linked(documents: DataFrame, words: int = WORDS, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, cls) of every row, the links found between classes (x, y), and (node, root) of
+    the classes with links."""
     spark = R.prepare(documents.sparkSession)
     top = frequent(documents, words).toPandas()
     cuts, counts = top["cut"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int32)
@@ -324,8 +327,8 @@ def linked(documents: DataFrame, words: int = WORDS, percent: int = 75) -> tuple
     met = R.written(gathered.where(f"kind = {_PAIR}").groupBy("x", "n", "y", "m").agg(F.sum("met").alias("met")), "pairs")
     measured = R.written(_verified(_enough(met, crowded, percent), classes, documents, words), "distances")
     near = F.col("both") * 100 >= (F.col("n") + F.col("m") - F.col("both")) * percent
-    pivots = _SMALL
-    while not large.isEmpty():
+    pivots, again = _PIVOTS // 2, True
+    while again:
         roots = components(measured.where(near).select(F.col("x").alias("a"), F.col("y").alias("b")))
         own = large.join(roots.withColumnRenamed("node", "x"), "x", "left").select("region", "x", "n", F.coalesce("root", "x").alias("root"))
         # a region whose documents are all joined is done
@@ -341,11 +344,13 @@ def linked(documents: DataFrame, words: int = WORDS, percent: int = 75) -> tuple
         asked = pair.where(sizes).select(F.least("l.x", "p.x").alias("x"), F.when(first, F.col("l.n")).otherwise(F.col("p.n")).alias("n"), F.greatest("l.x", "p.x").alias("y"), F.when(first, F.col("p.n")).otherwise(F.col("l.n")).alias("m")).distinct()
         asked = asked.join(measured.select("x", "y"), ["x", "y"], "left_anti").join(met.select("x", "y", "met"), ["x", "y"], "left").select("x", "n", "y", "m", F.coalesce("met", F.lit(0)).alias("met"))
         asked = R.written(_in_window(_enough(asked, crowded, percent), measured, percent), "pairs")
-        if not asked.isEmpty():
+        again = not asked.isEmpty()
+        if again:
             measured = R.written(measured.unionByName(_verified(asked, classes, documents, words)), "distances")
         # pivots have met everything in their regions that could be near
         large = R.written(large.join(chosen.select("region", "x"), ["region", "x"], "left_anti").select("region", "x", "n"), "large")
-    return rows, measured.where(near).select("x", "y")
+        again = again or not large.isEmpty()
+    return rows, measured.where(near).select("x", "y"), roots
 
 
 def _enough(met: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
@@ -380,9 +385,8 @@ def _in_window(asked: DataFrame, measured: DataFrame, percent: int) -> DataFrame
 
 def join(documents: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (links to other classes that were found), a row per document row."""
-    rows, links = linked(documents, words, percent)
-    links = R.written(links.select(F.col("x").alias("a"), F.col("y").alias("b")), "found")
-    roots = components(links)
+    rows, links, roots = linked(documents, words, percent)
+    links = links.select(F.col("x").alias("a"), F.col("y").alias("b"))
     degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("n_links"))
     least = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
     labelled = least.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
