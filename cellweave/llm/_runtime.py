@@ -9,8 +9,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Text bytes that one numpy pass takes at a time; bounds a Python worker's memory.
 CHUNK_BYTES = 1 << 21
@@ -38,22 +36,22 @@ def scratch_root(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/cellweave/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back with its schema."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/cellweave/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def string_type(df: DataFrame, column: str) -> F.Column:
-    return F.col(column).cast("string")
-
-
-def renamed_away(df: DataFrame, taken: set[str], keep: list[str]) -> DataFrame:
-    """Only the columns an operator needs: extra columns cannot clash with its own names."""
-    del taken
-    return df.select(*keep)
+def cleanup(spark: SparkSession) -> None:
+    """Deletes what this application has written to the shared folder, once its results are used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_buffers(column: pa.Array) -> tuple:
@@ -93,5 +91,3 @@ def list_column(values, counts, kind: pa.DataType) -> pa.Array:
     np.cumsum(counts, out=offsets[1:])
     return pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(values, kind)).cast(pa.list_(kind))
 
-
-LONG, INT, STRING, DOUBLE, BOOL = T.LongType(), T.IntegerType(), T.StringType(), T.DoubleType(), T.BooleanType()
