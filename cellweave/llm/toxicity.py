@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A document's terms are its words (A-Z lower-cased) and their first 4 to 8 bytes, hashed into
+A document's terms are its words (lower-cased) and their first 4 to 8 bytes, hashed into
 2**18 buckets; a bucket counts once.  From at most about ``max_train`` labelled rows, the
 ``max_terms`` buckets that tell the labels apart best (chi-square) enter the model
 
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,7 +107,7 @@ def learn(documents: DataFrame, labels: DataFrame, max_train: int = 16_000, max_
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = R.text_buffers(batch.column("text"))
+            data, offsets = R.text_buffers(pc.utf8_lower(batch.column("text")))
             for lo, hi in R.chunks(offsets):
                 rows, buckets = terms(data, offsets[lo : hi + 1])
                 yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(lo, hi - lo), R.list_column(buckets, np.bincount(rows, minlength=hi - lo), pa.int32())], names=["toxic", "buckets"])
@@ -172,7 +173,7 @@ def score(documents: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = R.text_buffers(batch.column("text" if own else len(keep)))
+            data, offsets = R.text_buffers(pc.utf8_lower(batch.column("text" if own else len(keep))))
             scores = np.zeros(batch.num_rows)
             for lo, hi in R.chunks(offsets, R.CHUNK_BYTES // 2):
                 rows, buckets = terms(data, offsets[lo : hi + 1])
