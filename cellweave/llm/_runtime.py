@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one numpy pass takes at a time; bounds a Python worker's memory.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 

@@ -45,10 +45,10 @@ WORDS = 5
 #: Regions up to this many documents compare all of them.
 _SMALL = 8
 #: Pivots of a large region in its first round of recursion; each further round has twice as many.
-_PIVOTS = 64
+_PIVOTS = 24
 #: Members of one region that a block sends on; of more, it sends a pivot.
 _BLOCK_SMALL = 4
-_BLOCK = 1 << 21
+_BLOCK = 1 << 19
 _CUT = np.uint64(24)
 
 
