@@ -22,6 +22,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
+    # workers are reused: large arrays go back to the system as soon as they are freed
+    env.setdefault("MALLOC_MMAP_THRESHOLD_", str(1 << 18))
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", str(1 << 20))
+    env.setdefault("MALLOC_ARENA_MAX", "2")
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     return spark
 
 
