@@ -134,8 +134,9 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = 10, shin
         scanned = R.written(_runs(documents, by), "runs")
         metas.append(scanned.select("doc_id", "n_words", "digest"))
         run = scanned.where(F.col("digest").isNotNull()).select("digest", F.explode("runs").alias("run"))
-        # one copy of each distinct text with candidates, combined before the shuffle
-        run = run.groupBy("digest", "run.first", F.size("run.shingles").alias("n")).agg(F.first("run").alias("run")).select("digest", "run")
+        # one copy of each distinct text with candidates, combined before the shuffle; with both sizes
+        # the key tells runs of different shingle lengths apart
+        run = run.groupBy("digest", "run.first", F.size("run.shingles").alias("n"), F.size("run.words").alias("m")).agg(F.first("run").alias("run")).select("digest", "run")
         at = run.select("digest", "run", F.posexplode("run.shingles").alias("place", "shingle"))
         rarity = at.groupBy("shingle").agg(F.count("*").alias("df"))
         cells = own.select("words", "items", F.posexplode("shingles").alias("offset", "shingle"))

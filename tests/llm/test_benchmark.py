@@ -60,6 +60,17 @@ def test_clean_keeps_rows_without_hits(spark):
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter((r[0], r[1]) for r, b in zip(rows, brute(rows, items), strict=True) if not b[5])
 
 
+def test_nested_short_items(spark):
+    """Runs of 3 to 6 word shingles start at one word with as many shingles; none may stand for another."""
+    w = [f"w{i}" for i in range(12)]
+    items = [(k, " ".join(w[:k]), "x") for k in range(1, 8)] + [(20 + k, " ".join(w[2 : 2 + k]), "x") for k in (3, 4, 5, 6, 10)]
+    texts = [w[:4], w[:6], w, ["a", *w[:5], "b", *w[:3]], w[2:7], w[1:]]
+    rows = [(i, " ".join(t), "en", "s", 1, 0.5, "k", 1) for i, t in enumerate(texts)]
+    rows += [(100 + i, *r[1:]) for i, r in enumerate(rows)]
+    assert run(spark, rows, items) == Counter(brute(rows, items))
+    assert run(spark, rows, items, max_block=8) == Counter(brute(rows, items))
+
+
 def test_empty_tables(spark):
     rows = corpus(1, n=5, hot=2)
     assert sum(run(spark, rows, []).values()) == len(rows)
