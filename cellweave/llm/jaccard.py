@@ -17,9 +17,11 @@ with the documents that the triangle inequality leaves near enough, |d(x,p) - d(
 and that no chain of links joins yet, are the next regions, with twice as many pivots, until
 none is open.  Distances are exact, from the whole shingle sets.
 
-Equal sets are one class from the start, so groups of copies never meet as pairs.  The links
-returned are links between classes, enough of them to connect what the threshold connects:
-a pair that a chain joins already is not compared again.
+Equal sets are one class from the start, so groups of copies never meet as pairs.  The rounds
+find enough links between classes to connect what the threshold connects.  Representatives need
+no more.  The join then measures all pairs inside each component, where every link is: classes are
+dealt into tiles by size and hash, and two tiles meet in one task, so a class's set is sent once
+for each tile of near sizes and no pair is a row of a shuffle.
 
 A null or empty text, or one without words, has no shingle and is linked with nothing.  A text
 of fewer words than a shingle is one shingle.  Shingles are 64-bit hashes and classes 64-bit
@@ -50,6 +52,8 @@ _PIVOTS = 24
 _BLOCK_SMALL = 4
 _BLOCK = 1 << 19
 _CUT = np.uint64(24)
+#: Classes of a tile, and the shingles it may hold if they are long.
+_TILE, _TILE_SHINGLES = 128, 1 << 18
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -273,6 +277,23 @@ def regions(documents: DataFrame, hot: tuple[np.ndarray, np.ndarray], words: int
 def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, words: int) -> DataFrame:
     """(x, y, both, n, m): the size of the intersection of each pair (x, n, y, m), from the whole sets."""
     needed = pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls"))).distinct()
+    listed = _listed(needed, classes, documents, words)
+    a = pairs.join(listed.select(F.col("cls").alias("x"), F.col("shingles").alias("s")), "x")
+    b = a.join(listed.select(F.col("cls").alias("y"), F.col("shingles").alias("t")), "y").select("x", "n", "y", "m", "s", "t")
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.zeros(batch.num_rows, np.int32)
+            s, t = batch.column("s"), batch.column("t")
+            for i in range(batch.num_rows):
+                both[i] = len(np.intersect1d(np.asarray(s[i].values), np.asarray(t[i].values), assume_unique=True))
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(both), batch.column("n"), batch.column("m")], names=["x", "y", "both", "n", "m"])
+
+    return b.mapInArrow(shared, "x bigint, y bigint, both int, n int, m int")
+
+
+def _listed(needed: DataFrame, classes: DataFrame, documents: DataFrame, words: int) -> DataFrame:
+    """(cls, shingles) of the needed classes, the whole sets."""
     chosen = R.written(needed.join(classes, "cls").select("cls", F.col("doc_id").alias("__doc")), "needed")
     if chosen.count() <= 500_000:
         chosen = F.broadcast(chosen)  # 16 bytes each
@@ -289,19 +310,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, words:
                 yield pa.RecordBatch.from_arrays([own, R.list_column(W.signed(s), n, pa.int64())], names=["cls", "shingles"]).filter(pa.array(meant))
 
     # an id may stand for several rows; the class tells which of them is meant
-    listed = texts.mapInArrow(sets, "cls bigint, shingles array<bigint>").groupBy("cls").agg(F.first("shingles").alias("shingles"))
-    a = pairs.join(listed.select(F.col("cls").alias("x"), F.col("shingles").alias("s")), "x")
-    b = a.join(listed.select(F.col("cls").alias("y"), F.col("shingles").alias("t")), "y").select("x", "n", "y", "m", "s", "t")
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = np.zeros(batch.num_rows, np.int32)
-            s, t = batch.column("s"), batch.column("t")
-            for i in range(batch.num_rows):
-                both[i] = len(np.intersect1d(np.asarray(s[i].values), np.asarray(t[i].values), assume_unique=True))
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(both), batch.column("n"), batch.column("m")], names=["x", "y", "both", "n", "m"])
-
-    return b.mapInArrow(shared, "x bigint, y bigint, both int, n int, m int")
+    return texts.mapInArrow(sets, "cls bigint, shingles array<bigint>").groupBy("cls").agg(F.first("shingles").alias("shingles"))
 
 
 def _classes(shingles: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -314,8 +323,99 @@ def _classes(shingles: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def linked(documents: DataFrame, words: int = WORDS, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, cls) of every row, the links found between classes (x, y), and (node, root) of
+    """(doc_id, n, cls) of every row, all links between classes (x, y), x < y, and (node, root) of
     the classes with links."""
+    rows, classes, found, roots = _connected(documents, words, percent)
+    return rows, _whole(found, classes, roots, documents, words, percent, degrees=False), roots
+
+
+def _near_pairs(shingles: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sets left and right (row numbers) are linked, from flat sets and their sizes."""
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.argsort(shingles, kind="stable")
+    row, value = row[order], shingles[order]
+    first = _groups(value)
+    times = np.diff(np.r_[first, len(value)])
+    inside = np.repeat(times > 1, times)
+    row, column = row[inside], np.repeat(np.arange(np.count_nonzero(times > 1)), times[times > 1])
+    both = np.zeros((len(left), len(right)), np.int64)
+    columns = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, columns, 4096):
+        a, b = np.searchsorted(column, [at, at + 4096])
+        has = np.zeros((len(n), min(4096, columns - at)), np.float32)
+        has[row[a:b], column[a:b] - at] = 1
+        both += (has[left] @ has[right].T).astype(np.int64)
+    return both * 100 >= (n[left][:, None] + n[right][None, :] - both) * percent
+
+
+def _whole(found: DataFrame, classes: DataFrame, roots: DataFrame, documents: DataFrame, words: int, percent: int, degrees: bool) -> DataFrame:
+    """All links (x, y), x < y, or (cls, n_links) of their classes.  Components of two classes have
+    their link already; the others compare all pairs whose sizes are near, tile by tile."""
+    members = roots.select(F.col("node").alias("cls"), "root").join(classes.select("cls", "n"), "cls")
+    sized = R.written(members.groupBy("root").agg(F.count("*").alias("c"), F.max("n").alias("most")), "components")
+    own = R.written(members.join(sized.where("c > 2"), "root"), "members")
+    room = F.expr(f"greatest(1L, least({_TILE}L, {_TILE_SHINGLES}L div most))")
+    # linked sizes are in one band or in neighbouring ones
+    width = max(-np.log(max(percent, 1) / 100), 1e-3) * 1.000001
+    own = own.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width))
+    small = own.where(F.col("c") <= room).select("cls", F.array(F.struct(F.xxhash64("root").alias("key"), F.lit(2).alias("side"))).alias("places"))
+    crowd = own.where(F.col("c") > room).drop("most")
+    tiles = crowd.groupBy("root", "band").agg(F.count("*").alias("c"), F.max("n").alias("most")).select("root", "band", F.ceil(F.col("c") / room).cast("long").alias("tiles"))
+    tiles = R.written(tiles.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "tiles"))).alias("tiles")), "tiles")
+    crowd = crowd.join(tiles, "root").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")[F.col("band")]))
+
+    def places(step: int, place) -> F.Column:  # noqa: ANN001
+        of = F.try_element_at("tiles", F.col("band") + step)
+        none = F.array().cast("array<struct<key:bigint,side:int>>")
+        return F.when(of.isNull(), none).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce(of, F.lit(1)) - 1), place))
+
+    band, tile = F.col("band"), F.col("tile")
+    same = places(0, lambda j: F.struct(F.xxhash64("root", band, F.least(tile, j), band, F.greatest(tile, j)).alias("key"), F.when(tile == j, 2).when(tile < j, 0).otherwise(1).alias("side")))
+    above = places(1, lambda j: F.struct(F.xxhash64("root", band, tile, band + 1, j).alias("key"), F.lit(0).alias("side")))
+    below = places(-1, lambda j: F.struct(F.xxhash64("root", band - 1, j, band, tile).alias("key"), F.lit(1).alias("side")))
+    placed = small.unionByName(crowd.select("cls", F.concat(same, above, below).alias("places")))
+    listed = _listed(own.select("cls"), classes, documents, words)
+    dealt = listed.join(placed, "cls").select("cls", "shingles", F.explode("places").alias("p")).select("p.key", "p.side", "cls", "shingles")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .substrings import _whole_groups
+
+        for table in _whole_groups(batches):
+            key, side, cls = (table.column(c).to_numpy() for c in ("key", "side", "cls"))
+            sets = table.column("shingles").combine_chunks()
+            values, n = sets.flatten().to_numpy(), sets.value_lengths().to_numpy().astype(np.int64)
+            stop = np.cumsum(n)
+            start = stop - n
+            group = _groups(key)
+            for a, b in zip(group, np.r_[group[1:], len(key)], strict=True):
+                left, right = np.flatnonzero(side[a:b] != 1), np.flatnonzero(side[a:b] != 0)
+                if not len(left) or not len(right) or b - a < 2:
+                    continue
+                near = _near_pairs(values[start[a] : stop[b - 1]], n[a:b], left, right, percent)
+                near &= cls[a:b][left][:, None] != cls[a:b][right][None, :]
+                if (side[a:b] == 2).all():
+                    near = np.triu(near, 1)
+                i, j = np.nonzero(near)
+                x, y = cls[a + left[i]], cls[a + right[j]]
+                if degrees:
+                    linked, times = np.unique(np.r_[x, y], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(linked), pa.array(times.astype(np.int64))], names=["cls", "n_links"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
+
+    schema = "cls bigint, n_links bigint" if degrees else "x bigint, y bigint"
+    got = dealt.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(compare, schema)
+    pairs = sized.where("c = 2").select("root")
+    if degrees:
+        two = members.join(pairs, "root").select("cls", F.lit(1).cast("long").alias("n_links"))
+        return got.unionByName(two).groupBy("cls").agg(F.sum("n_links").alias("n_links"))
+    # of two classes one is the root, and x is the less
+    return got.unionByName(found.join(pairs, F.col("x") == F.col("root")).select("x", "y"))
+
+
+def _connected(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, cls) of every row, the classes (cls, doc_id, n), links (x, y) that connect what
+    the threshold connects, and (node, root) of the classes with links."""
     spark = R.prepare(documents.sparkSession)
     top = frequent(documents, words).toPandas()
     cuts, counts = top["cut"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int32)
@@ -350,7 +450,7 @@ def linked(documents: DataFrame, words: int = WORDS, percent: int = 75) -> tuple
         # pivots have met everything in their regions that could be near
         large = R.written(large.join(chosen.select("region", "x"), ["region", "x"], "left_anti").select("region", "x", "n"), "large")
         again = again or not large.isEmpty()
-    return rows, measured.where(near).select("x", "y"), roots
+    return rows, classes, measured.where(near).select("x", "y"), roots
 
 
 def _enough(met: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
@@ -384,23 +484,27 @@ def _in_window(asked: DataFrame, measured: DataFrame, percent: int) -> DataFrame
 
 
 def join(documents: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (links to other classes that were found), a row per document row."""
-    rows, links, roots = linked(documents, words, percent)
-    links = links.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("n_links"))
-    least = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
-    labelled = least.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    component = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_class = labelled.join(component, "root").join(degree, "cls", "left").select(F.col("cls").alias("__cls"), "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    """doc_id, n_shingles, component_id and n_links (links to other classes), a row per document row."""
+    rows, classes, found, roots = _connected(documents, words, percent)
+    degree = R.written(_whole(found, classes, roots, documents, words, percent, degrees=True), "degrees")
+    by_class = _labelled(rows, roots).join(degree, "cls", "left").select(F.col("cls").alias("__cls"), "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     some = rows.where("n > 0").join(by_class, F.col("cls") == F.col("__cls")).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
     none = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return some.unionByName(none)
 
 
+def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(cls, component_id) of every class with shingles."""
+    least = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
+    labelled = least.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    return labelled.join(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("cls", "component_id")
+
+
 def representatives(documents: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
     """The rows of each component's least id, one of several with that id; rows without shingles
     or without an id all stay.  Columns stay as they are."""
-    least = join(documents, words, percent).where(F.col("n_shingles") > 0).groupBy(F.col("doc_id").alias("__doc")).agg(F.min("component_id").alias("__least"))
+    rows, _, _, roots = _connected(documents, words, percent)
+    least = rows.where("n > 0").join(_labelled(rows, roots), "cls").groupBy(F.col("doc_id").alias("__doc")).agg(F.min("component_id").alias("__least"))
     gone = least.where(F.col("__least") < F.col("__doc")).select("__doc")
     left = documents.join(gone, documents["doc_id"].cast("long") == gone["__doc"], "left_anti")
     repeated = R.written(least.where(F.col("__least") == F.col("__doc")).select("__doc").join(documents.groupBy(F.col("doc_id").cast("long").alias("__doc")).count().where("count > 1").select("__doc"), "__doc"), "repeated")

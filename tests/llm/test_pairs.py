@@ -63,6 +63,29 @@ def test_jaccard_representatives(spark):
             assert sum(kept[i] for i in set(ids)) == 1, (c, ids)
 
 
+@pytest.mark.parametrize("tile", [128, 3])
+def test_jaccard_links_are_whole(spark, tile, monkeypatch):
+    """Every pair of different sets at the threshold is a link, also in a large group joined by chains."""
+    monkeypatch.setattr(jaccard, "_TILE", tile, raising=False)
+    rows = corpus(6, n=40, hot=40)
+    # a chain of texts of growing length, each linked with some of the others
+    chain = [f"c{i}" for i in range(90)]
+    rows += [(1000 + i, " ".join(chain[: 20 + 2 * i]), "en", "s", 1, 0.5, "k", 1) for i in range(35)]
+    sets = []
+    for _, text, *_ in rows:
+        w = space_words(fold(text))
+        k = min(5, len(w))
+        sets.append(frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset())
+    classes = set(sets) - {frozenset()}
+    degree = {s: sum(s != t and 100 * len(s & t) >= 75 * len(s | t) for t in classes) for s in classes}
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = Counter((r.doc_id, r.n_links) for r in jaccard.join(df).collect())
+    assert got == Counter((r[0], degree.get(s, 0)) for r, s in zip(rows, sets, strict=True))
+    if tile == 3:
+        links = [(r.x, r.y) for r in jaccard.linked(df)[1].collect()]
+        assert len(links) == len(set(links)) == sum(degree.values()) // 2 and all(x < y for x, y in links)
+
+
 def test_jaccard_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert jaccard.join(df).count() == 0
