@@ -20,6 +20,7 @@ import struct
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -285,7 +286,8 @@ class Encoder:
         return self.encode_batch([text], end)[0]
 
     def encode_with_spans(self, text: str, end: bool = True) -> list[tuple[int, int, int]]:
-        """(id, first source byte, byte after the last) of each piece; the end id has an empty span."""
+        """(id, first source byte, byte after the last) of each piece; the end id has an empty span.
+        Of a character in byte pieces the last has the span and the others an empty one at its start."""
         normal, align = self.normalizer(text)
         n = len(text.encode())
         if align is None:
@@ -306,12 +308,75 @@ class Encoder:
                 size = 1 if i in self.byte_of else len(self.pieces[i][0].encode()) if i != self.unknown else None
                 if size is None:
                     size = len(unit.encode())
-                out.append((i, align[k], align[k + size]))
+                b = self.byte_of.get(i)
+                if b is None or b & 0xC0 != 0x80:
+                    start, more = k, 0 if b is None or b < 0x80 else 1 if b < 0xE0 else 2 if b < 0xF0 else 3
+                else:
+                    more -= 1
                 k += size
+                out.append((i, align[start], align[start if more else k]))
         if end:
             out.append((self.end, n, n))
         return out
 
+    def encode_spans_batch(self, texts: list[str], end: bool = True) -> tuple[list[list[int]], list[np.ndarray], list[np.ndarray]]:
+        """For each text its ids and the first source byte and the byte after the last of each: what
+        ``encode_with_spans`` gives, with remembered units projected over the alignment in one pass."""
+        known, last = self.known, [self.end] if end else []
+        normals = [self.normalizer(t) for t in texts]
+        units = [self.units(t) for t, _ in normals]
+        missing = {u for of in units for u in of if u not in known}
+        if missing:
+            self.learn(missing)
+        all_ids, firsts, lasts = [], [], []
+        for text, (normal, align), of in zip(texts, normals, units, strict=True):
+            ids = [*chain.from_iterable(map(known.__getitem__, of))]
+            sizes = self._sizes()[np.array(ids, np.int64)] if ids else np.zeros(0, np.int64)
+            if (sizes < 0).any():  # unknown pieces are as long as what they stand for
+                found = self.encode_with_spans(text, end)
+                ids = [x[0] for x in found]
+                at = np.array([x[1:] for x in found], np.int64).reshape(-1, 2)
+                first, after = at[:, 0], at[:, 1]
+            else:
+                stop = np.zeros(len(ids) + 1, np.int64)
+                np.cumsum(sizes, out=stop[1:])
+                place = self._places(text) if align is None else np.array(align, np.int64)
+                first, after = place[stop[:-1]], place[stop[1:]]
+                later = self._continues()[np.array(ids, np.int64)] if ids else np.zeros(0, bool)
+                if later.any():  # bytes of one character
+                    first = first[np.maximum.accumulate(np.where(later, 0, np.arange(len(ids))))]
+                    followed = np.r_[later[1:], False]
+                    after = np.where(followed, first, after)
+                if end:
+                    n = len(text.encode())
+                    ids += last
+                    first, after = np.r_[first, n], np.r_[after, n]
+            all_ids.append(ids)
+            firsts.append(first)
+            lasts.append(after)
+        if len(known) > self.remember:
+            known.clear()
+        return all_ids, firsts, lasts
+
+    def _places(self, text: str) -> np.ndarray:
+        """The source byte of each byte of a text that is normalised by marks alone, and of its end."""
+        raw = np.frombuffer(text.encode(), np.uint8)
+        mark = len(MARK.encode()) if self.normalizer.escape else 1
+        at = np.repeat(np.arange(len(raw)), np.where(raw == 0x20, mark, 1))
+        return np.r_[np.zeros(mark if self.normalizer.dummy and text else 0, np.int64), at, len(raw)]
+
+    def _continues(self) -> np.ndarray:
+        """Which ids are bytes that continue a character."""
+        if not hasattr(self, "_continue_of"):
+            self._continue_of = np.array([self.byte_of.get(i, 0) & 0xC0 == 0x80 for i in range(len(self.pieces))])
+        return self._continue_of
+
+    def _sizes(self) -> np.ndarray:
+        """Bytes of normalised text that each id stands for; -1 for the unknown piece."""
+        if not hasattr(self, "_size_of"):
+            self._size_of = np.array([1 if i in self.byte_of else -1 if i == self.unknown else len(p.encode()) for i, (p, _, _) in enumerate(self.pieces)], np.int64)
+        return self._size_of
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: marks become spaces, the first space of the dummy prefix goes, byte
         pieces join as UTF-8 and every byte that cannot is one replacement character."""
@@ -398,13 +463,14 @@ def encode(documents: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_
                 texts = part.column(len(keep)).to_pylist()
                 columns = [part.column(i) for i in range(len(keep))]
                 if spans:
-                    found = [coder.encode_with_spans(t) for t in texts]
-                    ids = [[x[0] for x in f] for f in found]
+                    ids, firsts, lasts = coder.encode_spans_batch(texts)
                 else:
                     ids = coder.encode_batch(texts)
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
                 if spans:
-                    columns.append(pa.array([[{"first": a, "last": b} for _, a, b in f] for f in found], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))))
+                    ends = np.cumsum([0, *map(len, firsts)])
+                    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(x).astype(np.int32)) for x in (firsts, lasts)], names=["first", "last"])
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs))
                 if decoded:
                     columns.append(pa.array([coder.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=parts)

@@ -40,9 +40,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids with an end id, their number, and whether they decode to the text."""
-    rows = pieces.encode(docs.withColumn("__was", F.coalesce(F.col("text"), F.lit(""))), tokenizer_path(), keep=("doc_id", "lang", "source", "__was"))
-    return rows.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("__was")).alias("round_trip"))
+    """doc_id, lang, source, ids with an end id, their number, whether they decode to the text, and each one's source bytes."""
+    rows = pieces.encode(docs.withColumn("__was", F.coalesce(F.col("text"), F.lit(""))), tokenizer_path(), keep=("doc_id", "lang", "source", "__was"), spans=True)
+    return rows.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("__was")).alias("round_trip"), "spans")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -117,6 +117,23 @@ def test_encode_frame(spark, library):
     assert pieces.encode(spark.createDataFrame([], SCHEMA), tokenizer_path()).count() == 0
 
 
+def test_query_and_pipeline_give_spans(spark, library, tmp_path):
+    import corpus_pipeline
+    from cellweave.llm.queries import QUERIES
+
+    rows = corpus(1, n=20, hot=3) + [(900 + i, t, "en", "s", 1, 0.5, "k", 1) for i, t in enumerate(["  two  spaces ", "\u2581mark \u2581 é\U0001f600 \u3042", "a\n\tb\x00c", " ", "\U00012345\u0d9a\U0001f9ff x\u1200"])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+
+    def spans(text):
+        n = len((text or "").encode())
+        return tuple((p.begin, p.end) for p in library.encode_as_proto(text or "").pieces) + ((n, n),)
+
+    want = Counter((r[0], spans(r[1])) for r in rows)
+    for got in (QUERIES["op5_pieces"](spark, str(tmp_path)), corpus_pipeline.encode(spark, df, str(tmp_path))):
+        assert Counter((r.doc_id, tuple((s.first, s.last) for s in r.spans)) for r in got.collect()) == want
+
+
 def vectors(seed, n=600, d=16):
     rng = np.random.default_rng(seed)
     return [(i, [float(x) for x in rng.normal(size=d).astype(np.float32)], 0) for i in range(n)]
