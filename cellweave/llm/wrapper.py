@@ -134,8 +134,10 @@ class Page:
                         del stack[k:]
                         break
             label, away, main = _labelled(token, tag)
-            if len(stack) > _MAX_DEPTH:  # deeper structure counts as its ancestor's
-                stack.append((tag, stack[-1][1]))
+            over = stack[-1][1]
+            if len(stack) > _MAX_DEPTH and (self.away[over] or not away and not (main and self.main[over] < 0)):
+                # deeper structure counts as its ancestor's, but for what changes its role (twice on a path at most)
+                stack.append((tag, over))
             else:
                 stack.append((tag, self._node(stack[-1][1], tag, label, away, main)))
             if tag in _VOID or token.endswith("/>") and tag in ("svg",):

@@ -60,3 +60,10 @@ def test_tree_matching_is_the_largest():
     match = wrapper.tree_match(page, other)
     labels = [line.split(" ", 1)[1] for line in page.split("\n")]
     assert sorted(labels[k] for k in match) == ["#", "div.b", "li", "ul"]
+
+
+def test_deep_boilerplate_goes(spark):
+    deep = "<div>" * 60 + "<nav>menu</nav><article><p>own</p><div class=ad>buy</div><p>more</p></article><div>below</div>" + "</div>" * 60
+    other = "<section>" * 60 + "<p>text</p><div class='comments'><div><p>nice</p></div></div><p>end</p>"
+    got = run(spark, [(1, "http://f.example.com/", deep), (2, "http://g.example.com/", other)])
+    assert got[1].text == "own\nmore" and got[2].text == "text\nend"
