@@ -5,14 +5,16 @@
    items is a repeated slot.  Each node gets a checksum of its text.
 2. A host's reference is its commonest skeleton.  Each page's skeleton is aligned with it by
    simple tree matching (the largest order- and parent-preserving matching).
-3. Over all pages of the host, the aligned nodes are counted by distinct texts.  A node whose
-   text hardly varies belongs to the template; a slot whose text varies holds content.
+3. Over all pages of the host, the aligned nodes are counted by distinct texts.  What is
+   counted is not pages but the different texts that the rest of their content has, so copies
+   of an article count once.  A node whose text hardly varies belongs to the template; a slot
+   whose text varies holds content.
 4. A page's text is the blocks of its content slots inside the main element if it has one
    (article, main, or the like), else all content slots.  What markup itself declares to be a
    menu, header, footer, sidebar, notice, advert, form, script, style or comment section is
    template on any host, as are pages' own unmatched nodes of that kind.  Inside a main
-   element a node is template only with one single text on ten pages or more, since copies of
-   an article must not turn the article into template; nor does a page lose all its text.
+   element a node is template only with one single text beside ten different contents or more, and
+   beside half of the different contents that its parent has; nor does a page lose all its text.
 
 A null or empty page gives an empty text; a null url or one without a host makes one group.
 Repeated rows are extracted alike.  Statistics are sums per host and node, combined before
@@ -22,6 +24,7 @@ each host) are broadcast up to ``max_broadcast`` hosts and joined beyond.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -54,6 +57,7 @@ _AWAY_WORDS = frozenset(
 _MAIN = frozenset("article main".split())
 _MAIN_WORDS = frozenset("article content post entry story maincontent".split())
 _MAX_DEPTH, _MAX_CHILDREN = 48, 32
+_WORD = (1 << 63) - 1
 
 
 class Page:
@@ -147,6 +151,14 @@ class Page:
     def skeleton(self) -> str:
         return "\n".join(f"{p} {x}" for p, x in zip(self.parents, self.labels, strict=True))
 
+    def rests(self, sums: list[int]) -> tuple[int, list[int]]:
+        """A checksum of the page's content, and for each node that of the content but for its own
+        text: what is inside main elements if it has one, else all that is not away."""
+        inside = any(m >= 0 for m in self.main)
+        own = [hash((k, x)) & _WORD if x and not self.away[k] and (self.main[k] >= 0 or not inside) else 0 for k, x in enumerate(sums)]
+        total = sum(own) & _WORD
+        return total, [(total - x) & _WORD for x in own]
+
     def checksums(self) -> list[int]:
         """A checksum of each node's own text, 0 for a node without."""
         out = [0] * len(self.labels)
@@ -228,6 +240,20 @@ def _matched(a: str, b: str) -> tuple[tuple[int, int], ...]:
     return tuple(out)
 
 
+@lru_cache(1 << 12)
+def _keys(skeleton: str, reference: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """For each node its key and its parent's: the reference's node, or below 0 a hash of its labels from the root."""
+    matched = dict(_matched(skeleton, reference))
+    paths, keys, parents = [], [], []
+    for k, line in enumerate(skeleton.split("\n")):
+        parent, label = line.split(" ", 1)
+        up = int(parent)
+        paths.append(hashlib.blake2b((paths[up] if up >= 0 else b"") + label.encode(), digest_size=8).digest())
+        keys.append(matched[k] if k in matched else -1 - (int.from_bytes(paths[k]) >> 1))
+        parents.append(keys[max(up, 0)])
+    return tuple(keys), tuple(parents)
+
+
 def page_text(page: Page, template: dict[int, str]) -> str:
     """The text of the page's content; template: what its nodes are on this host, `fixed` (one
     text on many pages), `template` (few texts) or absent."""
@@ -244,7 +270,7 @@ def _host(url: Column) -> Column:
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """host, reference (skeleton) and the kind of its nodes, array<string> with null for content."""
+    """host, reference (skeleton) and the kinds of nodes by key (``_keys``), without content."""
     R.prepare(pages.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,27 +278,32 @@ def induce(pages: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 read_pages = [Page(x or "") for x in part.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("host"), pa.array([p.skeleton() for p in read_pages], pa.string()), pa.array([p.checksums() for p in read_pages], pa.list_(pa.int64()))], names=["host", "skeleton", "sums"])
+                sums = [p.checksums() for p in read_pages]
+                rests = [p.rests(x) for p, x in zip(read_pages, sums, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("host"), pa.array([p.skeleton() for p in read_pages], pa.string()), pa.array(sums, pa.list_(pa.int64())), pa.array([r[0] for r in rests], pa.int64()), pa.array([r[1] for r in rests], pa.list_(pa.int64()))],
+                    names=["host", "skeleton", "sums", "content", "rests"],
+                )
 
     source = pages.select(_host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    seen = R.written(source.mapInArrow(read, "host string, skeleton string, sums array<bigint>"), "skeletons")
-    counted = seen.groupBy("host", "skeleton").count()
+    seen = R.written(source.mapInArrow(read, "host string, skeleton string, sums array<bigint>, content bigint, rests array<bigint>"), "skeletons")
+    counted = seen.select("host", "skeleton", "content").distinct().groupBy("host", "skeleton").count()
     reference = counted.groupBy("host").agg(F.max(F.struct("count", F.col("skeleton"))).alias("top")).select("host", F.col("top.skeleton").alias("reference"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, nodes, sums = [], [], []
-            for host, skeleton, own, ref in zip(*(batch.column(c).to_pylist() for c in ("host", "skeleton", "sums", "reference")), strict=True):
-                for x, y in _matched(skeleton, ref):
-                    if own[x]:
-                        hosts.append(host)
-                        nodes.append(y)
-                        sums.append(own[x])
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(sums, pa.int64())], names=["host", "node", "sum"])
-
-    aligned = seen.join(reference, "host").mapInArrow(align, "host string, node int, sum bigint")
-    stats = aligned.groupBy("host", "node").agg(F.count("*").alias("n"), F.approx_count_distinct("sum", 0.02).alias("texts"), F.min("sum").alias("a"), F.max("sum").alias("b"))
-    kind = F.when((F.col("a") == F.col("b")) & (F.col("n") >= 10), F.lit("fixed")).when((F.col("n") >= 3) & (F.col("texts") * 3 <= F.col("n")), F.lit("template"))
+            out: list[tuple] = []
+            for host, skeleton, own, content, rests, ref in zip(*(batch.column(c).to_pylist() for c in ("host", "skeleton", "sums", "content", "rests", "reference")), strict=True):
+                out += ((host, y, up, x or None, rest if x else None, content) for y, up, x, rest in zip(*_keys(skeleton, ref), own, rests, strict=True) if y >= 0)
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["host", "node", "up", "sum", "rest", "content"])
+
+    aligned = seen.join(reference, "host").select("host", "skeleton", "sums", "content", "rests", "reference").mapInArrow(align, "host string, node bigint, up bigint, sum bigint, rest bigint, content bigint")
+    distinct = {c: F.approx_count_distinct(c, 0.02) for c in ("rest", "sum", "content")}
+    stats = R.written(aligned.groupBy("host", "node").agg(F.min("up").alias("up"), distinct["rest"].alias("n"), distinct["sum"].alias("texts"), distinct["content"].alias("pages"), F.min("sum").alias("a"), F.max("sum").alias("b")), "nodes")
+    above = stats.select("host", F.col("node").alias("up"), F.col("pages").alias("above"))
+    stats = stats.where("a is not null").join(above, ["host", "up"], "left")
+    kind = F.when((F.col("a") == F.col("b")) & (F.col("n") >= 10) & (F.col("n") * 2 >= F.coalesce("above", "n")), F.lit("fixed")).when((F.col("n") >= 3) & (F.col("texts") * 3 <= F.col("n")), F.lit("template"))
     kinds = stats.select("host", "node", kind.alias("kind")).where(F.col("kind").isNotNull()).groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("node", "kind"))).alias("kinds"))
     return reference.join(kinds, "host", "left")
 
@@ -281,7 +312,7 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), max_br
     """The kept columns and the main text of every page."""
     R.prepare(pages.sparkSession)
     templates = R.written(induce(pages), "templates")
-    sizes = templates.agg(F.count("*"), F.sum(F.length("reference"))).first()
+    sizes = templates.agg(F.count("*"), F.sum(F.length("reference") + 16 * F.coalesce(F.cardinality("kinds"), F.lit(0)))).first()
     if sizes[0] <= max_broadcast and (sizes[1] or 0) <= 16_000_000:
         templates = F.broadcast(templates)
     source = pages.select(*keep, _host(F.col("url")).alias("__host"), F.col("html").cast("string").alias("__html"))
@@ -296,7 +327,7 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), max_br
                 for source_html, ref, kinds in zip(*(part.column(k + i).to_pylist() for i in range(3)), strict=True):
                     page = Page(source_html or "")
                     kind_of = dict(kinds or ())
-                    texts.append(page_text(page, {x: kind_of[y] for x, y in _matched(page.skeleton(), ref) if y in kind_of} if kind_of else {}))
+                    texts.append(page_text(page, {x: kind_of[y] for x, y in enumerate(_keys(page.skeleton(), ref)[0]) if y in kind_of} if kind_of else {}))
                 yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array(texts, pa.string())], names=[*keep, "text"])
 
     return joined.mapInArrow(run, source.select(*keep).schema.add("text", "string"))

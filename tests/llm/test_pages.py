@@ -67,3 +67,14 @@ def test_deep_boilerplate_goes(spark):
     other = "<section>" * 60 + "<p>text</p><div class='comments'><div><p>nice</p></div></div><p>end</p>"
     got = run(spark, [(1, "http://f.example.com/", deep), (2, "http://g.example.com/", other)])
     assert got[1].text == "own\nmore" and got[2].text == "text\nend"
+
+
+def test_copies_count_once(spark):
+    """Copies of an article whose list no other page has, and a host whose articles all appear three times."""
+    list_of = "<body><article><h1>A</h1><p>text</p><ul><li>one</li><li>two</li></ul></article></body>"
+    rows = [(i, "http://h.example.com/", list_of) for i in range(20)]
+    rows += [(100 + i, "http://h.example.com/", f"<body><article><h1>T{i}</h1><p>p{i}</p></article></body>") for i in range(15)]
+    rows += [(200 + i, "http://i.example.com/", f"<body><div class='x'><p>Body {i // 3}</p></div><div class='y'><p>Same</p></div></body>") for i in range(36)]
+    got = run(spark, rows)
+    assert all(got[i].text == "A\ntext\none\ntwo" for i in range(20))
+    assert all(got[200 + i].text == f"Body {i // 3}" for i in range(36))
