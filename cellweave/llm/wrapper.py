@@ -5,7 +5,8 @@
    items is a repeated slot.  Each node gets a checksum of its text.
 2. A host's reference is its commonest skeleton.  Each page's skeleton is aligned with it by
    simple tree matching (the largest order- and parent-preserving matching).
-3. Over all pages of the host, the aligned nodes are counted by distinct texts.  What is
+3. Over all pages of the host, the aligned nodes are counted by distinct texts, and nodes that
+   do not align by host and path of labels, so that other layouts have a template too.  What is
    counted is not pages but the different texts that the rest of their content has, so copies
    of an article count once.  A node whose text hardly varies belongs to the template; a slot
    whose text varies holds content.
@@ -294,7 +295,7 @@ def induce(pages: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for host, skeleton, own, content, rests, ref in zip(*(batch.column(c).to_pylist() for c in ("host", "skeleton", "sums", "content", "rests", "reference")), strict=True):
-                out += ((host, y, up, x or None, rest if x else None, content) for y, up, x, rest in zip(*_keys(skeleton, ref), own, rests, strict=True) if y >= 0)
+                out += ((host, y, up, x or None, rest if x else None, content) for y, up, x, rest in zip(*_keys(skeleton, ref), own, rests, strict=True))
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["host", "node", "up", "sum", "rest", "content"])
 

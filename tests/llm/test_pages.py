@@ -78,3 +78,11 @@ def test_copies_count_once(spark):
     got = run(spark, rows)
     assert all(got[i].text == "A\ntext\none\ntwo" for i in range(20))
     assert all(got[200 + i].text == f"Body {i // 3}" for i in range(36))
+
+
+def test_minority_layouts_have_a_template(spark):
+    rows = [(i, "http://j.example.com/", f"<body><div class='a'><p>first {i}</p></div><div class='z'>Kept on all</div></body>") for i in range(40)]
+    rows += [(100 + i, "http://j.example.com/", f"<body><section class='b'><h2>Hot today</h2><blockquote>second {i}</blockquote></section></body>") for i in range(20)]
+    got = run(spark, rows)
+    assert all(got[i].text == f"first {i}" for i in range(40))
+    assert all(got[100 + i].text == f"second {i}" for i in range(20))
