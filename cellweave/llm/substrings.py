@@ -10,8 +10,8 @@ path.  Equal edges have equal anchors, so everything that concerns an edge meets
    is a repeat in every document but the smallest.  Several paths make a branch, and their
    documents are asked for the single edges there.
 3. The edges asked for are compared one by one in the same way.
-4. A text loses the words covered by its repeated edges.  Neighbouring repeats join into spans,
-   and each carries the coordinates of its source, the document that it repeats.
+4. A text loses the words covered by its repeated edges.  Neighbouring repeats join into spans.
+   Spans hold no source coordinates, and no words are compared with a source.
 
 What is decided by hashes rests on 128 bits (anchor and path, or two hashes of the edge).
 A block combines its own repeats before anything is shuffled, so a passage in any share of
