@@ -13,8 +13,8 @@ memory whatever the numbers of queries and vectors; no block is skipped.
 
 Vectors that are null or zero, or that hold null, NaN or infinite components, take no part;
 nor do rows without an id.  Ties go to the smaller id.  With fewer candidates than asked for
-all are returned.  Repeated rows of one id are one vector (the first by value).  Vectors of
-different lengths are compared only with vectors of the commonest length.  Extra columns are
+all are returned.  Repeated rows of one id are one vector (the first by value).  Vectors are
+compared with those of their own length, and each length has its own quantiser.  Extra columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -109,11 +109,16 @@ def search(embeddings: DataFrame, query_every: int = 20, k: int = 20, rerank: in
     spark = R.prepare(embeddings.sparkSession)
     rows = R.written(usable(embeddings), "vectors")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sizes = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not sizes:
-        return empty
-    d, n = sizes[0]["d"], sizes[0]["count"]
-    rows = rows.where(F.size("vector") == d)
+    found = None
+    for d, n in rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").collect():
+        own = _search(rows.where(F.size("vector") == d), d, n, query_every, k, rerank, max_train, codebooks, beam, query_block, code_block)
+        found = own if found is None else found.unionByName(own)
+    return empty if found is None else found
+
+
+def _search(rows: DataFrame, d: int, n: int, query_every: int, k: int, rerank: int, max_train: int, codebooks: int, beam: int, query_block: int, code_block: int) -> DataFrame:
+    """The search among the n vectors of one length d."""
+    spark = rows.sparkSession
     part = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20))
     picked = rows if n <= max_train else rows.where(part < int(max_train / n * (1 << 20)) + 1)
     sample = np.array([r.vector for r in picked.orderBy(F.xxhash64("vec_id")).limit(max_train).collect()], np.float32)

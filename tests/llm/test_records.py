@@ -201,3 +201,13 @@ def test_preference_prefix_and_masks(spark):
     assert got[3].chosen == "" and got[3].rejected_spans[0].first == len("<|assistant|>\n")
     assert got[4].n_prefix == 1 and got[4].chosen == "<|user|>\nd<|end|>\n" and got[4].rejected == ""
     assert preference.neighbours_paired(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def test_neighbours_of_every_length(spark):
+    rows = vectors(3, n=60) + [(1000 + i, v, 0) for i, v, _ in vectors(4, n=40, d=8)]
+    got = neighbours.search(spark.createDataFrame(rows, VEC), query_every=20, k=5, codebooks=4).collect()
+    size = {i: len(v) for i, v, _ in rows}
+    assert {r.query_id for r in got} == {0, 20, 40, 1000, 1020}
+    assert all(size[r.query_id] == size[r.vec_id] for r in got)
+    dot = {(a, b): sum(p * q for p, q in zip(x, y, strict=True)) for a, x, _ in rows for b, y, _ in rows if len(x) == len(y)}
+    assert all(abs(r.score - dot[r.query_id, r.vec_id]) < 1e-9 for r in got)
