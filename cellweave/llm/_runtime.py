@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,13 +51,46 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _TABLES.append(path)
+    _PATHS[out] = path
+    return out
+
+
+#: Tables in the shared folder that are not deleted yet, and those of frames that are still held.
+_TABLES: list[str] = []
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes what ``written`` wrote for frames that nothing reads any more."""
+    for df in frames:
+        path = _PATHS.pop(df)
+        _TABLES.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def tables() -> list[str]:
+    return list(_TABLES)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of results that have been used."""
+    for path in paths:
+        if path in _TABLES:
+            _TABLES.remove(path)
+            _delete(spark, path)
 
 
 def cleanup(spark: SparkSession) -> None:
     """Deletes what this application has written to the shared folder, once its results are used."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _scratch(spark))
+    _TABLES.clear()
 
 
 def text_buffers(column: pa.Array) -> tuple:

@@ -22,6 +22,8 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("further"))
         lower = lower.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("further", "root")).alias("root"))
         moved = Observation()  # counted while the round is written
-        labels = R.written(lower.observe(moved, F.count_if(F.col("was") != F.col("root")).alias("n")).select("node", "root"), "labels")
+        last, labels = labels, R.written(lower.observe(moved, F.count_if(F.col("was") != F.col("root")).alias("n")).select("node", "root"), "labels")
+        R.drop(last)
         if not moved.get["n"]:
+            R.drop(both)
             return labels

@@ -1,27 +1,25 @@
 """Exact Jaccard join of word shingles in metric space, by regions around pivots.
 
-Distance is 1 - Jaccard similarity, a metric.  Whole documents do not serve as pivots of the
-whole corpus: all but a few of them are at distance 1 from any, so that every Voronoi region
-would have every document on its boundary.  The pivots of the first level are therefore single
-shingles.  A document's region is that of its first shingle in one order of all shingles, and
-it is replicated into the regions that a document within the radius could have for its own:
-those of its first n - ceil(t n) + 1 shingles.  Two linked documents meet in the region of the
-first shingle they share.  Frequent shingles, counted over all documents, come last in the
-order, so regions stay small unless their documents are alike.  Linked documents share not one
-but a number of replicated shingles that follows from their sizes, so pairs that meet in fewer
-regions part before their sets are compared.
-
-Inside a region the pivots are documents.  A region of few documents compares all; a larger
-one compares its documents with a pivot.  Those within the radius are linked to it.  The rest,
-with the documents that the triangle inequality leaves near enough, |d(x,p) - d(y,p)| <= r,
-and that no chain of links joins yet, are the next regions, with twice as many pivots, until
-none is open.  Distances are exact, from the whole shingle sets.
-
-Equal sets are one class from the start, so groups of copies never meet as pairs.  The rounds
-find enough links between classes to connect what the threshold connects.  Representatives need
-no more.  The join then measures all pairs inside each component, where every link is: classes are
-dealt into tiles by size and hash, and two tiles meet in one task, so a class's set is sent once
-for each tile of near sizes and no pair is a row of a shuffle.
+Distance is 1 - Jaccard similarity, a metric; documents are linked within a radius of it.
+
+1. Equal sets are one class, so groups of copies never meet as pairs.
+2. Whole documents are at distance 1 from almost all others, so no set of documents could part
+   the whole corpus.  The pivots of the first level are single shingles: a class is replicated
+   into the regions of its first n - ceil(t n) + 1 shingles in one order, frequent ones (counted
+   over all documents) last.  Two linked classes meet in a number of these regions that follows
+   from their sizes.  A region of few classes gives pairs, which part here if they met too rarely.
+3. Every larger region takes a class for its pivot, the one that most large regions hold; regions
+   with the same pivot are one cell.  What met in a large region meets in its cell.
+4. A cell of too many classes for one task is parted by Voronoi: each class measures its distance
+   to a fixed number of pivots and is at home with the nearest.  It visits the region of a pivot
+   where d(x, p) <= d(x, nearest) + 2 r, outside of which the triangle inequality leaves nothing
+   near it.  Homes meet homes and visitors, so every pair meets once.  Regions are parted again
+   until they are small; one that parting does not shrink (copies of one text, all near
+   each other) is dealt into tiles instead, by size and hash, and two tiles meet in one task.
+5. Sets are compared whole.  A pair that shares several cells counts in the least of them.
+
+Tasks emit numbers of links and a spanning forest of them, never all pairs of a group; ``linked``
+emits every link.
 
 A null or empty text, or one without words, has no shingle and is linked with nothing.  A text
 of fewer words than a shingle is one shingle.  Shingles are 64-bit hashes and classes 64-bit
@@ -44,16 +42,14 @@ from .components import components
 from .substrings import _groups
 
 WORDS = 5
-#: Regions up to this many documents compare all of them.
-_SMALL = 8
-#: Pivots of a large region in its first round of recursion; each further round has twice as many.
-_PIVOTS = 24
-#: Members of one region that a block sends on; of more, it sends a pivot.
-_BLOCK_SMALL = 4
+#: Regions of a shingle up to this many classes give pairs; of more members a block sends one.
+_SMALL, _BLOCK_SMALL = 8, 4
 _BLOCK = 1 << 19
 _CUT = np.uint64(24)
+#: Cells of more classes are parted, by so many pivots, in tasks of so many classes.
+_REGION, _PIVOTS, _BLOCK_CLASSES = 1024, 16, 2048
 #: Classes of a tile, and the shingles it may hold if they are long.
-_TILE, _TILE_SHINGLES = 128, 1 << 18
+_TILE, _TILE_SHINGLES = 512, 1 << 19
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,14 +126,23 @@ def frequent(documents: DataFrame, words: int = WORDS, least: int = _SMALL, at_m
             yield counted()
 
     blobs = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "key long, blob binary")
-    found = blobs.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(total, "cut long, count long")
-    return found.orderBy(F.desc("count"), "cut").limit(at_most)
+    found = R.written(blobs.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(total, "cut long, count long"), "frequent")
+    # the least count that leaves at_most of them, from a histogram of a few hundred classes of counts
+    step = F.floor(F.log2("count") * 8).cast("int")
+    left, least_step = at_most, 0
+    for row in found.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        left -= row["n"]
+        if left < 0:
+            least_step = row["step"] + 1
+            break
+    return found.where(step >= least_step)
 
 
-#: Rows that regions gather: members, pairs, members of large regions, and documents.
+#: Rows that regions gather: members, pairs, members of large regions, and documents (with the
+#: two halves of their text's hash).
 _ROW = {"key": pa.int64(), "kind": pa.int32(), "x": pa.int64(), "n": pa.int32(), "y": pa.int64(), "m": pa.int32(), "met": pa.int32()}
 _ROW_SQL = "key bigint, kind int, x bigint, n int, y bigint, m int, met int"
-_MEMBER, _PAIR, _LARGE = 0, 1, 2
+_MEMBER, _PAIR, _LARGE, _DOCUMENT = 0, 1, 2, 9
 
 
 def _rows(kind: int, key: np.ndarray, x: np.ndarray, n: np.ndarray, y: np.ndarray | None = None, m: np.ndarray | None = None, met: np.ndarray | None = None) -> pa.RecordBatch:
@@ -162,23 +167,6 @@ def _all_pairs(group: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _met(key: np.ndarray, x: np.ndarray, n: np.ndarray, flagged: np.ndarray, percent: int, small: int) -> tuple[tuple, np.ndarray]:
-    """What the members of regions (sorted by key and x, distinct) give: pairs (x, n, y, m), and which
-    members are in large regions.  A region that a block found large is large."""
-    group = _groups(key)
-    sizes = np.diff(np.r_[group, len(key)])
-    marked = np.maximum.reduceat(flagged, group) > 0
-    few = (sizes > 1) & (sizes <= small) & ~marked
-    i, j = _all_pairs(group[few], sizes[few])
-    many = np.repeat((sizes > small) | (marked & (sizes > 1)), sizes)
-    pivot = np.repeat(group, sizes)
-    rest = np.flatnonzero(many & (pivot != np.arange(len(key))))
-    i, j = np.r_[i, pivot[rest]], np.r_[j, rest]
-    ok = _near_sizes(n[i], n[j], percent)
-    i, j = i[ok], j[ok]
-    return (x[i], n[i], x[j], n[j]), many
-
-
 def _counted_pairs(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
     """Each pair once, with the number of regions where it met."""
     order = np.lexsort((y, x))
@@ -202,13 +190,10 @@ def regions(documents: DataFrame, hot: tuple[np.ndarray, np.ndarray], words: int
         sizes = np.diff(np.r_[group, len(key)])
         many = np.repeat(sizes > _BLOCK_SMALL, sizes)
         sent = ~many
-        sent[group] = True  # of a larger group, the pivot, marked
+        sent[group] = True  # one of a larger group, marked
         yield _rows(_MEMBER, key[sent], x[sent], n[sent], m=many[sent].astype(np.int64))
         if many.any():
-            key, x, n = key[many], x[many], n[many]
-            got, large = _met(key, x, n, np.ones(len(key), np.int64), percent, _BLOCK_SMALL)
-            yield _counted_pairs(*got)
-            yield _rows(_LARGE, key[large], x[large], n[large], key[large])
+            yield _rows(_LARGE, key[many], x[many], n[many], key[many])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, counts = shared.value
@@ -234,7 +219,8 @@ def regions(documents: DataFrame, hot: tuple[np.ndarray, np.ndarray], words: int
                 n = np.bincount(row, minlength=hi - lo)
                 begin = np.cumsum(n) - n
                 cls = _classes(s, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int64)), pa.array(np.full(hi - lo, 9, np.int32)), pa.array(cls), pa.array(n.astype(np.int32)), ids.slice(lo, hi - lo), pa.array(np.zeros(hi - lo, np.int32)), pa.array(np.zeros(hi - lo, np.int32))], names=list(_ROW))
+                half = [batch.column(c).slice(lo, hi - lo) for c in ("low", "high")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int64)), pa.array(np.full(hi - lo, _DOCUMENT, np.int32)), pa.array(cls), pa.array(n.astype(np.int32)), ids.slice(lo, hi - lo), *half], names=list(_ROW))
                 prefix = n - -(-percent * n // 100) + 1
                 inside = np.arange(len(row)) - begin[row] < prefix[row]
                 r = row[inside]
@@ -260,44 +246,51 @@ def regions(documents: DataFrame, hot: tuple[np.ndarray, np.ndarray], words: int
             key, x, n, marked = key[order], x[order], n[order], marked[order]
             first = _groups(key, x)
             key, x, n, marked = key[first], x[first], n[first], marked[first]
-            got, large = _met(key, x, n, marked, percent, _SMALL)
-            if len(got[0]):
-                yield _counted_pairs(*got)
+            group = _groups(key)
+            sizes = np.diff(np.r_[group, len(key)])
+            # a region that a block found large is large
+            marked = np.maximum.reduceat(marked, group) > 0
+            few = (sizes > 1) & (sizes <= _SMALL) & ~marked
+            i, j = _all_pairs(group[few], sizes[few])
+            near = _near_sizes(n[i], n[j], percent)
+            i, j = i[near], j[near]
+            if len(i):
+                yield _counted_pairs(x[i], n[i], x[j], n[j])
+            large = np.repeat((sizes > 1) & ~few, sizes)
             if large.any():
                 yield _rows(_LARGE, key[large], x[large], n[large], key[large])
 
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sent = source.mapInArrow(scan, _ROW_SQL)
-    # rows that only pass through (documents, pairs, members of large regions) go anywhere
+    digest = _digest()
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), digest.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("low"), F.shiftright(digest, 32).cast("int").alias("high"))
+    low = F.when(F.col("low") >= 1 << 31, F.col("low") - (1 << 32)).otherwise(F.col("low")).cast("int")
+    sent = source.withColumn("low", low).mapInArrow(scan, _ROW_SQL)
+    # rows that only pass through (documents, members of large regions) go anywhere
     key = F.when(F.col("kind") == _MEMBER, F.col("key")).otherwise(F.xxhash64("kind", "x", "y"))
     gathered = R.written(sent.withColumn("key", key).repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(gather, _ROW_SQL), "regions")
-    return gathered.where("kind = 9").select(F.col("y").alias("doc_id"), "n", F.col("x").alias("cls")), gathered
+    halves = F.shiftleft(F.col("met").cast("long"), 32).bitwiseOR(F.col("m").cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    return gathered.where(f"kind = {_DOCUMENT}").select(F.col("y").alias("doc_id"), "n", F.col("x").alias("cls"), halves.alias("digest")), gathered
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, words: int) -> DataFrame:
-    """(x, y, both, n, m): the size of the intersection of each pair (x, n, y, m), from the whole sets."""
-    needed = pairs.select(F.col("x").alias("cls")).unionByName(pairs.select(F.col("y").alias("cls"))).distinct()
-    listed = _listed(needed, classes, documents, words)
-    a = pairs.join(listed.select(F.col("cls").alias("x"), F.col("shingles").alias("s")), "x")
-    b = a.join(listed.select(F.col("cls").alias("y"), F.col("shingles").alias("t")), "y").select("x", "n", "y", "m", "s", "t")
+def _digest() -> F.Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = np.zeros(batch.num_rows, np.int32)
-            s, t = batch.column("s"), batch.column("t")
-            for i in range(batch.num_rows):
-                both[i] = len(np.intersect1d(np.asarray(s[i].values), np.asarray(t[i].values), assume_unique=True))
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(both), batch.column("n"), batch.column("m")], names=["x", "y", "both", "n", "m"])
 
-    return b.mapInArrow(shared, "x bigint, y bigint, both int, n int, m int")
+def _classes(shingles: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The class of each set, from distinct shingles row by row."""
+    cls = np.zeros(len(n), np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        cls[some] = np.add.reduceat(W._mix(shingles + np.uint64(0xA0761D6478BD642F)), (np.cumsum(n) - n)[some])
+    return W.signed(W._mix(cls + n.astype(np.uint64)))
 
 
-def _listed(needed: DataFrame, classes: DataFrame, documents: DataFrame, words: int) -> DataFrame:
-    """(cls, shingles) of the needed classes, the whole sets."""
-    chosen = R.written(needed.join(classes, "cls").select("cls", F.col("doc_id").alias("__doc")), "needed")
+def _sets_of(needed: DataFrame, classes: DataFrame, documents: DataFrame, words: int) -> DataFrame:
+    """(cls, shingles) of the needed classes, the whole sets, each from one row's text."""
+    chosen = R.written(needed.join(classes, "cls").select("cls", F.col("doc_id").alias("__doc"), F.col("digest").alias("__digest")), "needed")
     if chosen.count() <= 500_000:
-        chosen = F.broadcast(chosen)  # 16 bytes each
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, F.col("doc_id").eqNullSafe(F.col("__doc"))).select("cls", "text")
+        chosen = F.broadcast(chosen)  # 24 bytes each
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("__doc")) & (_digest() == F.col("__digest"))).select("cls", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,189 +298,288 @@ def _listed(needed: DataFrame, classes: DataFrame, documents: DataFrame, words:
             for lo, hi in R.chunks(offsets):
                 row, s = _distinct_sets(data, offsets[lo : hi + 1], words)
                 n = np.bincount(row, minlength=hi - lo)
-                own = batch.column("cls").slice(lo, hi - lo)
-                meant = _classes(s, n) == own.to_numpy()
-                yield pa.RecordBatch.from_arrays([own, R.list_column(W.signed(s), n, pa.int64())], names=["cls", "shingles"]).filter(pa.array(meant))
+                yield pa.RecordBatch.from_arrays([batch.column("cls").slice(lo, hi - lo), R.list_column(W.signed(s), n, pa.int64())], names=["cls", "shingles"])
 
-    # an id may stand for several rows; the class tells which of them is meant
-    return texts.mapInArrow(sets, "cls bigint, shingles array<bigint>").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    # a row may be there several times
+    got = texts.mapInArrow(sets, "cls bigint, shingles array<bigint>").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    return R.written(got, "sets")
 
 
-def _classes(shingles: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The class of each set, from distinct shingles row by row."""
-    cls = np.zeros(len(n), np.uint64)
-    some = np.flatnonzero(n)
-    if len(some):
-        cls[some] = np.add.reduceat(W._mix(shingles + np.uint64(0xA0761D6478BD642F)), (np.cumsum(n) - n)[some])
-    return W.signed(W._mix(cls + n.astype(np.uint64)))
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of (x, y), from the whole sets."""
+    a = pairs.join(sets.select(F.col("cls").alias("x"), F.col("shingles").alias("s")), "x")
+    b = a.join(sets.select(F.col("cls").alias("y"), F.col("shingles").alias("t")), "y").select("x", "y", "s", "t")
 
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.zeros(batch.num_rows, bool)
+            s, t = batch.column("s"), batch.column("t")
+            for i in range(batch.num_rows):
+                one, other = np.asarray(s[i].values), np.asarray(t[i].values)
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                own[i] = 100 * both >= percent * (len(one) + len(other) - both)
+            yield batch.select(["x", "y"]).filter(pa.array(own))
 
-def linked(documents: DataFrame, words: int = WORDS, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, cls) of every row, all links between classes (x, y), x < y, and (node, root) of
-    the classes with links."""
-    rows, classes, found, roots = _connected(documents, words, percent)
-    return rows, _whole(found, classes, roots, documents, words, percent, degrees=False), roots
+    return b.mapInArrow(near, "x bigint, y bigint")
 
 
-def _near_pairs(shingles: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the sets left and right (row numbers) are linked, from flat sets and their sizes."""
+def _both(values: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets left with those right (row numbers), from flat sets and their sizes."""
     row = np.repeat(np.arange(len(n)), n)
-    order = np.argsort(shingles, kind="stable")
-    row, value = row[order], shingles[order]
-    first = _groups(value)
-    times = np.diff(np.r_[first, len(value)])
+    order = np.argsort(values, kind="stable")
+    row, values = row[order], values[order]
+    first = _groups(values)
+    times = np.diff(np.r_[first, len(values)])
     inside = np.repeat(times > 1, times)
     row, column = row[inside], np.repeat(np.arange(np.count_nonzero(times > 1)), times[times > 1])
-    both = np.zeros((len(left), len(right)), np.int64)
+    both = np.zeros((len(left), len(right)), np.int32)
     columns = int(column[-1]) + 1 if len(column) else 0
     for at in range(0, columns, 4096):
         a, b = np.searchsorted(column, [at, at + 4096])
         has = np.zeros((len(n), min(4096, columns - at)), np.float32)
         has[row[a:b], column[a:b] - at] = 1
-        both += (has[left] @ has[right].T).astype(np.int64)
-    return both * 100 >= (n[left][:, None] + n[right][None, :] - both) * percent
-
+        both += (has[left] @ has[right].T).astype(np.int32)
+    return both
+
+
+def _cells(large: DataFrame) -> DataFrame:
+    """(cell, x, n): the classes of large regions, where regions of one pivot are one cell."""
+    held = large.groupBy("x").agg(F.count("*").alias("held"))
+    central = large.join(held, "x").groupBy("region").agg(F.min(F.struct(-F.col("held"), F.xxhash64("x"), "x")).alias("c")).select("region", F.col("c.x").alias("cell"))
+    return R.written(large.join(central, "region").select("cell", "x", "n").distinct(), "cells")
+
+
+def _voronoi(level: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Regions (region, x, n, cell, home) parted by the nearest of their pivots: (parent, region, x, n,
+    cell, home), and the links (x, y) to pivots."""
+    counted = level.groupBy("region").agg(F.count("*").alias("c"))
+    blocks = F.ceil(F.col("c") / _BLOCK_CLASSES).cast("long")
+    part = level.where("home").groupBy("region", F.pmod(F.xxhash64("x"), F.lit(64)).alias("part")).agg(F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("x", "region").alias("h"), "x"))), 1, _PIVOTS).alias("some"))
+    chosen = part.groupBy("region").agg(F.slice(F.sort_array(F.flatten(F.collect_list("some"))), 1, _PIVOTS).alias("some"))
+    pivots = chosen.join(counted, "region").select("region", F.posexplode("some").alias("pivot", "d"), blocks.alias("blocks"))
+    pivots = pivots.select("region", F.col("d.x").alias("cls"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    none = F.lit(None)
+    pivots = pivots.select("region", "block", "cls", "pivot", none.cast("int").alias("n"), none.cast("long").alias("cell"), none.cast("boolean").alias("home"))
+    members = level.join(counted, "region").select("region", F.pmod(F.xxhash64("x"), blocks).alias("block"), F.col("x").alias("cls"), F.lit(_PIVOTS).alias("pivot"), "n", "cell", "home")
+    dealt = members.unionByName(pivots).join(sets, "cls").withColumn("key", F.xxhash64("region", "block"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .substrings import _whole_groups
 
-def _whole(found: DataFrame, classes: DataFrame, roots: DataFrame, documents: DataFrame, words: int, percent: int, degrees: bool) -> DataFrame:
-    """All links (x, y), x < y, or (cls, n_links) of their classes.  Components of two classes have
-    their link already; the others compare all pairs whose sizes are near, tile by tile."""
-    members = roots.select(F.col("node").alias("cls"), "root").join(classes.select("cls", "n"), "cls")
-    sized = R.written(members.groupBy("root").agg(F.count("*").alias("c"), F.max("n").alias("most")), "components")
-    own = R.written(members.join(sized.where("c > 2"), "root"), "members")
-    room = F.expr(f"greatest(1L, least({_TILE}L, {_TILE_SHINGLES}L div most))")
+        for table in _whole_groups(batches):
+            lists = table.column("shingles").combine_chunks()
+            values, n = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+            key, pivot, region = (table.column(c).to_numpy() for c in ("key", "pivot", "region"))
+            stop = np.cumsum(n)
+            group = _groups(key, region)
+            for a, b in zip(group, np.r_[group[1:], len(key)], strict=True):
+                is_pivot = pivot[a:b] < _PIVOTS
+                left, right = np.flatnonzero(~is_pivot), np.flatnonzero(is_pivot)
+                if not len(left):
+                    continue
+                size = n[a:b]
+                both = _both(values[stop[a] - n[a] : stop[b - 1]], size, left, right)
+                either = size[left][:, None] + size[right][None, :] - both
+                distance = 1 - both / either
+                nearest = distance.argmin(1)
+                reach = distance <= distance.min(1)[:, None] + 2 * (1 - percent / 100) + 1e-9
+                own = table.select(["region", "cls", "n", "cell", "home"]).slice(a, b - a).take(pa.array(left))
+                home = own.column("home").to_numpy()
+                # of two homes the later one visits
+                place = np.arange(len(right))
+                reach &= ~home[:, None] | (place[None, :] <= nearest[:, None])
+                i, j = np.nonzero(reach)
+                link = (100 * both.astype(np.int64) >= percent * either)[i, j]
+                cls = table.column("cls").to_numpy()[a:b]
+                pivots_of = cls[right][j]
+                rows = own.take(pa.array(i))
+                columns = [rows.column("region"), pa.array(pivots_of), rows.column("cls"), rows.column("n"), rows.column("cell"), pa.array(home[i] & (nearest[i] == j)), pa.array(link)]
+                yield from pa.Table.from_arrays(columns, names=["parent", "pivot", "x", "n", "cell", "home", "link"]).combine_chunks().to_batches()
+
+    schema = "parent bigint, pivot bigint, x bigint, n int, cell bigint, home boolean, link boolean"
+    got = R.written(dealt.repartition(F.col("key")).sortWithinPartitions("key", "region").mapInArrow(measure, schema), "voronoi")
+    return got.select("parent", F.xxhash64("parent", "pivot").alias("region"), "x", "n", "cell", "home"), got.where("link and x <> pivot").select("x", F.col("pivot").alias("y"))
+
+
+def _parted(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Cells as regions (region, x, n, cell, home) of few classes, or of more that parting does not shrink."""
+    level = cells.select(F.xxhash64("cell").alias("region"), "x", "n", "cell", F.lit(True).alias("home"))
+    done: list[DataFrame] = []
+    while True:
+        size = level.groupBy("region").agg(F.count("*").alias("c"))
+        many = R.written(size.where(F.col("c") > _REGION), "many")
+        if many.isEmpty():
+            return _union([*done, level])
+        done.append(level.join(many, "region", "left_anti"))
+        level = R.written(level.join(many.select("region"), "region"), "level")
+        parts, _ = _voronoi(level, sets, percent)
+        # parting goes on only where it at most doubles the rows and leaves no part of over three quarters
+        shrunk = parts.groupBy("parent", "region").count().groupBy("parent").agg(F.sum("count").alias("all"), F.max("count").alias("most"))
+        better = R.written(shrunk.join(many, F.col("parent") == F.col("region")).where("all <= 2 * c and 4 * most <= 3 * c").select("parent"), "better")
+        done.append(level.join(better, F.col("region") == F.col("parent"), "left_anti"))
+        level = R.written(parts.join(better, "parent").drop("parent"), "parts")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _tiles(regions: DataFrame, percent: int) -> DataFrame:
+    """(cls, cell, home, key, side): where each class of a region meets others.  A region of few is one
+    place.  Others are dealt into tiles of near sizes; tiles of homes meet tiles of homes and visitors."""
     # linked sizes are in one band or in neighbouring ones
     width = max(-np.log(max(percent, 1) / 100), 1e-3) * 1.000001
-    own = own.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width))
-    small = own.where(F.col("c") <= room).select("cls", F.array(F.struct(F.xxhash64("root").alias("key"), F.lit(2).alias("side"))).alias("places"))
-    crowd = own.where(F.col("c") > room).drop("most")
-    tiles = crowd.groupBy("root", "band").agg(F.count("*").alias("c"), F.max("n").alias("most")).select("root", "band", F.ceil(F.col("c") / room).cast("long").alias("tiles"))
-    tiles = R.written(tiles.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "tiles"))).alias("tiles")), "tiles")
-    crowd = crowd.join(tiles, "root").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")[F.col("band")]))
-
-    def places(step: int, place) -> F.Column:  # noqa: ANN001
-        of = F.try_element_at("tiles", F.col("band") + step)
+    banded = R.written(regions.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width)), "banded")
+    room = F.expr(f"greatest(1L, least({_TILE}L, {_TILE_SHINGLES}L div most))")
+    tile = F.col("band") * 2 + F.col("home").cast("int")
+    counts = banded.groupBy("region", "band", "home").agg(F.count("*").alias("c"), F.max("n").alias("most"))
+    tiles = counts.groupBy("region").agg(F.sum("c").alias("c"), F.max("most").alias("most"), F.map_from_entries(F.collect_list(F.struct(tile, F.ceil(F.col("c") / room).cast("long")))).alias("tiles"))
+    own = banded.join(R.written(tiles, "tiles"), "region")
+    small = own.where(F.col("c") <= room).select(F.col("x").alias("cls"), "cell", "home", F.xxhash64("region").alias("key"), F.lit(2).alias("side"))
+    crowd = own.where(F.col("c") > room).withColumn("tile", F.pmod(F.xxhash64("x"), F.try_element_at("tiles", tile)))
+    band, at, home = F.col("band"), F.col("tile"), F.col("home")
+
+    def places(step: int, homes: bool, place) -> F.Column:  # noqa: ANN001
+        of = F.coalesce(F.try_element_at("tiles", (band + step) * 2 + int(homes)), F.lit(0))
         none = F.array().cast("array<struct<key:bigint,side:int>>")
-        return F.when(of.isNull(), none).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce(of, F.lit(1)) - 1), place))
+        return F.when(of == 0, none).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(of - 1, F.lit(0))), place))
+
+    def met(kind: int, first: list, second: list, side) -> F.Column:  # noqa: ANN001
+        return F.struct(F.xxhash64("region", F.lit(kind), *first, *second).alias("key"), side.alias("side"))
+
+    same = places(0, True, lambda j: met(0, [band, F.least(at, j)], [band, F.greatest(at, j)], F.when(at == j, 2).when(at < j, 0).otherwise(1)))
+    above = places(1, True, lambda j: met(0, [band, at], [band + 1, j], F.lit(0)))
+    below = places(-1, True, lambda j: met(0, [band - 1, j], [band, at], F.lit(1)))
+    visitors = [places(step, False, lambda j, step=step: met(1, [band, at], [band + step, j], F.lit(0))) for step in (-1, 0, 1)]
+    hosts = [places(step, True, lambda j, step=step: met(1, [band + step, j], [band, at], F.lit(1))) for step in (-1, 0, 1)]
+    dealt = crowd.select(F.col("x").alias("cls"), "cell", "home", F.explode(F.when(home, F.concat(same, above, below, *visitors)).otherwise(F.concat(*hosts))).alias("p"))
+    return small.unionByName(dealt.select("cls", "cell", "home", "p.key", "p.side"))
+
+
+def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of the nodes that links join: the least node that each reaches."""
+    label = np.arange(size)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, left, np.where(near, label[right][None, :], size).min(1, initial=size))
+        np.minimum.at(new, right, np.where(near, label[left][:, None], size).min(0, initial=size))
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            break
+        label = new
+    node = np.flatnonzero(label != np.arange(size))
+    return node, label[node]
+
+
+#: What a comparison gives: the number of a class's links, or a link.
+_DEGREE, _LINK = 0, 1
+
 
-    band, tile = F.col("band"), F.col("tile")
-    same = places(0, lambda j: F.struct(F.xxhash64("root", band, F.least(tile, j), band, F.greatest(tile, j)).alias("key"), F.when(tile == j, 2).when(tile < j, 0).otherwise(1).alias("side")))
-    above = places(1, lambda j: F.struct(F.xxhash64("root", band, tile, band + 1, j).alias("key"), F.lit(0).alias("side")))
-    below = places(-1, lambda j: F.struct(F.xxhash64("root", band - 1, j, band, tile).alias("key"), F.lit(1).alias("side")))
-    placed = small.unionByName(crowd.select("cls", F.concat(same, above, below).alias("places")))
-    listed = _listed(own.select("cls"), classes, documents, words)
-    dealt = listed.join(placed, "cls").select("cls", "shingles", F.explode("places").alias("p")).select("p.key", "p.side", "cls", "shingles")
+def _compared(placed: DataFrame, sets: DataFrame, of: DataFrame, percent: int, every: bool) -> DataFrame:
+    """(kind, x, y): numbers y of links of x, and links that join what all of them join (or all links)."""
+    dealt = placed.join(sets, "cls").join(of, "cls")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .substrings import _whole_groups
 
         for table in _whole_groups(batches):
-            key, side, cls = (table.column(c).to_numpy() for c in ("key", "side", "cls"))
-            sets = table.column("shingles").combine_chunks()
-            values, n = sets.flatten().to_numpy(), sets.value_lengths().to_numpy().astype(np.int64)
-            stop = np.cumsum(n)
-            start = stop - n
+            key, side, cls, cell, home = (table.column(c).to_numpy() for c in ("key", "side", "cls", "cell", "home"))
+            lists = [table.column(c).combine_chunks() for c in ("shingles", "cells")]
+            (values, n), (cells, k) = ((x.flatten().to_numpy(), x.value_lengths().to_numpy().astype(np.int64)) for x in lists)
+            stop, end = np.cumsum(n), np.cumsum(k)
             group = _groups(key)
             for a, b in zip(group, np.r_[group[1:], len(key)], strict=True):
                 left, right = np.flatnonzero(side[a:b] != 1), np.flatnonzero(side[a:b] != 0)
                 if not len(left) or not len(right) or b - a < 2:
                     continue
-                near = _near_pairs(values[start[a] : stop[b - 1]], n[a:b], left, right, percent)
-                near &= cls[a:b][left][:, None] != cls[a:b][right][None, :]
+                size = n[a:b]
+                both = _both(values[stop[a] - n[a] : stop[b - 1]], size, left, right)
+                near = both.astype(np.int64) * 100 >= (size[left][:, None] + size[right][None, :] - both) * percent
+                near &= home[a:b][left][:, None] | home[a:b][right][None, :]
                 if (side[a:b] == 2).all():
                     near = np.triu(near, 1)
-                i, j = np.nonzero(near)
-                x, y = cls[a + left[i]], cls[a + right[j]]
-                if degrees:
-                    linked, times = np.unique(np.r_[x, y], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(linked), pa.array(times.astype(np.int64))], names=["cls", "n_links"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
-
-    schema = "cls bigint, n_links bigint" if degrees else "x bigint, y bigint"
-    got = dealt.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(compare, schema)
-    pairs = sized.where("c = 2").select("root")
-    if degrees:
-        two = members.join(pairs, "root").select("cls", F.lit(1).cast("long").alias("n_links"))
-        return got.unionByName(two).groupBy("cls").agg(F.sum("n_links").alias("n_links"))
-    # of two classes one is the root, and x is the less
-    return got.unionByName(found.join(pairs, F.col("x") == F.col("root")).select("x", "y"))
-
-
-def _connected(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, cls) of every row, the classes (cls, doc_id, n), links (x, y) that connect what
-    the threshold connects, and (node, root) of the classes with links."""
-    spark = R.prepare(documents.sparkSession)
-    top = frequent(documents, words).toPandas()
-    cuts, counts = top["cut"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int32)
+                if not near.any():
+                    continue
+                # what shares a lesser cell meets there
+                row, own = np.repeat(np.arange(b - a), k[a:b]), cells[end[a] - k[a] : end[b - 1]]
+                less = own < cell[a]
+                near &= _both(own[less], np.bincount(row[less], minlength=b - a), left, right) == 0
+                c = cls[a:b]
+                if every:
+                    i, j = np.nonzero(near)
+                    x, y = c[left[i]], c[right[j]]
+                    yield _links(_LINK, np.minimum(x, y), np.maximum(x, y))
+                    continue
+                degree = np.bincount(left, near.sum(1), b - a) + np.bincount(right, near.sum(0), b - a)
+                some = np.flatnonzero(degree)
+                yield _links(_DEGREE, c[some], degree[some].astype(np.int64))
+                node, root = _forest(near, left, right, b - a)
+                yield _links(_LINK, c[node], c[root])
+
+    return dealt.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(compare, "kind int, x bigint, y bigint")
+
+
+def _links(kind: int, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(y)], names=["kind", "x", "y"])
+
+
+def _joined(documents: DataFrame, words: int, percent: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, cls, digest) of every row, and (kind, x, y) of the classes: numbers of links and
+    links that join what all of them join, or all links."""
+    R.prepare(documents.sparkSession)
+    listed = frequent(documents, words).toPandas()
+    cuts, counts = listed["cut"].to_numpy(np.int64).view(np.uint64), listed["count"].to_numpy(np.int32)
     order = np.argsort(cuts)
     rows, gathered = regions(documents, (cuts[order], counts[order]), words, percent)
-    classes = R.written(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "classes")
-    large = R.written(gathered.where(f"kind = {_LARGE}").select(F.col("y").alias("region"), "x", "n").distinct(), "large")
-    crowded = R.written(large.groupBy("x").agg(F.count("*").alias("regions")), "crowded")
-    met = R.written(gathered.where(f"kind = {_PAIR}").groupBy("x", "n", "y", "m").agg(F.sum("met").alias("met")), "pairs")
-    measured = R.written(_verified(_enough(met, crowded, percent), classes, documents, words), "distances")
-    near = F.col("both") * 100 >= (F.col("n") + F.col("m") - F.col("both")) * percent
-    pivots, again = _PIVOTS // 2, True
-    while again:
-        roots = components(measured.where(near).select(F.col("x").alias("a"), F.col("y").alias("b")))
-        own = large.join(roots.withColumnRenamed("node", "x"), "x", "left").select("region", "x", "n", F.coalesce("root", "x").alias("root"))
-        # a region whose documents are all joined is done
-        spread = own.groupBy("region").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("region")
-        large = R.written(own.join(spread, "region"), "large")
-        if large.isEmpty():
-            break
-        pivots *= 2
-        chosen = _least(large, pivots)
-        pair = large.alias("l").join(chosen.alias("p"), (F.col("l.region") == F.col("p.region")) & (F.col("l.x") != F.col("p.x")) & (F.col("l.root") != F.col("p.root")))
-        sizes = F.least("l.n", "p.n") * 100 >= F.greatest("l.n", "p.n") * percent
-        first = F.col("l.x") < F.col("p.x")
-        asked = pair.where(sizes).select(F.least("l.x", "p.x").alias("x"), F.when(first, F.col("l.n")).otherwise(F.col("p.n")).alias("n"), F.greatest("l.x", "p.x").alias("y"), F.when(first, F.col("p.n")).otherwise(F.col("l.n")).alias("m")).distinct()
-        asked = asked.join(measured.select("x", "y"), ["x", "y"], "left_anti").join(met.select("x", "y", "met"), ["x", "y"], "left").select("x", "n", "y", "m", F.coalesce("met", F.lit(0)).alias("met"))
-        asked = R.written(_in_window(_enough(asked, crowded, percent), measured, percent), "pairs")
-        again = not asked.isEmpty()
-        if again:
-            measured = R.written(measured.unionByName(_verified(asked, classes, documents, words)), "distances")
-        # pivots have met everything in their regions that could be near
-        large = R.written(large.join(chosen.select("region", "x"), ["region", "x"], "left_anti").select("region", "x", "n"), "large")
-        again = again or not large.isEmpty()
-    return rows, classes, measured.where(near).select("x", "y"), roots
-
-
-def _enough(met: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
+    of_class = F.min(F.struct("doc_id", "digest"))
+    classes = R.written(rows.where("n > 0").groupBy("cls").agg(of_class.alias("r")).select("cls", "r.doc_id", "r.digest"), "classes")
+    cells = _cells(R.written(gathered.where(f"kind = {_LARGE}").select(F.col("y").alias("region"), "x", "n").distinct(), "large"))
+    of = R.written(cells.groupBy("x").agg(F.collect_list("cell").alias("cells")), "of")
+    met = gathered.where(f"kind = {_PAIR}").groupBy("x", "n", "y", "m").agg(F.sum("met").alias("met")).where(_enough(percent))
+    a, b = of.select("x", F.col("cells").alias("a")), of.select(F.col("x").alias("y"), F.col("cells").alias("b"))
+    apart = met.join(a, "x", "left").join(b, "y", "left").where(~F.coalesce(F.arrays_overlap("a", "b"), F.lit(False)))
+    pairs = R.written(apart.select("x", "y"), "pairs")
+    needed = _union([pairs.select(F.col("x").alias("cls")), pairs.select(F.col("y").alias("cls")), of.select(F.col("x").alias("cls"))]).distinct()
+    sets = _sets_of(needed, classes, documents, words)
+    single = R.written(_verified(pairs, sets, percent), "links")
+    placed = _tiles(_parted(cells, sets, percent), percent)
+    found = R.written(_compared(placed, sets, of.withColumnRenamed("x", "cls"), percent, every), "compared")
+    R.drop(sets, pairs)
+    out = found.unionByName(single.select(F.lit(_LINK).alias("kind"), "x", "y"))
+    if not every:
+        for own in ("x", "y"):
+            out = out.unionByName(single.select(F.lit(_DEGREE).alias("kind"), F.col(own).alias("x"), F.lit(1).cast("long").alias("y")))
+    return rows, out
+
+
+def _enough(percent: int) -> F.Column:
     """Pairs that met often enough.  Of linked sets of n >= m shingles at least a = ceil(t (n + m) / (1 + t))
     are shared, and no more than ceil(t n) - 1 of them can lie past n's replicated shingles, so they
-    meet in a - ceil(t n) + 1 regions or more.  Large regions may not have shown them to one another:
-    as many as the document in fewer of those is in count as met."""
+    meet in a - ceil(t n) + 1 regions or more (in small ones, if they share no large one)."""
     share = F.expr(f"({percent}L * (n + m) + {99 + percent}) div {100 + percent}")
-    need = share - F.expr(f"({percent}L * greatest(n, m) + 99) div 100") + 1
-    a = crowded.select("x", F.col("regions").alias("__a"))
-    b = crowded.select(F.col("x").alias("y"), F.col("regions").alias("__b"))
-    both = met.join(a, "x", "left").join(b, "y", "left")
-    return both.where(F.col("met") + F.least(F.coalesce("__a", F.lit(0)), F.coalesce("__b", F.lit(0))) >= need).select("x", "n", "y", "m")
+    return F.col("met") >= share - F.expr(f"({percent}L * greatest(n, m) + 99) div 100") + 1
 
 
-def _least(large: DataFrame, k: int) -> DataFrame:
-    """The k first documents of each region, combined before the shuffle: k at most from each group of rows."""
-    part = large.groupBy("region", F.pmod(F.xxhash64("x"), F.lit(64)).alias("part")).agg(F.slice(F.sort_array(F.collect_set(F.struct("x", "n", "root"))), 1, k).alias("some"))
-    return part.groupBy("region").agg(F.slice(F.sort_array(F.flatten(F.collect_list("some"))), 1, k).alias("some")).select("region", F.explode("some").alias("d")).select("region", "d.x", "d.n", "d.root")
+def _roots(links: DataFrame) -> DataFrame:
+    return components(links.where(f"kind = {_LINK}").select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
-def _in_window(asked: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
-    """Pairs that the triangle inequality does not part by a pivot that both were measured with."""
-    radius = 1 - percent / 100
-    d = (1 - F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("d")
-    known = measured.select(F.col("x").alias("p"), F.col("y").alias("v"), d)
-    a = known.select("p", F.col("v").alias("x"), F.col("d").alias("dx"))
-    b = known.select("p", F.col("v").alias("y"), F.col("d").alias("dy"))
-    parted = asked.select("x", "y").join(a, "x").join(b, ["p", "y"]).where(F.abs(F.col("dx") - F.col("dy")) > radius + 1e-9).select("x", "y").distinct()
-    return asked.join(parted, ["x", "y"], "left_anti")
+def linked(documents: DataFrame, words: int = WORDS, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, cls) of every row, all links between classes (x, y), x < y, and (node, root) of
+    the classes with links."""
+    rows, found = _joined(documents, words, percent, every=True)
+    links = R.written(found.select("kind", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), "all")
+    return rows.drop("digest"), links.select("x", "y"), _roots(links)
 
 
 def join(documents: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (links to other classes), a row per document row."""
-    rows, classes, found, roots = _connected(documents, words, percent)
-    degree = R.written(_whole(found, classes, roots, documents, words, percent, degrees=True), "degrees")
-    by_class = _labelled(rows, roots).join(degree, "cls", "left").select(F.col("cls").alias("__cls"), "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    rows, found = _joined(documents, words, percent)
+    degree = found.where(f"kind = {_DEGREE}").groupBy(F.col("x").alias("cls")).agg(F.sum("y").alias("n_links"))
+    by_class = _labelled(rows, _roots(found)).join(degree, "cls", "left").select(F.col("cls").alias("__cls"), "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     some = rows.where("n > 0").join(by_class, F.col("cls") == F.col("__cls")).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
     none = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return some.unionByName(none)
@@ -503,8 +595,8 @@ def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def representatives(documents: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
     """The rows of each component's least id, one of several with that id; rows without shingles
     or without an id all stay.  Columns stay as they are."""
-    rows, _, _, roots = _connected(documents, words, percent)
-    least = rows.where("n > 0").join(_labelled(rows, roots), "cls").groupBy(F.col("doc_id").alias("__doc")).agg(F.min("component_id").alias("__least"))
+    rows, found = _joined(documents, words, percent)
+    least = rows.where("n > 0").join(_labelled(rows, _roots(found)), "cls").groupBy(F.col("doc_id").alias("__doc")).agg(F.min("component_id").alias("__least"))
     gone = least.where(F.col("__least") < F.col("__doc")).select("__doc")
     left = documents.join(gone, documents["doc_id"].cast("long") == gone["__doc"], "left_anti")
     repeated = R.written(least.where(F.col("__least") == F.col("__doc")).select("__doc").join(documents.groupBy(F.col("doc_id").cast("long").alias("__doc")).count().where("count > 1").select("__doc"), "__doc"), "repeated")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -86,6 +87,33 @@ def test_jaccard_links_are_whole(spark, tile, monkeypatch):
         assert len(links) == len(set(links)) == sum(degree.values()) // 2 and all(x < y for x, y in links)
 
 
+@pytest.mark.parametrize("parting", [True, False])
+def test_jaccard_cells_are_parted(spark, parting, monkeypatch):
+    """Cells over the limit go through Voronoi regions (or tiles) and give every link once."""
+    monkeypatch.setattr(jaccard, "_SMALL", 2)
+    monkeypatch.setattr(jaccard, "_REGION", 12 if parting else 10_000)
+    monkeypatch.setattr(jaccard, "_PIVOTS", 6)
+    monkeypatch.setattr(jaccard, "_TILE", 5)
+    monkeypatch.setattr(jaccard, "_BLOCK_CLASSES", 20)
+    rng = random.Random(11)
+    shared = [f"p{i}" for i in range(60)]
+    # six families of texts around one shared passage: near within a family, apart between them
+    rows = []
+    for family in range(6):
+        own = [f"f{family}w{i}" for i in range(90)]
+        for k in range(14):
+            text = list(own)
+            text[rng.randrange(90)] = f"x{family}y{k}"
+            if k % 5 == 0:
+                text[rng.randrange(90)] = f"z{k}"
+            rows.append((len(rows), " ".join(shared[: 10 + family] + text), "en", "s", 1, 0.5, "k", 1))
+    shingles = [frozenset(tuple(r[1].split()[i : i + 5]) for i in range(len(r[1].split()) - 4)) for r in rows]
+    want = Counter((r[0], sum(s != t and 100 * len(s & t) >= 75 * len(s | t) for t in set(shingles))) for r, s in zip(rows, shingles, strict=True))
+    got = jaccard.join(spark.createDataFrame(rows, SCHEMA).repartition(2)).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == want
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute_components(rows))
+
+
 def test_jaccard_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert jaccard.join(df).count() == 0
