@@ -5,9 +5,15 @@ longest prefix (a double-array trie over UTF-8 bytes) and records, for every byt
 the source byte it stands for, so that each piece projects to a span of the original text.
 ``Encoder`` segments the normalised text with BPE merges.  No piece of a model holds a space
 mark after another character (checked when it is loaded), so merges never cross the start of
-a run of marks and each such unit is segmented once and remembered, within a bound.  Words not
-met before are merged by the library's own code, a batch at a time; everything around it, and
-all segmentation with spans, is done here.
+a run of marks and each such unit is segmented once and remembered, within a bound.  All of it
+is done here; the sentencepiece library is only what the tests compare with.
+
+Without a character map the alignment is the identity but for marks, so a remembered unit holds
+the source bytes of its pieces beside their ids, and projecting a text is one running sum.
+
+Pieces cover the source without gaps: piece i covers the bytes offsets[i] to offsets[i + 1].
+Of a character in byte pieces the last one has its bytes and the others have none.  The end id
+covers what normalisation cut from the end, mostly nothing.
 
 A null text counts as empty.  An empty text has no piece, so only the end id.  Very long
 texts are split into units as they come.  Invalid UTF-8 cannot occur in a Spark string.
@@ -18,7 +24,7 @@ from __future__ import annotations
 import heapq
 import struct
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -153,7 +159,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Encoder:
     """BPE model of a SentencePiece file: encode to ids and source spans, decode ids."""
 
-    def __init__(self, model: bytes, remember: int = 150_000, library: bool = True):
+    def __init__(self, model: bytes, remember: int = 150_000):
         self.pieces: list[tuple[str, float, int]] = []
         normal: dict[int, int | bytes] = {}
         trainer: dict[int, int | bytes] = {}
@@ -184,13 +190,13 @@ class Encoder:
         self.unknown = next(i for i, (_, _, t) in enumerate(self.pieces) if t == _UNKNOWN)
         self.end = int(trainer.get(42, 2))
         self.surface_unknown = trainer.get(44, " ⁇ ".encode()).decode()
-        self.library = None
-        if library and self.normalizer.dummy and not self.normalizer.units and not self.normalizer.squeeze and self.normalizer.escape:
-            import sentencepiece
-
-            self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.known: dict[str, tuple[int, ...]] = {}
+        normal_form = self.normalizer
+        #: Whether normalising only marks spaces, so that alignment needs no map.
+        self.plain = normal_form.dummy and normal_form.escape and not normal_form.units and not normal_form.squeeze and not normal_form.user and bool(self.bytes)
+        self.words: dict[str, bytes] = {}
+        self.words_before: dict[str, bytes] = {}
         self.remember = remember
+        self.segment = lru_cache(remember)(self.segment)
 
     def _merged(self, unit: str) -> list[str]:
         """The unit's pieces: the best-scored neighbouring pair merges first, the leftmost of equals."""
@@ -261,26 +267,10 @@ class Encoder:
             out.append(marks)
         return out
 
-    def learn(self, units: set[str]) -> None:
-        """Segments units not met before.  Words with one mark go to the library in one call,
-        which merges the same pieces as ``_merged`` with the same model; others are merged here."""
-        words = [u for u in units if u[0] == MARK and len(u) > 1 and u[1] != MARK] if self.library is not None else []
-        if words:
-            self.known.update(zip(words, map(tuple, self.library.encode([w[1:] for w in words], num_threads=1)), strict=True))
-            units = units.difference(words)
-        for unit in units:
-            self.known[unit] = tuple(self.segment(unit))
-
     def encode_batch(self, texts: list[str], end: bool = True) -> list[list[int]]:
-        known, last = self.known, [self.end] if end else []
-        units = [self.units(self.normalizer(t)[0]) for t in texts]
-        missing = {u for of in units for u in of if u not in known}
-        if missing:
-            self.learn(missing)
-        out = [[*chain.from_iterable(map(known.__getitem__, of)), *last] for of in units]
-        if len(known) > self.remember:
-            known.clear()
-        return out
+        ids, counts, _ = self.encode_offsets(texts, end)
+        stop = np.cumsum(counts)
+        return [ids[b - n : b].tolist() for n, b in zip(counts, stop, strict=True)]
 
     def encode(self, text: str, end: bool = True) -> list[int]:
         return self.encode_batch([text], end)[0]
@@ -319,63 +309,197 @@ class Encoder:
             out.append((self.end, n, n))
         return out
 
-    def encode_spans_batch(self, texts: list[str], end: bool = True) -> tuple[list[list[int]], list[np.ndarray], list[np.ndarray]]:
-        """For each text its ids and the first source byte and the byte after the last of each: what
-        ``encode_with_spans`` gives, with remembered units projected over the alignment in one pass."""
-        known, last = self.known, [self.end] if end else []
-        normals = [self.normalizer(t) for t in texts]
-        units = [self.units(t) for t, _ in normals]
-        missing = {u for of in units for u in of if u not in known}
-        if missing:
-            self.learn(missing)
-        all_ids, firsts, lasts = [], [], []
-        for text, (normal, align), of in zip(texts, normals, units, strict=True):
-            ids = [*chain.from_iterable(map(known.__getitem__, of))]
-            sizes = self._sizes()[np.array(ids, np.int64)] if ids else np.zeros(0, np.int64)
-            if (sizes < 0).any():  # unknown pieces are as long as what they stand for
-                found = self.encode_with_spans(text, end)
-                ids = [x[0] for x in found]
-                at = np.array([x[1:] for x in found], np.int64).reshape(-1, 2)
-                first, after = at[:, 0], at[:, 1]
+    def _aligned(self, unit: str) -> bytes:
+        """(id, source bytes) of each piece of a unit of a plain model, as int32 pairs."""
+        out: list[int] = []
+        for piece in self._merged(unit):
+            i = self.ids.get(piece)
+            if i is not None:
+                out += (i, len(piece.encode()) - 2 * piece.count(MARK))
+                continue
+            for c in piece:
+                raw = c.encode()
+                for b in raw:
+                    out += (self.bytes[b], 0)
+                out[-1] = 1 if c == MARK else len(raw)
+        return np.array(out, np.int32).tobytes()
+
+    def _learn(self, keys: list[str]) -> None:
+        """Merges many units at once: each step merges the best pair of every unit that has one."""
+        units = [key if key[0] == MARK else MARK + key for key in keys]
+        sizes = np.array([len(u) for u in units], np.int64)
+        width = 8
+        while True:  # units of near lengths together
+            own = np.flatnonzero((sizes <= width) & (sizes > (width // 2 if width > 8 else 0)))
+            for at in range(0, len(own), 8192):
+                part = own[at : at + 8192].tolist()
+                self._learn_short([keys[i] for i in part], [units[i] for i in part], sizes[part], width)
+            if width == 64:
+                break
+            width *= 2
+        for i in np.flatnonzero(sizes > width).tolist():
+            self.words[keys[i]] = self._aligned(units[i])
+
+    def _learn_short(self, keys: list[str], units: list[str], sizes: np.ndarray, width: int) -> None:
+        n, never, known = len(units), np.iinfo(np.int32).max, len(self.pieces)
+        row = np.repeat(np.arange(n), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        symbol = np.full((n, width + 1), -1, np.int64)
+        symbol[row, place] = self._symbols(np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64))
+        alive = symbol >= 0
+        after = np.tile(np.arange(1, width + 2), (n, 1))
+        before = np.tile(np.arange(-1, width), (n, 1))
+        cost, made = np.full((n, width + 1), never, np.int32), np.zeros((n, width + 1), np.int64)
+        pair = place + 1 < sizes[row]
+        r, k = row[pair], place[pair]
+        cost[r, k], made[r, k] = self._pair(symbol[r, k], symbol[r, k + 1])
+        live = np.arange(n)
+        while True:
+            k = cost[live].argmin(1)
+            open_ = cost[live, k] != never
+            live, k = live[open_], k[open_]
+            if not len(live):
+                break
+            gone = after[live, k]
+            symbol[live, k] = made[live, k]
+            alive[live, gone] = False
+            cost[live, gone] = never
+            follows = after[live, gone]
+            after[live, k] = follows
+            inner = follows < sizes[live]
+            cost[live, k] = never
+            r, k1, f = live[inner], k[inner], follows[inner]
+            before[r, f] = k1
+            cost[r, k1], made[r, k1] = self._pair(symbol[r, k1], symbol[r, f])
+            b = before[live, k]
+            r, k1, b = live[b >= 0], k[b >= 0], b[b >= 0]
+            cost[r, b], made[r, b] = self._pair(symbol[r, b], symbol[r, k1])
+        row, place = np.nonzero(alive)
+        ids = symbol[row, place]
+        flat = np.empty((len(ids), 2), np.int32)
+        flat[:, 0], flat[:, 1] = ids, self._source_sizes()[np.minimum(ids, known)]
+        data = flat.tobytes()
+        stop = np.cumsum(np.bincount(row, minlength=n)) * 8
+        odd = np.bincount(row, ids >= known, n) > 0  # with characters that have no piece
+        start = 0
+        for key, unit, end, bad in zip(keys, units, stop.tolist(), odd.tolist(), strict=True):
+            self.words[key] = self._aligned(unit) if bad else data[start:end]
+            start = end
+
+    def _symbols(self, points: np.ndarray) -> np.ndarray:
+        """The piece of each character, or a number past all pieces that stands for it."""
+        if not hasattr(self, "_chars"):
+            chars = sorted((ord(p), i) for p, i in self.ids.items() if len(p) == 1)
+            self._chars = np.array(chars, np.int64).reshape(-1, 2).T.copy()
+        known, ids = self._chars
+        at = np.minimum(np.searchsorted(known, points), len(known) - 1)
+        return np.where(known[at] == points, ids[at], len(self.pieces) + points)
+
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of the piece that two symbols merge into, and the piece."""
+        if not hasattr(self, "_pairs"):
+
+            def symbol(text: str) -> int | None:
+                return self.ids.get(text, len(self.pieces) + ord(text) if len(text) == 1 else None)
+
+            rank = {c: k for k, c in enumerate(sorted(set(self.cost.values())))}
+            rows = [(symbol(p[:k]), symbol(p[k:]), rank[c], self.ids[p]) for p, c in self.cost.items() for k in range(1, len(p))]
+            table = np.array([((x << 32) | y, r, i) for x, y, r, i in rows if x is not None and y is not None], np.int64).reshape(-1, 3)
+            self._pairs = table[np.argsort(table[:, 0])].T.copy()
+        key, rank, made = self._pairs
+        asked = (a << 32) | b
+        at = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+        return np.where(key[at] == asked, rank[at], np.iinfo(np.int32).max).astype(np.int32), made[at]
+
+    def _source_sizes(self) -> np.ndarray:
+        """Source bytes of each piece of a plain model, a mark standing for a space."""
+        if not hasattr(self, "_source_size"):
+            self._source_size = np.array([len(p.encode()) - 2 * p.count(MARK) for p, _, _ in self.pieces] + [0], np.int32)
+        return self._source_size
+
+    @staticmethod
+    def _keys(text: str) -> list[str]:
+        """The units of a plain model's text, a single leading mark left out."""
+        parts = text.split(" ")
+        if "" not in parts:
+            return parts
+        out, marks = [], ""
+        for p in parts:
+            marks += MARK
+            if p:
+                out.append(p if len(marks) == 1 else marks + p)
+                marks = ""
+        if marks:
+            out.append(marks)
+        return out
+
+    def encode_offsets(self, texts: list[str], end: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts, the number of each one's ids, and the offsets of all: one more for each text."""
+        if not self.plain:
+            each = [self.encode_with_spans(t, end) for t in texts]
+            ids = np.array([x[0] for of in each for x in of], np.int32)
+            offsets = [o for of in each for o in ([of[0][1]] + [x[2] for x in of] if of else [0])]
+            return ids, np.array([len(of) for of in each], np.int64), np.array(offsets, np.int32)
+        keys = [self._keys(t) if t and MARK not in t else [] for t in texts]
+        new = []
+        for key in set().union(*keys).difference(self.words):
+            if (was := self.words_before.get(key)) is not None:
+                self.words[key] = was
             else:
-                stop = np.zeros(len(ids) + 1, np.int64)
-                np.cumsum(sizes, out=stop[1:])
-                place = self._places(text) if align is None else np.array(align, np.int64)
-                first, after = place[stop[:-1]], place[stop[1:]]
-                later = self._continues()[np.array(ids, np.int64)] if ids else np.zeros(0, bool)
-                if later.any():  # bytes of one character
-                    first = first[np.maximum.accumulate(np.where(later, 0, np.arange(len(ids))))]
-                    followed = np.r_[later[1:], False]
-                    after = np.where(followed, first, after)
-                if end:
-                    n = len(text.encode())
-                    ids += last
-                    first, after = np.r_[first, n], np.r_[after, n]
-            all_ids.append(ids)
-            firsts.append(first)
-            lasts.append(after)
-        if len(known) > self.remember:
-            known.clear()
-        return all_ids, firsts, lasts
-
-    def _places(self, text: str) -> np.ndarray:
-        """The source byte of each byte of a text that is normalised by marks alone, and of its end."""
-        raw = np.frombuffer(text.encode(), np.uint8)
-        mark = len(MARK.encode()) if self.normalizer.escape else 1
-        at = np.repeat(np.arange(len(raw)), np.where(raw == 0x20, mark, 1))
-        return np.r_[np.zeros(mark if self.normalizer.dummy and text else 0, np.int64), at, len(raw)]
-
-    def _continues(self) -> np.ndarray:
-        """Which ids are bytes that continue a character."""
-        if not hasattr(self, "_continue_of"):
-            self._continue_of = np.array([self.byte_of.get(i, 0) & 0xC0 == 0x80 for i in range(len(self.pieces))])
-        return self._continue_of
-
-    def _sizes(self) -> np.ndarray:
-        """Bytes of normalised text that each id stands for; -1 for the unknown piece."""
-        if not hasattr(self, "_size_of"):
-            self._size_of = np.array([1 if i in self.byte_of else -1 if i == self.unknown else len(p.encode()) for i, (p, _, _) in enumerate(self.pieces)], np.int64)
-        return self._size_of
+                new.append(key)
+        self._learn(new)
+        aligned = [b"".join(map(self.words.__getitem__, of)) for of in keys]
+        for k, t in enumerate(texts):
+            if MARK in t:  # marks of the source itself are longer than a space
+                found = np.array([(i, b - a) for i, a, b in self.encode_with_spans(t, False)], np.int32)
+                found[0, 1] += 1
+                aligned[k] = found.tobytes()
+        if len(self.words) > self.remember:  # what has not been met since the last time is forgotten
+            self.words_before, self.words = self.words, {}
+        pieces = np.array([len(x) // 8 for x in aligned], np.int64)
+        both = np.frombuffer(b"".join(aligned), np.int32).reshape(-1, 2)
+        counts = pieces + end
+        ids, sizes = np.full(counts.sum(), self.end, np.int32), np.zeros(counts.sum(), np.int32)
+        begin = np.cumsum(counts) - counts
+        own = np.arange(len(both)) + np.repeat(np.arange(len(texts)) * int(end), pieces)
+        ids[own], sizes[own] = both[:, 0], both[:, 1]
+        sizes[begin[pieces > 0]] -= 1  # the mark before the first piece is no byte of the source
+        places = np.zeros(len(ids) + len(texts), np.int64)
+        places[np.arange(len(ids)) + np.repeat(np.arange(len(texts)) + 1, counts)] = sizes
+        total = np.cumsum(places)
+        first = begin + np.arange(len(texts))
+        offsets = total - np.repeat(total[first], counts + 1)
+        return ids, counts, offsets.astype(np.int32)
+
+    def decode_batch(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """``decode`` of each text's ids, from the bytes of all pieces at once."""
+        data, start, size, spaced = self._table()
+        begin = np.cumsum(counts) - counts
+        at, n = start[ids], size[ids]
+        head = begin[counts > 0]
+        if not (self.normalizer.dummy or self.normalizer.squeeze):
+            head = head[:0]
+        head = head[spaced[ids[head]]]
+        at[head] += 1
+        n[head] -= 1
+        stop = np.cumsum(n)
+        out = data[np.repeat(at - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        ends = np.r_[0, stop][np.cumsum(counts)]
+        raw = out.tobytes()
+        try:
+            raw.decode()
+        except UnicodeDecodeError:  # ids that no text gives
+            return pa.array([self.decode(ids[a : a + c].tolist()) for a, c in zip(begin, counts, strict=True)], pa.string())
+        return pa.Array.from_buffers(pa.large_string(), len(counts), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64).tobytes()), pa.py_buffer(raw)]).cast(pa.string())
+
+    def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all pieces, where each starts, its length, and whether it starts with a space."""
+        if not hasattr(self, "_bytes_of"):
+            texts = [bytes([self.byte_of[i]]) if i in self.byte_of else (t or "").encode() for i, t in enumerate(self._texts())]
+            size = np.array([len(t) for t in texts], np.int64)
+            spaced = np.array([t.startswith(b" ") and i != self.unknown and i not in self.byte_of for i, t in enumerate(texts)])
+            self._bytes_of = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size, spaced
+        return self._bytes_of
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: marks become spaces, the first space of the dummy prefix goes, byte
@@ -440,39 +564,30 @@ def _loaded(model) -> Encoder:  # noqa: ANN001
     return _ENCODERS[key]
 
 
-def encode(documents: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",), spans: bool = False, decoded: bool = True) -> DataFrame:
-    """The kept columns with ids array<int>, spans array<struct<first,last>> if asked for, and
-    the decoded text if asked for.  model_path is read on the driver; the file is small and fixed."""
+def encode(documents: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",), decoded: bool = True) -> DataFrame:
+    """The kept columns with ids array<int>, offsets array<int> (piece i covers the source bytes from
+    offsets[i] to offsets[i + 1]) and the decoded text if asked for.  Kept columns have other names
+    than these.  model_path is read on the driver; the file is small and fixed."""
     spark = R.prepare(documents.sparkSession)
     with open(model_path, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = documents.select(*keep, text.alias("__text"))
-    parts = [*keep, "ids"] + ["spans"] * spans + ["decoded"] * decoded
-    span = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
-    kinds = {"ids": T.ArrayType(T.IntegerType()), "spans": T.ArrayType(span), "decoded": T.StringType()}
-    schema = source.select(*keep).schema
-    for name in parts[len(keep) :]:
-        schema = schema.add(name, kinds[name])
+    parts = [*keep, "ids", "offsets"] + ["decoded"] * decoded
+    schema = source.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType())).add("offsets", T.ArrayType(T.IntegerType()))
+    if decoded:
+        schema = schema.add("decoded", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _loaded(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part.column(len(keep)).to_pylist()
-                columns = [part.column(i) for i in range(len(keep))]
-                if spans:
-                    ids, firsts, lasts = coder.encode_spans_batch(texts)
-                else:
-                    ids = coder.encode_batch(texts)
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
-                if spans:
-                    ends = np.cumsum([0, *map(len, firsts)])
-                    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(x).astype(np.int32)) for x in (firsts, lasts)], names=["first", "last"])
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs))
+            bounds = R.text_buffers(batch.column(len(keep)))[1]
+            for lo, hi in R.chunks(bounds, 2 * R.CHUNK_BYTES):
+                part = batch.slice(lo, hi - lo)
+                ids, counts, offsets = coder.encode_offsets(part.column(len(keep)).to_pylist())
+                columns = [*part.columns[: len(keep)], R.list_column(ids, counts, pa.int32()), R.list_column(offsets, counts + 1, pa.int32())]
                 if decoded:
-                    columns.append(pa.array([coder.decode(x) for x in ids], pa.string()))
+                    columns.append(coder.decode_batch(ids, counts))
                 yield pa.RecordBatch.from_arrays(columns, names=parts)
 
     return source.mapInArrow(run, schema)

@@ -57,8 +57,8 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pieces.encode(_table(spark, sf_dir, "documents"), tokenizer_path(), spans=True)
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "spans")
+    rows = pieces.encode(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "offsets")
 
 
 def op6_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,13 +58,16 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
 
 
-@pytest.mark.parametrize("own", [True, False])
-def test_encoder_equals_the_library(library, own):
+@pytest.mark.parametrize("remember", [150_000, 30])
+def test_encoder_equals_the_library(library, remember):
     with open(tokenizer_path(), "rb") as f:
-        coder = pieces.Encoder(f.read(), library=not own)
+        coder = pieces.Encoder(f.read(), remember)
     rng = random.Random(2)
     texts = ["".join(rng.choices(ALPHABET, k=rng.randint(0, 15))) for _ in range(1500)] + ["", "x" * 3000, "ab " * 500]
-    assert coder.encode_batch(texts) == library.encode(texts, add_eos=True)
+    batches = [texts[i : i + 100] for i in range(0, len(texts), 100)]
+    assert [x for b in batches for x in coder.encode_batch(b)] == library.encode(texts, add_eos=True)
+    ids, counts, _ = coder.encode_offsets(texts)
+    assert coder.decode_batch(ids, counts).to_pylist() == [library.decode(library.encode(t)) for t in texts]
     for t in texts[:400]:
         want = [(p.id, p.begin, p.end) for p in library.encode_as_proto(t).pieces]
         assert coder.encode_with_spans(t, end=False) == want
@@ -110,10 +113,10 @@ def test_normalizer_longest_prefix_and_alignment():
 
 def test_encode_frame(spark, library):
     rows = corpus(1, n=20, hot=3)
-    got = pieces.encode(spark.createDataFrame(rows, SCHEMA), tokenizer_path(), spans=True).collect()
+    got = pieces.encode(spark.createDataFrame(rows, SCHEMA), tokenizer_path()).collect()
     want = Counter((r[0], tuple(library.encode(r[1] or "", add_eos=True)), library.decode(library.encode(r[1] or "", add_eos=True))) for r in rows)
     assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in got) == want
-    assert all(len(r.spans) == len(r.ids) for r in got)
+    assert all(len(r.offsets) == len(r.ids) + 1 for r in got)
     assert pieces.encode(spark.createDataFrame([], SCHEMA), tokenizer_path()).count() == 0
 
 
@@ -131,7 +134,7 @@ def test_query_and_pipeline_give_spans(spark, library, tmp_path):
 
     want = Counter((r[0], spans(r[1])) for r in rows)
     for got in (QUERIES["op5_pieces"](spark, str(tmp_path)), corpus_pipeline.encode(spark, df, str(tmp_path))):
-        assert Counter((r.doc_id, tuple((s.first, s.last) for s in r.spans)) for r in got.collect()) == want
+        assert Counter((r.doc_id, tuple(zip(r.offsets, r.offsets[1:]))) for r in got.collect()) == want
 
 
 def vectors(seed, n=600, d=16):
