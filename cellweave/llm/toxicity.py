@@ -1,14 +1,17 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A document's terms are its words (lower-cased) and their first 4 to 8 bytes, hashed into
-2**18 buckets; a bucket counts once.  From at most about ``max_train`` labelled rows, the
-``max_terms`` buckets that tell the labels apart best (chi-square) enter the model
+2**18 buckets; a bucket counts once.  All buckets are in the model
 
     logit = w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j
 
 whose factors learn pairs, such as an insult beside a mention of a group, that add to or take
-from what the single terms weigh.  It is fitted by full-batch Adam on the driver: the data
-there are at most max_train rows of selected buckets, whatever the corpus holds.
+from what the single terms weigh, and pairs of terms that tell nothing alone.  The value x_i of a
+term is between LEAST and 1, larger for one that tells the labels apart (chi-square), so that
+thousands of indifferent terms add little noise but none is left out.
+
+It is fitted by full-batch Adam on the driver, on about ``max_train`` labelled rows at most and
+``max_pairs`` (row, bucket) pairs of them, taken in the order of a hash of the id, whole texts each.
 
 Scoring reads every whole text once and needs the model alone.  A null or empty text has no
 term and gets the score of the intercept.  Rows without a usable label are not learned from;
@@ -32,6 +35,8 @@ from . import _words as W
 
 BITS = 18
 PREFIXES = (4, 5, 6, 7, 8)
+#: The value of a term that tells nothing alone.
+LEAST = 0.1
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,59 +54,99 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
+def _starts(rows: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]][: len(rows)])
+
+
 @dataclass
 class Machine:
-    """The fitted model: ``index`` maps a bucket to its row of ``w`` and ``v``, or -1."""
+    """The fitted model, a row of ``w`` and ``v`` for each bucket, the terms' values multiplied in."""
 
-    index: np.ndarray
     w0: float
     w: np.ndarray
     v: np.ndarray
 
     def logits(self, rows: np.ndarray, buckets: np.ndarray, n: int) -> np.ndarray:
-        at = self.index[buckets]
-        own = at >= 0
-        return self._logits(rows[own], at[own], n)
-
-    def _logits(self, rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-        out = np.bincount(rows, self.w[at], n) + self.w0
-        v = self.v[at]
-        for f in range(v.shape[1]):
-            out += 0.5 * (np.bincount(rows, v[:, f], n) ** 2 - np.bincount(rows, v[:, f] ** 2, n))
+        """Of n rows, from (row, bucket) pairs sorted by row."""
+        out = np.full(n, self.w0)
+        if len(rows):
+            begin = _starts(rows)
+            v = self.v[buckets]
+            squares = (np.add.reduceat(v, begin) ** 2).sum(1) - np.add.reduceat((v * v).sum(1), begin)
+            out[rows[begin]] += np.add.reduceat(self.w[buckets], begin) + 0.5 * squares
         return out
 
 
-def fit(rows: np.ndarray, at: np.ndarray, labels: np.ndarray, n_terms: int, factors: int = 8, steps: int = 250, rate: float = 0.05, decay: float = 2e-4, weight: float = 2.0, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """Full-batch Adam on the weighted logistic loss; label 1 counts ``weight`` times."""
-    n = len(labels)
+def fit(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, value: np.ndarray, factors: int = 4, steps: int = 80, rate: float = 0.05, decay: float = 2e-4, weight: float = 2.0, seed: int = 7) -> Machine:
+    """Full-batch Adam on the weighted logistic loss; label 1 counts ``weight`` times.  (row, bucket)
+    pairs are sorted by row; value: x of each bucket."""
+    n, n_terms = len(labels), len(value)
     rng = np.random.Generator(np.random.PCG64(seed))
-    w0 = np.zeros(1)
-    w, v = np.zeros(n_terms), rng.normal(0, 0.02, (n_terms, factors))
+    value = value.astype(np.float32)
+    weights = [np.zeros(1, np.float32), np.zeros(n_terms, np.float32), *rng.normal(0, 0.02, (factors, n_terms)).astype(np.float32)]
     each = np.where(labels == 1, weight, 1.0)
-    each /= each.sum()
-    state = [(np.zeros_like(x), np.zeros_like(x)) for x in (w0, w, v)]
+    each = (each / each.sum()).astype(np.float32)
+    begin = _starts(rows)
+    own = rows[begin]
+    order = np.argsort(buckets, kind="stable").astype(np.int32)
+    row_of = rows.astype(np.int32)[order]
+    head = _starts(buckets[order])
+    term = buckets[order[head]]
+    buckets = buckets.astype(np.int32)
+    state = [(np.zeros_like(x), np.zeros_like(x)) for x in weights]
+
+    def by_row(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(n, np.float32)
+        if len(begin):
+            out[own] = np.add.reduceat(x[buckets], begin)
+        return out
+
+    def by_term(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(n_terms, np.float32)
+        if len(head):
+            out[term] = np.add.reduceat(x[row_of], head)
+        return out
+
     for step in range(1, steps + 1):
-        va = v[at]
-        sums = np.stack([np.bincount(rows, va[:, f], n) for f in range(factors)], axis=1)
-        logit = w0[0] + np.bincount(rows, w[at], n) + 0.5 * ((sums**2).sum(1) - np.bincount(rows, (va**2).sum(1), n))
-        g = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels) * each
-        gr = g[rows]
-        gw = np.bincount(at, gr, n_terms) + decay * w
-        gv = np.stack([np.bincount(at, gr * (sums[rows, f] - va[:, f]), n_terms) for f in range(factors)], axis=1) + decay * v
-        for x, dx, (m, s) in zip((w0, w, v), (np.array([g.sum()]), gw, gv), state, strict=True):
+        w0, w, *v = weights
+        logit = w0[0] + by_row(w * value)
+        sums = []
+        for f in v:
+            x = f * value
+            sums.append(by_row(x))
+            logit += 0.5 * (sums[-1] ** 2 - by_row(x * x))
+        g = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels).astype(np.float32) * each
+        total = by_term(g)
+        slopes = [np.array([g.sum()], np.float32), total * value + decay * w]
+        slopes += [by_term(g * s) * value - total * value * value * f + decay * f for f, s in zip(v, sums, strict=True)]
+        for x, dx, (m, s) in zip(weights, slopes, state, strict=True):
             m += 0.1 * (dx - m)
             s += 0.001 * (dx * dx - s)
             x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-9)
-    return float(w0[0]), w, v
+    return Machine(float(weights[0][0]), weights[1] * value, np.stack(weights[2:], axis=1) * value[:, None])
 
 
-def learn(documents: DataFrame, labels: DataFrame, max_train: int = 16_000, max_terms: int = 2048) -> Machine:
-    """Fits on about max_train labelled rows at most, picked by a hash of the id."""
+def values(buckets: np.ndarray, toxic: np.ndarray, labels: np.ndarray, n_terms: int = 1 << BITS) -> np.ndarray:
+    """The value of each bucket: its chi-square over 12, between LEAST and 1.  toxic: the label of each pair's row."""
+    b = np.count_nonzero(labels)
+    a = len(labels) - b
+    n1 = np.bincount(buckets[toxic == 1], minlength=n_terms)
+    n0 = np.bincount(buckets[toxic == 0], minlength=n_terms)
+    p = (n0 + n1) / (a + b)
+    chi = (n1 - p * b) ** 2 / (p * b * (1 - p) + 1e-9) + (n0 - p * a) ** 2 / (p * a * (1 - p) + 1e-9)
+    return np.clip(chi / 12, LEAST, 1)
+
+
+def learn(documents: DataFrame, labels: DataFrame, max_train: int = 8_000, max_pairs: int = 8_000_000, steps: int = 80) -> Machine:
+    """Fits on about max_train labelled rows at most, in the order of a hash of the id, and on fewer if
+    they hold more than max_pairs terms."""
     spark = R.prepare(documents.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).cast("int")
+    known = known.withColumn("place", place)
     n = known.count()
     if n > max_train:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(max_train / n * (1 << 20)) + 1)
+        known = known.where(F.col("place") < int(max_train / n * (1 << 20)) + 1)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the labels picked are about max_train rows at most, so their broadcast is bounded
 
@@ -110,57 +155,28 @@ def learn(documents: DataFrame, labels: DataFrame, max_train: int = 16_000, max_
             data, offsets = R.text_buffers(pc.utf8_lower(batch.column("text")))
             for lo, hi in R.chunks(offsets):
                 rows, buckets = terms(data, offsets[lo : hi + 1])
-                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(lo, hi - lo), R.list_column(buckets, np.bincount(rows, minlength=hi - lo), pa.int32())], names=["toxic", "buckets"])
-
-    sample = R.written(texts.join(F.broadcast(known), "doc_id").select("toxic", "text").mapInArrow(hashed, "toxic int, buckets array<int>"), "toxic-sample")
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, 1 << BITS), np.int64)
-        for batch in batches:
-            lists = batch.column("buckets")
-            label = np.repeat(batch.column("toxic").to_numpy(), np.diff(lists.offsets.to_numpy()))
-            flat = lists.flatten().to_numpy()
-            for y in (0, 1):
-                counts[y] += np.bincount(flat[label == y], minlength=1 << BITS)
-        some = np.flatnonzero(counts.sum(0) > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[0, some]), pa.array(counts[1, some])], names=["bucket", "n0", "n1"])
-
-    totals = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    a, b = totals.get(0, 0), totals.get(1, 0)
-    if not a or not b:
-        share = b / (a + b) if a + b else 0.0
+                head = [batch.column(c).slice(lo, hi - lo) for c in ("toxic", "place")]
+                yield pa.RecordBatch.from_arrays([*head, R.list_column(buckets, np.bincount(rows, minlength=hi - lo), pa.int32())], names=["toxic", "place", "buckets"])
+
+    sample = R.written(texts.join(F.broadcast(known), "doc_id").select("toxic", "place", "text").mapInArrow(hashed, "toxic int, place int, buckets array<int>"), "toxic-sample")
+    # rows of the sample by place: what the driver may hold
+    room, limit = max_pairs, 1 << 20
+    for row in sample.groupBy("place").agg(F.sum(F.size("buckets")).alias("pairs")).orderBy("place").collect():
+        room -= row["pairs"]
+        if room < 0:
+            limit = row["place"]
+            break
+    train = sample.where(F.col("place") < limit).select("toxic", "buckets").toArrow()
+    R.drop(sample)
+    y = train.column("toxic").to_numpy().astype(np.int64)
+    lists = train.column("buckets").combine_chunks()
+    if len(y) == 0 or y.min() == y.max():
+        share = float(y.mean()) if len(y) else 0.0
         w0 = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-        return Machine(np.full(1 << BITS, -1, np.int32), w0, np.zeros(0), np.zeros((0, 1)))
-    p = (F.col("n0") + F.col("n1")) / F.lit(float(a + b))
-    chi = F.pow(F.col("n1") - p * b, 2) / (p * b * (1 - p) + 1e-9) + F.pow(F.col("n0") - p * a, 2) / (p * a * (1 - p) + 1e-9)
-    best = (
-        sample.mapInArrow(counted, "bucket int, n0 bigint, n1 bigint")
-        .groupBy("bucket")
-        .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        .where(F.col("n0") + F.col("n1") >= 4)
-        .select("bucket", chi.alias("chi"))
-        .where("chi > 12")
-        .orderBy(F.desc("chi"), "bucket")
-        .limit(max_terms)
-        .toPandas()
-    )
-    index = np.full(1 << BITS, -1, np.int32)
-    index[best["bucket"].to_numpy()] = np.arange(len(best))
-    shared = spark.sparkContext.broadcast(index)
-
-    def selected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("buckets")
-            at = shared.value[lists.flatten().to_numpy()]
-            rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            own = at >= 0
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), R.list_column(at[own], np.bincount(rows[own], minlength=len(lists)), pa.int32())], names=["toxic", "at"])
-
-    train = sample.mapInArrow(selected, "toxic int, at array<int>").toPandas()
-    sizes = train["at"].map(len).to_numpy()
-    at = np.concatenate([*train["at"], np.zeros(0, np.int64)]).astype(np.int64)
-    w0, w, v = fit(np.repeat(np.arange(len(train)), sizes), at, train["toxic"].to_numpy(), max(len(best), 1))
-    return Machine(index, w0, w, v)
+        return Machine(w0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, 1), np.float32))
+    rows = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
+    buckets = lists.flatten().to_numpy().astype(np.int64)
+    return fit(rows, buckets, y, values(buckets, y[rows], y), steps=steps)
 
 
 def score(documents: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:

@@ -87,13 +87,47 @@ def test_machine_learns_a_pair_that_weights_cannot(spark):
     assert np.mean([a == b for a, b in held]) >= 0.95
 
 
-def test_machine_gradient_matches_differences():
+def xor_rows(seed, n):
+    """Toxic with one of two words but not both: neither tells anything alone."""
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for i in range(n):
+        words = [f"w{rng.randrange(100)}" for _ in range(rng.randint(5, 20))]
+        one, other = rng.random() < 0.5, rng.random() < 0.5
+        words += ["dolt"] * one + ["folk"] * other
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), "en"))
+        labels.append((i, 1, int(one != other)))
+    return rows, labels
+
+
+def test_machine_learns_a_pair_of_neutral_terms(spark):
+    rows, labels = xor_rows(2, 3000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    machine = toxicity.learn(docs.where("doc_id % 3 <> 1"), known.where("doc_id % 3 <> 1"), steps=300)
+    score = {r.doc_id: r.score for r in toxicity.score(docs, machine).collect()}
+    high = [score[i] for i, _, y in labels if i % 3 == 1 and y]
+    low = [score[i] for i, _, y in labels if i % 3 == 1 and not y]
+    assert np.mean([[h > x for x in low] for h in high]) >= 0.9
+
+
+def test_machine_logit_is_the_double_sum():
+    rng = np.random.default_rng(3)
+    machine = toxicity.Machine(0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
+    sets = [[], [4], [0, 1, 2, 8], [3, 5], list(range(9))]
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    got = machine.logits(rows, np.array([b for s in sets for b in s]), len(sets))
+    want = [0.3 + sum(machine.w[i] for i in s) + sum(machine.v[i] @ machine.v[j] for i in s for j in s if i < j) for s in sets]
+    assert np.allclose(got, want)
+
+
+def test_machine_is_fitted_to_a_minimum():
     rng = np.random.default_rng(0)
     rows = np.repeat(np.arange(6), 3)
     at = np.concatenate([rng.choice(5, 3, replace=False) for _ in range(6)])
     y = np.array([0, 1, 0, 1, 1, 0])
-    w0, w, v = toxicity.fit(rows, at, y, 5, factors=2, steps=200, decay=1e-3)
-    machine = toxicity.Machine(np.arange(5, dtype=np.int32), w0, w, v)
+    machine = toxicity.fit(rows, at, y, np.ones(5), factors=2, steps=200, decay=1e-3)
 
     def loss(m):
         p = 1 / (1 + np.exp(-m.logits(rows, at, 6)))
@@ -103,11 +137,19 @@ def test_machine_gradient_matches_differences():
     base = loss(machine)
     for i in range(5):  # near a minimum no small step lowers the loss by much
         for step in (1e-3, -1e-3):
-            moved = toxicity.Machine(machine.index, w0, w.copy(), v)
+            moved = toxicity.Machine(machine.w0, machine.w.copy(), machine.v)
             moved.w[i] += step
             assert loss(moved) > base - 1e-4
 
 
+def test_training_pairs_are_bounded(spark):
+    rows, labels = toxic_rows(4, 200)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert toxicity.learn(docs, known, max_pairs=500).v.shape == (1 << toxicity.BITS, 4)
+    assert toxicity.learn(docs, known, max_pairs=0).w0 < -10
+
+
 def test_toxicity_edge_cases(spark):
     df = spark.createDataFrame(corpus(1, n=20, hot=4), SCHEMA)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -124,5 +166,5 @@ def test_toxicity_edge_cases(spark):
 @pytest.mark.parametrize("texts", [["", None], ["x"]])
 def test_scores_of_tiny_tables(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    machine = toxicity.Machine(np.full(1 << toxicity.BITS, -1, np.int32), 0.0, np.zeros(0), np.zeros((0, 1)))
+    machine = toxicity.Machine(0.0, np.zeros(1 << toxicity.BITS), np.zeros((1 << toxicity.BITS, 1)))
     assert [r.score for r in toxicity.score(df, machine).collect()] == [0.5] * len(texts)
