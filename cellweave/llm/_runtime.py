@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -93,6 +94,28 @@ def cleanup(spark: SparkSession) -> None:
     _TABLES.clear()
 
 
+def names_apart(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators that return all columns: columns of the input whose names start with two underscores,
+    as those of intermediate results do, have other names meanwhile."""
+
+    @functools.wraps(run)
+    def apart(documents: DataFrame, *args, **kwargs) -> DataFrame:  # noqa: ANN002, ANN003
+        columns = documents.columns
+        away, k = {}, 0
+        for c in columns:
+            if c.startswith("__"):
+                while f"kept{k}" in {x.lower() for x in columns}:
+                    k += 1
+                away[f"kept{k}"] = c
+                k += 1
+        if not away:
+            return run(documents, *args, **kwargs)
+        back = {c: name for name, c in away.items()}
+        return run(documents.toDF(*(back.get(c, c) for c in columns)), *args, **kwargs).withColumnsRenamed(away)
+
+    return apart
+
+
 def text_buffers(column: pa.Array) -> tuple:
     """Byte buffer and int64 offsets of a string column; nulls have empty spans."""
     import numpy as np

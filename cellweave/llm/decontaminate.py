@@ -196,6 +196,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     return clear.unionByName(joined.select("doc_id", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items")))
 
 
+@R.names_apart
 def clean(documents: DataFrame, benchmark: DataFrame, max_broadcast: int = 500_000) -> DataFrame:
     """The documents without a hit, with all their columns.  The digests of texts with hits are
     broadcast up to max_broadcast of them (32 bytes each) and joined beyond."""

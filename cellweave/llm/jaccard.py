@@ -592,6 +592,7 @@ def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return labelled.join(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("cls", "component_id")
 
 
+@R.names_apart
 def representatives(documents: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
     """The rows of each component's least id, one of several with that id; rows without shingles
     or without an id all stay.  Columns stay as they are."""

@@ -368,11 +368,18 @@ def _told(documents: DataFrame, keep: list[str], window: int, anchor: int) -> Da
     listed = F.collect_list(F.struct("code", "kind")).alias("__answers")
     # a document has at most an answer for each of its windows
     first = at_anchors.groupBy(F.col("doc").alias("__doc")).agg(listed)
+    # rows without an id have no answers; a key of their own keeps them from meeting in one task
+    no_id = F.col("doc_id").isNull()
+    texts = texts.withColumn("__key", F.when(no_id, F.xxhash64("text")).otherwise(F.col("doc_id"))).withColumn("__none", no_id)
+
+    def told(answers: DataFrame) -> DataFrame:
+        return texts.join(answers.withColumn("__of", F.lit(False)), (F.col("__key") == F.col("__doc")) & (F.col("__none") == F.col("__of")), "left")
+
     # both joins keep all rows of the same frame, so Spark shuffles the texts once and reads them twice
-    expanded = texts.join(first, texts["doc_id"] == first["__doc"], "left").select("doc_id", "text", _or_none("__answers")).mapInArrow(_second_pass(window, anchor), _QUESTION_SQL)
+    expanded = told(first).select("doc_id", "text", _or_none("__answers")).mapInArrow(_second_pass(window, anchor), _QUESTION_SQL)
     at_edges = expanded.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_answer_edges, _ANSWER)
     everything = at_anchors.unionByName(at_edges).groupBy(F.col("doc").alias("__doc")).agg(listed)
-    return texts.join(everything, texts["doc_id"] == everything["__doc"], "left").select(*keep, _or_none("__answers"))
+    return told(everything).select(*keep, _or_none("__answers"))
 
 
 def _or_none(column: str) -> F.Column:
@@ -385,6 +392,7 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
     return told.mapInArrow(_last_pass(window, anchor, ("doc_id", "text"), True), "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,stop:int>>")
 
 
+@R.names_apart
 def without_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """The documents with repeated spans cut from their texts; a text of nothing else goes.
 

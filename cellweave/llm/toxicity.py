@@ -199,6 +199,7 @@ def score(documents: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_
     return source.mapInArrow(run, source.select(*keep).schema.add(name, "double"))
 
 
+@R.names_apart
 def keep_clean(documents: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:
     """The rows scored under the threshold, with all their columns."""
     name = "__score"

@@ -11,9 +11,10 @@
    of an article count once.  A node whose text hardly varies belongs to the template; a slot
    whose text varies holds content.
 4. A page's text is the blocks of its content slots inside the main element if it has one
-   (article, main, or the like), else all content slots.  What markup itself declares to be a
-   menu, header, footer, sidebar, notice, advert, form, script, style or comment section is
-   template on any host, as are pages' own unmatched nodes of that kind.  Inside a main
+   (article, main, or a name of only such words), else all content slots.  What markup itself
+   declares to be a menu, header, footer, sidebar, notice, advert, form, script, style or comment
+   section, by its element or by a name of only such words, is template on any host, as are pages'
+   own unmatched nodes of that kind; an article's own header is content.  Inside a main
    element a node is template only with one single text beside ten different contents or more, and
    beside half of the different contents that its parent has; nor does a page lose all its text.
 
@@ -57,6 +58,10 @@ _AWAY_WORDS = frozenset(
 )
 _MAIN = frozenset("article main".split())
 _MAIN_WORDS = frozenset("article content post entry story maincontent".split())
+#: Of these, what an article may have of its own.
+_OWN_WORDS = frozenset("header masthead banner".split())
+#: Words that leave the role of a name as the others have it: `post-comments`, `ad-box`, `article-body`.
+_NEUTRAL = frozenset("main page site post posts entry article articles top bottom left right inner outer wrap wrapper container box block area bar list item items links section body text".split())
 _MAX_DEPTH, _MAX_CHILDREN = 48, 32
 _WORD = (1 << 63) - 1
 
@@ -138,8 +143,8 @@ class Page:
                     if stack[k][0] in closed.split():
                         del stack[k:]
                         break
-            label, away, main = _labelled(token, tag)
             over = stack[-1][1]
+            label, away, main = _labelled(token, tag, self.main[over] >= 0)
             if len(stack) > _MAX_DEPTH and (self.away[over] or not away and not (main and self.main[over] < 0)):
                 # deeper structure counts as its ancestor's, but for what changes its role (twice on a path at most)
                 stack.append((tag, over))
@@ -169,22 +174,28 @@ class Page:
 
 
 @lru_cache(1 << 14)
-def _labelled(token: str, tag: str) -> tuple[str, bool, bool]:
-    words: list[str] = []
+def _labelled(token: str, tag: str, inside: bool) -> tuple[str, bool, bool]:
+    """The label of an element, and whether it declares to be no main text or the main element.  A name
+    declares a role only if all its words do: `social` and `social-share` but not `social-history`.
+    Inside a main element a header is the article's own."""
+    names: list[list[str]] = []
     classes = ""
-    away = tag in _AWAY
+    away = tag in _AWAY and not (inside and tag == "header")
+    main = tag in _MAIN
     for name, a, b, c, bare in _ATTRIBUTE.findall(token):
         name, value = (name or bare).lower(), a or b or c
         if name in ("class", "id", "role"):
-            words += re.split(r"[^a-z0-9]+", html.unescape(value).lower())
+            names += [re.findall(r"[a-z0-9]+", x) for x in html.unescape(value).lower().split()]
+            main = main or value.lower() == "main"
             if name == "class":
                 classes = ".".join(sorted(value.lower().split()))
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             away = True
-    main = tag in _MAIN or "main" in words
     if not main and tag not in ("body", "html"):
-        main = bool(_MAIN_WORDS.intersection(words)) and tag in ("div", "section")
-        away = away or bool(_AWAY_WORDS.intersection(words))
+        main = tag in ("div", "section") and any(_MAIN_WORDS.intersection(x) and _MAIN_WORDS.union(_NEUTRAL).issuperset(x) for x in names)
+        for x in names:
+            words = _AWAY_WORDS.intersection(x) - (_OWN_WORDS if inside else frozenset())
+            away = away or bool(words) and words.union(_NEUTRAL).issuperset(x)
     main = main and not away
     # what is declared by id, role or hidden sets siblings of one tag apart too
     return (f"{tag}.{classes}" if classes else tag) + "!" * away + "*" * main, away, main

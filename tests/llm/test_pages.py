@@ -86,3 +86,48 @@ def test_minority_layouts_have_a_template(spark):
     got = run(spark, rows)
     assert all(got[i].text == f"first {i}" for i in range(40))
     assert all(got[100 + i].text == f"second {i}" for i in range(20))
+
+
+def test_names_declare_a_role_as_a_whole(spark):
+    pages = {
+        "<article><header><h1>Title</h1></header><p>Body</p></article>": "Title\nBody",
+        '<article><div class="entry-header"><h1>Title</h1></div><p>Body</p></article>': "Title\nBody",
+        '<header><p>Site</p></header><article><p>Body</p><div class="social-history">On social history</div><div class="social share">Share</div></article>': "Body\nOn social history",
+        '<div class="post-teaser">Teaser</div><div class="text">Body</div>': "Teaser\nBody",
+        '<div class="page-header">Site</div><div class="article-body"><p>Body</p><footer>Tags</footer></div><div id="post-comments">Nice</div>': "Body",
+    }
+    rows = [(i, f"http://k{i}.example.com/", f"<body>{html}</body>") for i, html in enumerate(pages)]
+    got = run(spark, rows)
+    assert [got[i].text for i in range(len(rows))] == list(pages.values())
+
+
+def brute_match(a, b):
+    """The weight of the largest matching that keeps order and parents, over all choices of children."""
+    if a[0] != b[0]:
+        return 0
+
+    def best(p, q):
+        if not p or not q:
+            return 0
+        return max(best(p[1:], q), best(p, q[1:]), brute_match(p[0], q[0]) + best(p[1:], q[1:]))
+
+    return 1 + best(a[1], b[1])
+
+
+def test_tree_matching_equals_brute_force():
+    rng = random.Random(5)
+
+    def tree(depth):
+        return (rng.choice("abc"), [tree(depth - 1) for _ in range(rng.randint(0, 3))] if depth else [])
+
+    def lines(t, parent, out):
+        k = len(out)
+        out.append(f"{parent} {t[0]}")
+        for x in t[1]:
+            lines(x, k, out)
+        return out
+
+    for _ in range(60):
+        x, y = ("#", [tree(2), tree(2)]), ("#", [tree(2), tree(1)])
+        found = wrapper.tree_match("\n".join(lines(x, -1, [])), "\n".join(lines(y, -1, [])))
+        assert len(found) == brute_match(x, y) and len(set(found.values())) == len(found)

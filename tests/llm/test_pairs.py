@@ -2,10 +2,11 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from helpers import SCHEMA, corpus, fold, space_words
 
-from cellweave.llm import jaccard, substrings
+from cellweave.llm import decontaminate, jaccard, substrings, toxicity
 from cellweave.llm.components import components
 
 
@@ -173,3 +174,17 @@ def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (500, 501), (501, 500)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}, 500: 500, 501: 500}
+
+
+def test_columns_named_like_internal_ones(spark):
+    rows = [(r[0], r[1], r[4], 1, 2, 3, 4) for r in corpus(7, n=20, hot=6)]
+    names = ["__doc", "__answers", "__n_words", "__digest"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    bench = spark.createDataFrame([(1, "w1x7 w2x1 w3x8")], "item_id long, text string")
+    machine = toxicity.Machine(0.0, np.zeros(1 << toxicity.BITS), np.zeros((1 << toxicity.BITS, 1)))
+    plain = df.drop(*names)
+    for run in (jaccard.representatives, substrings.without_repeats, lambda d: decontaminate.clean(d, bench), lambda d: toxicity.keep_clean(d, machine)):
+        out = run(df)
+        assert out.columns == df.columns
+        assert sorted(map(str, out.select("doc_id", "text").collect())) == sorted(map(str, run(plain).select("doc_id", "text").collect()))
+        assert {tuple(r) for r in out.select(*names).distinct().collect()} <= {(1, 2, 3, 4)}
