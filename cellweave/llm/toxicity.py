@@ -89,10 +89,10 @@ def fit(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, value: np.nda
     begin = _starts(rows)
     own = rows[begin]
     order = np.argsort(buckets, kind="stable").astype(np.int32)
-    row_of = rows.astype(np.int32)[order]
+    row_of = rows.astype(np.int32, copy=False)[order]
     head = _starts(buckets[order])
     term = buckets[order[head]]
-    buckets = buckets.astype(np.int32)
+    buckets = buckets.astype(np.int32, copy=False)
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in weights]
 
     def by_row(x: np.ndarray) -> np.ndarray:
@@ -137,7 +137,7 @@ def values(buckets: np.ndarray, toxic: np.ndarray, labels: np.ndarray, n_terms:
     return np.clip(chi / 12, LEAST, 1)
 
 
-def learn(documents: DataFrame, labels: DataFrame, max_train: int = 8_000, max_pairs: int = 8_000_000, steps: int = 80) -> Machine:
+def learn(documents: DataFrame, labels: DataFrame, max_train: int = 8_000, max_pairs: int = 6_000_000, steps: int = 80) -> Machine:
     """Fits on about max_train labelled rows at most, in the order of a hash of the id, and on fewer if
     they hold more than max_pairs terms."""
     spark = R.prepare(documents.sparkSession)
@@ -174,8 +174,8 @@ def learn(documents: DataFrame, labels: DataFrame, max_train: int = 8_000, max_p
         share = float(y.mean()) if len(y) else 0.0
         w0 = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
         return Machine(w0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, 1), np.float32))
-    rows = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
-    buckets = lists.flatten().to_numpy().astype(np.int64)
+    rows = np.repeat(np.arange(len(y), dtype=np.int32), lists.value_lengths().to_numpy())
+    buckets = lists.flatten().to_numpy()
     return fit(rows, buckets, y, values(buckets, y[rows], y), steps=steps)
 
 
