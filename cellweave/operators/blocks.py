@@ -170,15 +170,50 @@ def inverse_merge(whole: DataFrame, part: DataFrame, dims: Sequence[str], stats:
     return both.select(*dims, *out)
 
 
+def _alike(a: DataFrame, b: DataFrame, dims: Sequence[str], tolerance: float) -> bool:
+    names = [c for c in a.columns if c not in dims]
+    both = a.withColumn("in_a", F.lit(True)).join(b.select(*dims, F.lit(True).alias("in_b"), *[F.col(c).alias(f"m_{c}") for c in names]), list(dims), "full")
+    unlike = [~(F.col(c).eqNullSafe(F.col(f"m_{c}")) | (F.abs(F.col(c) - F.col(f"m_{c}")) <= tolerance * (1 + F.abs(F.col(c))))) for c in names]
+    unlike.append(F.col("in_a").isNull() | F.col("in_b").isNull())
+    return both.where(reduce(Column.__or__, [F.coalesce(u, F.lit(True)) for u in unlike])).isEmpty()
+
+
 def check_merge(grid: Grid, fine: Factor, window: Factor, stats: Sequence[Statistic], tolerance: float = 1e-8) -> bool:
-    """Whether merging blocks of ``fine`` gives what the cells give: the monoid law on real data."""
+    """Whether merging blocks of ``fine`` gives what the cells give."""
     coarse = tuple(f * w for f, w in zip(fine, window, strict=True))
     direct = materialize(base_reduce(grid, coarse, stats), grid.dims, stats)
     merged = materialize(coarsen(base_reduce(grid, fine, stats), grid.dims, factor_shape(grid.extent, fine), window, stats), grid.dims, stats)
-    names = [c for c in direct.columns if c not in grid.dims]
-    both = direct.join(merged.select(*grid.dims, *[F.col(c).alias(f"m_{c}") for c in names]), list(grid.dims), "full")
-    unlike = [~(F.col(c).eqNullSafe(F.col(f"m_{c}")) | (F.abs(F.col(c) - F.col(f"m_{c}")) <= tolerance * (1 + F.abs(F.col(c))))) for c in names]
-    return both.where(reduce(Column.__or__, [F.coalesce(u, F.lit(True)) for u in unlike])).isEmpty()
+    return _alike(direct, merged, grid.dims, tolerance)
+
+
+def check_laws(grid: Grid, factor: Factor, stats: Sequence[Statistic], tolerance: float = 1e-8) -> dict[str, bool]:
+    """Whether the state of blocks obeys the laws of a commutative monoid, and of a group where all
+    statistics have an inverse, on the grid's cells dealt into three parts by a hash."""
+    shape, one = factor_shape(grid.extent, factor), (1,) * len(grid.dims)
+    deal = F.pmod(F.xxhash64(*grid.dims, *grid.values), F.lit(3))
+
+    def state(df: DataFrame) -> DataFrame:
+        return base_reduce(Grid(df, grid.dims, grid.extent, grid.values), factor, stats)
+
+    def merge(x: DataFrame, y: DataFrame) -> DataFrame:
+        return coarsen(x.unionByName(y), grid.dims, shape, one, stats)
+
+    def same(x: DataFrame, y: DataFrame) -> bool:
+        return _alike(materialize(x, grid.dims, stats), materialize(y, grid.dims, stats), grid.dims, tolerance)
+
+    a, b, c = (state(grid.df.where(deal == k)) for k in range(3))
+    unknown = grid.df.where(deal == 0).select(*grid.dims, *[F.lit(None).cast(grid.df.schema[v].dataType).alias(v) for v in grid.values])
+    laws = {
+        "identity": same(merge(a, state(unknown)), a) and same(merge(state(unknown), a), a),
+        "commutativity": same(merge(a, b), merge(b, a)),
+        "associativity": same(merge(merge(a, b), c), merge(a, merge(b, c))),
+        "homomorphism": same(merge(merge(a, b), c), state(grid.df)),
+    }
+    if all(s.invertible for s in stats):
+        kept = a.select(*grid.dims)
+        only = merge(a, b).join(kept, list(grid.dims), "left_semi")
+        laws["inverse"] = same(inverse_merge(only, b.join(kept, list(grid.dims), "left_semi"), grid.dims, stats), a)
+    return laws
 
 
-__all__ = ["base_reduce", "check_merge", "coarsen", "group_reduce", "grouping_sets", "inverse_merge", "materialize", "nan", "run_plan"]
+__all__ = ["base_reduce", "check_laws", "check_merge", "coarsen", "group_reduce", "grouping_sets", "inverse_merge", "materialize", "nan", "run_plan"]

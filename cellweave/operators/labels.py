@@ -83,7 +83,7 @@ def rolling(grid: Grid, window: dict[str, int], stat: str | Statistic, min_perio
     value = F.when(F.col("count") >= need, F.col(s.name)).otherwise(nan() if s.name != "count" else F.lit(None))
     # only windows of cells that exist
     values = grid.df.select(*grid.dims).join(got, list(grid.dims), "left").select(*grid.dims, F.coalesce(value.cast("double"), nan()).alias("value"))
-    return preserve_metadata(grid, values, s.name, config=WindowConfig(sizes, (1,) * len(sizes)))
+    return preserve_metadata(grid, values, stat if isinstance(stat, str) else s.name, config=WindowConfig(sizes, (1,) * len(sizes)))
 
 
 def blockwise(grid: Grid, block: dict[str, int], stat: str | Statistic, strict: bool = True, coord: str = "mean") -> Grid:
@@ -94,7 +94,7 @@ def blockwise(grid: Grid, block: dict[str, int], stat: str | Statistic, strict:
     sizes = _sizes(grid, block)
     values = blockwise_stats(grid, sizes, s, strict)
     coords = {d: block_coordinates(grid.coords[d], n, w, coord) if w > 1 else grid.coords[d] for d, n, w in zip(grid.dims, grid.extent, sizes, strict=True) if d in grid.coords}
-    return preserve_metadata(grid, values, s.name, coords, WindowConfig(sizes), "_blockwise", tuple(n // w for n, w in zip(grid.extent, sizes, strict=True)))
+    return preserve_metadata(grid, values, stat if isinstance(stat, str) else s.name, coords, WindowConfig(sizes), "_blockwise", tuple(n // w for n, w in zip(grid.extent, sizes, strict=True)))
 
 
 def tree_reduce_labelled(grids: Sequence[Grid], combine: Callable[[Column, Column], Column] | None = None, tolerance: float = 1e-8) -> Grid:
@@ -134,21 +134,65 @@ def seconds_of(freq: str) -> int:
     return int(m[1] or 1) * _UNITS[m[2]]
 
 
+#: Months of calendar frequencies, and whether bins are named after their first or last day.
+_CALENDAR = {"ms": (1, "start"), "qs": (3, "start"), "ys": (12, "start"), "m": (1, "end"), "me": (1, "end"), "q": (3, "end"), "qe": (3, "end"), "y": (12, "end"), "ye": (12, "end")}
+
+
+def calendar_of(freq: str) -> tuple[int, str] | None:
+    """(months, start or end) of a calendar frequency such as 1M, MS or QS; None of any other.
+
+    Several months, quarters or years are only counted from their start."""
+    m = re.fullmatch(r"\s*(\d*)\s*(ms|qs|ys|me|qe|ye|m|q|y)\s*", freq.lower())
+    if not m or m[1] == "0":
+        return None
+    months, label = _CALENDAR[m[2]]
+    times = int(m[1] or 1)
+    if times > 1 and label == "end":
+        raise ValueError(f"bins of several periods are named after their start: {freq!r}")
+    return months * times, label
+
+
+def _binned(df: DataFrame, time: str, freq: str) -> tuple[DataFrame, Callable[[Column], Column], int]:
+    """The rows with their bin's number, from a bin's number its time, and the step between bins."""
+    known = df.where(F.col(time).isNotNull())
+    calendar = calendar_of(freq)
+    if calendar is None and re.fullmatch(r"\s*1?\s*w\s*", freq.lower()):
+        # weeks end on Sunday, whose day names them; day 3 after the epoch is a Sunday
+        day = F.unix_date(F.col(time).cast("date"))
+        return known.withColumn("__bin", (F.floor((day + 3) / 7)).cast("long")), lambda k: F.date_from_unix_date((k * 7 + 3).cast("int")).cast("timestamp"), 1
+    if calendar is None:
+        size = seconds_of(freq)
+        second = F.unix_timestamp(F.date_trunc("second", F.col(time)))
+        return known.withColumn("__bin", (F.floor(second / size) * size).cast("long")), F.timestamp_seconds, size
+    months, label = calendar
+    month = (F.year(time) * 12 + F.month(time) - 1).cast("long")
+    first = lambda k: F.make_date((F.floor(k / 12)).cast("int"), (F.pmod(k, F.lit(12)) + 1).cast("int"), F.lit(1))
+    if label == "end":
+        return known.withColumn("__bin", (F.floor(month / months) * months).cast("long")), lambda k: F.last_day(F.add_months(first(k), months - 1)).cast("timestamp"), months
+    if months % 3 == 0 and months in (3, 12) or months == 1:
+        return known.withColumn("__bin", (F.floor(month / months) * months).cast("long")), lambda k: first(k).cast("timestamp"), months
+    # several periods are counted from the first row's
+    unit = 12 if months % 12 == 0 else 3 if freq.lower().strip().endswith("qs") else 1
+    origin = known.agg(F.min(F.floor(month / unit) * unit).cast("long").alias("__origin"))
+    return known.crossJoin(F.broadcast(origin)).withColumn("__bin", (F.floor((month - F.col("__origin")) / months) * months + F.col("__origin")).cast("long")).drop("__origin"), lambda k: first(k).cast("timestamp"), months
+
+
 def resample(df: DataFrame, time: str, value: str, freq: str, stat: str | Statistic, empty: bool = True) -> DataFrame:
-    """(bin, value) of time bins, closed and labelled at their start and counted from midnight of
-    the first day for bins that divide a day, else from the epoch.  Empty bins between the first
-    and the last have NaN (count 0, sum 0)."""
+    """(bin, value) of time bins.  Those of seconds to days are closed and named at their start and
+    counted from midnight of the first day if they divide a day, else from the epoch.  Weeks run from
+    Monday to Sunday and are named after the Sunday.  M, Q and Y (with or without E) are named after
+    their last day, MS, QS and YS after the first.  Empty bins between the first and the last have NaN
+    (count 0, sum 0)."""
     s = named(stat) if isinstance(stat, str) else stat
-    size = seconds_of(freq)
-    second = F.unix_timestamp(F.date_trunc("second", F.col(time)))
-    rows = df.where(F.col(time).isNotNull()).select((F.floor(second / size) * size).cast("long").alias("__bin"), F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("__v"))
+    placed, named_at, step = _binned(df, time, freq)
+    rows = placed.select("__bin", F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("__v"))
     binned = materialize(rows.groupBy("__bin").agg(*[c.lift([F.col("__v")]).alias("__" + c.name) for c in s.components()]), ["__bin"], [s])
     none = F.lit(0) if s.name in ("count", "sum") else nan()
     if empty:
         ends = rows.agg(F.min("__bin").alias("a"), F.max("__bin").alias("b")).where("a IS NOT NULL")
-        every = ends.select(F.explode(F.sequence("a", "b", F.lit(size))).alias("__bin"))
+        every = ends.select(F.explode(F.sequence("a", "b", F.lit(step).cast("long"))).alias("__bin"))
         binned = every.join(binned, "__bin", "left")
-    return binned.select(F.timestamp_seconds("__bin").alias("bin"), F.coalesce(F.col(s.name), none).alias("value"))
+    return binned.select(named_at(F.col("__bin")).alias("bin"), F.coalesce(F.col(s.name), none).alias("value"))
 
 
 def window_coordinates(grid: Grid, values: DataFrame, config: WindowConfig) -> DataFrame:

@@ -374,6 +374,11 @@ def resample_6h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.select(F.unix_timestamp("bin").alias("bin"), "value"), 7)
 
 
+@_query("WITH b AS (SELECT date_trunc('month', ts) AS m, avg(value) AS value FROM events WHERE ts IS NOT NULL GROUP BY 1) SELECT CAST(m + INTERVAL 1 MONTH - INTERVAL 1 DAY AS TIMESTAMP) AS bin, "+_r("value")+" AS value FROM b")
+def resample_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(resample(_read(spark, sf_dir, "events"), "ts", "value", "1M", "mean"))
+
+
 @_query(_binned(60, "count(value)", "0"))
 def resample_empty_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = resample(_read(spark, sf_dir, "events"), "ts", "value", "1min", "count")
@@ -401,7 +406,7 @@ def block_coords_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.coords["i"].select("idx", "coord")
 
 
-@_query(f"WITH {_E}, {_X} {_blocks(10, 8, _r('var_pop(v)') + ' AS u_var_pop_blockwise')}")
+@_query(f"WITH {_E}, {_X} {_blocks(10, 8, _r('var_pop(v)') + ' AS u_var_blockwise')}")
 def block_labelled_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(blockwise(_labelled(spark, sf_dir), {"i": 10, "j": 8}, "var", strict=False).df)
 

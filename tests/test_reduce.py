@@ -3,7 +3,7 @@ import pytest
 
 from cellweave import Count, Cov, Grid, Max, Mean, Median, Min, Moments, Sliding, Std, Sum, Tower, Var, reduce_stats
 from cellweave.functions.statistics import geometric_mean, subsumes
-from cellweave.operators.blocks import base_reduce, check_merge, coarsen, inverse_merge, materialize
+from cellweave.operators.blocks import base_reduce, check_laws, check_merge, coarsen, inverse_merge, materialize
 from cellweave.plans.lattice import factor_shape
 
 RNG = np.random.default_rng(42)
@@ -101,6 +101,11 @@ def test_merging_laws_on_sparse_data(spark):
     assert check_merge(g, (2, 1), (3, 2), [Count(), Sum(), Mean(), Var(), Min(), Max(), Moments(2)])
     pair = Grid.from_table(df, ["a", "b"], ["v", "w"], (24, 6))
     assert check_merge(pair, (2, 3), (4, 2), [Cov()])
+    every = check_laws(g, (6, 3), [Count(), Sum(), Mean(), Var(), Min(), Max(), Moments(2)])
+    assert set(every) == {"identity", "commutativity", "associativity", "homomorphism"} and all(every.values())
+    for grid, stats in ((g, [Count(), Mean(), Var()]), (pair, [Cov()])):
+        laws = check_laws(grid, (12, 3), stats, 1e-6)
+        assert all(laws.values()) and "inverse" in laws, laws
     with pytest.raises(ValueError):
         coarsen(base_reduce(g, (2, 1), [Median()]), g.dims, (12, 6), (2, 1), [Median()])
 

@@ -106,7 +106,7 @@ def coords(spark, *xs):
 def test_labels(spark):
     g = Grid.from_numpy(spark, np.ones((10, 10)), dims=("x", "y"), name="u", coords={"x": coords(spark, *range(0, 100, 10)), "y": coords(spark, *range(0, 50, 5))}, attrs={"units": "m/s"})
     out = blockwise(g, {"x": 5, "y": 5}, "var")
-    assert out.name == "u_var_pop_blockwise" and out.attrs["units"] == "(m/s)^2" and out.df.schema[out.name].metadata["units"] == "(m/s)^2"
+    assert out.name == "u_var_blockwise" and out.attrs["units"] == "(m/s)^2" and out.df.schema[out.name].metadata["units"] == "(m/s)^2"
     assert [r.coord for r in out.coords["x"].orderBy("idx").collect()] == [20, 70]
     assert [r.coord for r in out.coords["y"].orderBy("idx").collect()] == [10, 35]
     with pytest.raises(ValueError):
@@ -149,6 +149,20 @@ def test_resample(spark):
         seconds_of("1 fortnight")
 
 
+def test_resample_by_the_calendar(spark):
+    import pandas as pd
+
+    times = pd.date_range("2019-11-20 05:00", periods=300, freq="37h").delete(slice(60, 140))
+    series = pd.Series(np.arange(len(times), dtype=float), index=times)
+    df = spark.createDataFrame([(str(t), float(v)) for t, v in series.items()], "t string, v double").select(F.col("t").cast("timestamp").alias("time"), "v")
+    for freq, pandas_freq in (("1M", "ME"), ("MS", "MS"), ("2MS", "2MS"), ("W", "W"), ("QS", "QS"), ("Q", "QE"), ("Y", "YE"), ("YS", "YS")):
+        want = series.resample(pandas_freq).sum()
+        got = {r.bin: r.value for r in resample(df, "time", "v", freq, "sum").select(F.date_format("bin", "yyyy-MM-dd").alias("bin"), "value").collect()}
+        assert got == {f"{t:%Y-%m-%d}": v for t, v in want.items()}, freq
+    with pytest.raises(ValueError):
+        resample(df, "time", "v", "2M", "sum")
+
+
 def test_movement_and_backends(spark):
     g = Grid.from_numpy(spark, np.arange(64.0).reshape(8, 8))
     assert scatter(g, 2).df.rdd.getNumPartitions() == 2
@@ -170,7 +184,10 @@ def test_incremental_state_over_frames_and_stream(spark, tmp_path):
     for k, frame in enumerate(x):
         state(Grid.from_numpy(spark, frame).df, k)
     state(Grid.from_numpy(spark, x[0]).df, 1)  # a batch seen before
-    got = state.result(spark).orderBy("d0").collect()
+    again = IncrementalState(f"file://{tmp_path}/state", ["d0"], (20,), (5,), [Mean(), Var()])  # after a restart
+    again(Grid.from_numpy(spark, x[0]).df, 2)
+    assert len([p for p in (tmp_path / "state").iterdir()]) <= 2
+    got = again.result(spark).orderBy("d0").collect()
     for k, r in enumerate(got):
         own = x[:, 5 * k : 5 * k + 5].ravel()
         assert np.isclose(r["mean"], own.mean()) and np.isclose(r["var"], own.var(ddof=1))
