@@ -60,14 +60,14 @@ def benchmark_windows(benchmark: DataFrame, window: int = 10, shingle: int = 6)
                 n = len(text) - size + 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([ids[i].as_py()] * n, pa.int64()),
+                        pa.array([ids[i].as_py()] * n, pa.string()),
                         pa.array([text[j : j + size] for j in range(n)], pa.list_(pa.string())),
                         pa.array([W.signed(hashes[j : j + per]) for j in range(n)], pa.list_(pa.int64())),
                     ],
                     names=["item_id", "words", "shingles"],
                 )
 
-    return benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "item_id long, words array<string>, shingles array<bigint>")
+    return benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(cut, "item_id string, words array<string>, shingles array<bigint>")
 
 
 def _runs(documents: DataFrame, tables: dict[int, tuple[np.ndarray, int]]) -> DataFrame:
@@ -118,7 +118,7 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = 10, shin
     and (digest, start, stop, items) for each distinct verified occurrence of a benchmark window."""
     spark = R.prepare(documents.sparkSession)
     windows = R.written(
-        benchmark_windows(benchmark, window, shingle).groupBy("words", "shingles").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items")).withColumn("block_key", F.xxhash64("words")),
+        benchmark_windows(benchmark, window, shingle).groupBy("words", "shingles").agg(F.sort_array(F.collect_set("item_id")).alias("items")).withColumn("block_key", F.xxhash64("words")),
         "windows",
     )
     total = windows.agg(F.sum(F.size("shingles"))).first()[0] or 0

@@ -64,7 +64,7 @@ j AS (
 k AS (SELECT pair_id, coalesce(min(n) FILTER (NOT same), max(n) + 1) - 1 AS n_prefix FROM j GROUP BY pair_id),
 x AS (
   SELECT t.pair_id, side, n, n_prefix, role, n <= n_prefix AS common,
-    '<|' || coalesce(role, 'unknown') || '|>' || chr(10) AS head, replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS body
+    '<|' || translate(coalesce(role, 'unknown'), '<|>' || chr(10) || chr(13), '_____') || '|>' || chr(10) AS head, replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS body
   FROM t JOIN k ON t.pair_id = k.pair_id
 ),
 y AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY pair_id, side, common ORDER BY n) AS last FROM x)

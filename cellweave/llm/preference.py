@@ -28,7 +28,9 @@ def conversations(turns: DataFrame) -> DataFrame:
 
 
 def _head(turn: Column) -> Column:
-    return F.concat(F.lit("<|"), F.coalesce(turn["role"], F.lit("unknown")), F.lit("|>\n"))
+    # a role that would end its own head or begin another one can't
+    role = F.translate(F.coalesce(turn["role"], F.lit("unknown")), "<|>\n\r", "_____")
+    return F.concat(F.lit("<|"), role, F.lit("|>\n"))
 
 
 def _body(turn: Column) -> Column:

@@ -43,8 +43,7 @@ class SlotMap:
     def rebalanced(self, weights: dict[int, int], slack: float = 0.002) -> SlotMap:
         """The next version: slots leave shards over the mean, largest first, for the lightest shard.
 
-        A last round of swaps evens out what whole slots leave over.  Slots of shards that are
-        near the mean stay, so that an edit moves few records.
+        Slots of shards that are near the mean stay, so that an edit moves few records.
         """
         shards, load = list(self.shards), self.loads(weights)
         mean = sum(load) / self.n_shards

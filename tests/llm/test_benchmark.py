@@ -79,3 +79,10 @@ def test_empty_tables(spark):
 
 def test_query_names():
     assert [int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES] == list(range(1, 11))
+
+
+def test_item_ids_are_strings(spark):
+    bench = spark.createDataFrame([("q-10", "one two three"), ("q-9", "one two three")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "zero one two three four")], "doc_id long, text string")
+    row = decontaminate.contamination(docs, bench).first()
+    assert list(row["items"]) == ["q-10", "q-9"] and [(s.start, s.stop) for s in row.spans] == [(1, 4)]
