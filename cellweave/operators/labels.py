@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.statistics import Count, Statistic, named, nan
 from ..sources.grid import Grid
 from .blocks import materialize
-from .sliding import WindowConfig, window_geometry, window_state
+from .sliding import WindowConfig, expanded_windows, framable, framed_windows, window_geometry
 
 
 def result_attrs(attrs: dict[str, object], stat: str, config: WindowConfig | None = None) -> dict[str, object]:
@@ -73,16 +73,17 @@ def rolling(grid: Grid, window: dict[str, int], stat: str | Statistic, min_perio
     full = reduce(int.__mul__, sizes, 1)
     need = full if min_periods is None else min_periods
     # window k stands for cell k: it starts w // 2 before the cell, or w - 1 before it
-    shifted = grid.df
-    for d, w in zip(grid.dims, sizes, strict=True):
-        shifted = shifted.withColumn(d, F.col(d) + (w // 2 if center else w - 1))
-    source = replace(grid, df=shifted, dense=False, extent=tuple(n + w - 1 for n, w in zip(grid.extent, sizes, strict=True)))
+    before = [w // 2 if center else w - 1 for w in sizes]
+    ones = (1,) * len(sizes)
     stats = [s] if s.name == "count" else [s, Count()]
-    state, _ = window_state(source, WindowConfig(sizes, (1,) * len(sizes)), stats, skipna=True, executor="expand")
-    got = materialize(state, grid.dims, stats)
+    if framable(grid, stats, sizes, skipna=True):
+        got = materialize(framed_windows(grid, grid.extent, sizes, ones, [-b for b in before], stats, skipna=True), grid.dims, stats)
+    else:
+        got = materialize(expanded_windows(grid, grid.extent, sizes, ones, [-b for b in before], stats, skipna=True), grid.dims, stats)
+        # only windows of cells that exist
+        got = grid.df.select(*grid.dims).join(got, list(grid.dims), "left")
     value = F.when(F.col("count") >= need, F.col(s.name)).otherwise(nan() if s.name != "count" else F.lit(None))
-    # only windows of cells that exist
-    values = grid.df.select(*grid.dims).join(got, list(grid.dims), "left").select(*grid.dims, F.coalesce(value.cast("double"), nan()).alias("value"))
+    values = got.select(*grid.dims, F.coalesce(value.cast("double"), nan()).alias("value"))
     return preserve_metadata(grid, values, stat if isinstance(stat, str) else s.name, config=WindowConfig(sizes, (1,) * len(sizes)))
 
 

@@ -87,16 +87,24 @@ def expanded_windows(grid: Grid, counts: Sequence[int], sizes: Sequence[int], st
 _BUCKET = 100_000
 
 
-def framed_windows(grid: Grid, counts: Sequence[int], sizes: Sequence[int], strides: Sequence[int], firsts: Sequence[int], stats: Sequence[Statistic]) -> DataFrame:
-    """The same for dense grids with valid windows, one axis at a time by window frames.
-
-    After the first axis state rows of equal counts are merged.  A line is cut into buckets
-    with a halo of the next w - 1 cells, so that no line, however long, is one task."""
+def framed_windows(grid: Grid, counts: Sequence[int], sizes: Sequence[int], strides: Sequence[int], firsts: Sequence[int], stats: Sequence[Statistic], skipna: bool = False) -> DataFrame:
+    """The same for dense grids, one axis at a time by window frames.
+
+    A window is worked out at its first cell; where windows start before cell 0, every line gets
+    empty cells there.  After the first axis state rows are merged.  Along one line they hold
+    equally many cells, clipped or not, unless skipna leaves some out (see ``framable``).
+    A line is cut into buckets with a halo of the next w - 1 cells, so that no line, however
+    long, is one task."""
     components = list(minimal_components(stats).values())
-    df = grid.df.select(*grid.dims, *[e.alias(PREFIX + c.name) for c, e in ((c, _single(c, value_columns(grid, False))) for c in components)])
+    state = [PREFIX + c.name for c in components]
+    df = grid.df.select(*grid.dims, *[e.alias(PREFIX + c.name) for c, e in ((c, _single(c, value_columns(grid, skipna))) for c in components)])
     lifted = False
     for axis, (d, n, w, s, first) in enumerate(zip(grid.dims, counts, sizes, strides, firsts, strict=True)):
         others = [o for o in grid.dims if o != d]
+        if first < 0:
+            before = F.when(F.col(d) == 0, F.sequence(F.lit(first).cast("long"), F.lit(0).cast("long"))).otherwise(F.array(d))
+            df = df.withColumn("__at", F.explode(before))
+            df = df.select(*[F.col("__at").alias(d) if o == d else o for o in grid.dims], *[F.when(F.col("__at") >= 0, F.col(c)).alias(c) for c in state])
         if w > 1:
             size = max(_BUCKET, 2 * w)
             halo = F.expr(f"`{d}` % {size}") < w - 1
@@ -106,7 +114,7 @@ def framed_windows(grid: Grid, counts: Sequence[int], sizes: Sequence[int], stri
             else:
                 df = df.withColumn("__bucket", F.lit(0))
             frame = Window.partitionBy(*others, "__bucket").orderBy(d).rangeBetween(0, w - 1)
-            merged = [_framed(c, frame, lifted).alias(PREFIX + c.name) for c in components]
+            merged = [_framed(c, frame, lifted, skipna).alias(PREFIX + c.name) for c in components]
             own = (F.col("__bucket") == F.expr(f"`{d}` div {size}")) if grid.extent[axis] > size else F.lit(True)
             df = df.select(*grid.dims, "__bucket", *merged).where(own).drop("__bucket")
             lifted = True
@@ -135,22 +143,31 @@ def _single(c: Component, v: Sequence[Column]) -> Column:
     raise ValueError(f"{c.name} has no frames; use the expanded form")
 
 
-def _framed(c: Component, frame, lifted: bool) -> Column:  # noqa: ANN001
+_SPREADS = ("m2", "m2_y", "c")
+
+
+def _framed(c: Component, frame, lifted: bool, weighted: bool = False) -> Column:  # noqa: ANN001
     s = state_column
     over = lambda e: e.over(frame)
-    if c.name in ("mean", "mean_y"):  # equal counts
-        return over(F.avg(s(c.name)))
-    if c.name in ("m2", "m2_y", "c"):
+    if c.name in ("mean", "mean_y"):
+        if lifted and weighted:
+            total = over(F.sum(s("n")))
+            return over(F.sum(s(c.name) * s("n"))) / F.when(total > 0, total)
+        return over(F.avg(s(c.name)))  # equal counts
+    if c.name in _SPREADS:
         p, q = {"m2": ("mean", "mean"), "m2_y": ("mean_y", "mean_y"), "c": ("mean", "mean_y")}[c.name]
         between = over(F.regr_sxx(s(p), s(p))) if p == q else over(F.regr_sxy(s(q), s(p)))
-        return over(F.sum(s(c.name))) + s("n") * between if lifted else between
+        return over(F.sum(s(c.name))) + over(F.max(s("n"))) * between if lifted else between
     if c.name in ("min", "has_nan", "max"):
         return over(F.max(s(c.name)) if c.name != "min" else F.min(s(c.name)))
     return over(F.sum(s(c.name)))
 
 
-def framable(grid: Grid, stats: Sequence[Statistic]) -> bool:
-    return grid.dense and all(s.mergeable and all("__" not in c.name for c in s.components()) for s in stats)
+def framable(grid: Grid, stats: Sequence[Statistic], sizes: Sequence[int] = (), skipna: bool = False) -> bool:
+    """Whether frames give the windows: for dense grids and the library's own state.  Spreads of
+    unequal counts have no frames, so with skipna they take windows along one axis only."""
+    own = grid.dense and all(s.mergeable and all("__" not in c.name for c in s.components()) for s in stats)
+    return own and (not skipna or sum(w > 1 for w in sizes) <= 1 or not any(c in _SPREADS for c in minimal_components(stats)))
 
 
 def window_state(grid: Grid, config: WindowConfig, stats: Sequence[Statistic], origin: Sequence[int] | None = None, skipna: bool = False, same_align: str = "shifted", executor: str = "auto") -> tuple[DataFrame, Factor]:
@@ -165,11 +182,13 @@ def window_state(grid: Grid, config: WindowConfig, stats: Sequence[Statistic], o
             count, first = window_geometry(n, w, s, config.padding, same_align)
             counts.append(count)
             firsts.append(first)
-    frames = executor == "frames" or executor == "auto" and framable(grid, stats) and config.padding == "valid" and not skipna
+    # windows that don't overlap are groups, which are combined before the shuffle
+    overlap = any(w > s for w, s in zip(config.sizes, config.strides, strict=True))
+    frames = executor == "frames" or executor == "auto" and overlap and framable(grid, stats, config.sizes, skipna)
     if executor not in ("auto", "frames", "expand"):
         raise ValueError(f"unknown executor {executor!r}")
     if frames:
-        return framed_windows(grid, counts, config.sizes, config.strides, firsts, stats), tuple(counts)
+        return framed_windows(grid, counts, config.sizes, config.strides, firsts, stats, skipna), tuple(counts)
     return expanded_windows(grid, counts, config.sizes, config.strides, firsts, stats, skipna), tuple(counts)
 
 

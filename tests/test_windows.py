@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave import Grid, IncrementalState, LazyPlan, Mean, Var, WindowConfig, blockwise, blockwise_stats, blockwise_windows, center_coordinates, gather, map_reduce, merge_stats, multiresolution_stats, product_mean, product_moments, rechunk, resample, resolve_backend, rolling, rolling_stats, rolling_windows, scatter, tiled_stats, tree_reduce, tree_reduce_labelled, validate_window_config, window_coordinates, window_stat
+from cellweave import Count, Cov, Grid, IncrementalState, LazyPlan, Mean, Min, Var, WindowConfig, blockwise, blockwise_stats, blockwise_windows, center_coordinates, gather, map_reduce, materialize, merge_stats, multiresolution_stats, product_mean, product_moments, rechunk, resample, resolve_backend, rolling, rolling_stats, rolling_windows, scatter, tiled_stats, tree_reduce, tree_reduce_labelled, validate_window_config, window_coordinates, window_stat
+from cellweave.operators import sliding
 from cellweave.operators.labels import result_attrs, seconds_of
 
 
@@ -197,3 +198,36 @@ def test_incremental_state_over_frames_and_stream(spark, tmp_path):
     query = spark.readStream.schema("d0 long, v double").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/frames").writeStream.foreachBatch(streamed).option("checkpointLocation", f"file://{tmp_path}/check").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert np.isclose(streamed.result(spark).where("d0 = 0").first()["mean"], x[:, :5].mean())
+
+
+@pytest.mark.parametrize("bucket", [4, 100_000])
+@pytest.mark.parametrize(("padding", "align"), [("same", "shifted"), ("same", "centered"), ("full", "shifted")])
+def test_frames_equal_expansion_beyond_the_edges(spark, monkeypatch, bucket, padding, align):
+    monkeypatch.setattr(sliding, "_BUCKET", bucket)
+    rng = np.random.default_rng(4)
+    grid = Grid.from_numpy(spark, 1e6 + rng.standard_normal((23, 9)), rng.standard_normal((23, 9)))
+    config, stats = WindowConfig((5, 12), (3, 2), padding), [Count(), Mean(), Cov()]
+    one = Grid(grid.df, grid.dims, grid.extent, ("x",), True)
+    for g, asked in ((grid, stats[:1] + stats[2:]), (one, [Count(), Mean(), Var(), Min()])):
+        a, b = (materialize(sliding.window_state(g, config, asked, same_align=align, executor=e)[0], g.dims, asked).toPandas().sort_values(["d0", "d1"], ignore_index=True) for e in ("frames", "expand"))
+        assert len(a) == len(b)
+        np.testing.assert_allclose(a.to_numpy(float), b[a.columns].to_numpy(float), rtol=1e-7, atol=1e-7)
+
+
+@pytest.mark.parametrize("stat", ["mean", "count", "min", "sum", "var"])
+@pytest.mark.parametrize("center", [True, False])
+def test_rolling_with_gaps_equals_pandas_windows(spark, stat, center):
+    x = np.random.default_rng(5).standard_normal((11, 7))
+    x[3:6, 2:5] = np.nan
+    grid = Grid.from_numpy(spark, x)
+    out = rolling(grid, {"d0": 3, "d1": 4}, stat, min_periods=2, center=center)
+    got = out.df.select(*grid.dims, F.col(out.values[0]).alias("value"))
+    a, b = (1, 2) if center else (2, 3)
+    want = []
+    with np.errstate(all="ignore"):
+        for i in range(11):
+            for j in range(7):
+                w = x[max(0, i - a) : i - a + 3, max(0, j - b) : j - b + 4]
+                w = w[~np.isnan(w)]
+                want.append(np.nan if len(w) < 2 else {"mean": np.mean, "count": len, "min": np.min, "sum": np.sum, "var": np.var}[stat](w))
+    np.testing.assert_allclose(values(got, "d0", "d1"), want, rtol=1e-9)
