@@ -9,7 +9,7 @@ from importlib import import_module
 _EXPORTS = {
     ".api": "MultiResResult Sliding Tower plan_for reduce_stats",
     ".backends": "Backend LazyPlan map_reduce resolve_backend",
-    ".functions": "Count Cov CustomStatistic Max Mean Median Min Moments Product Statistic Std Sum Var subsumes",
+    ".functions": "Count Cov CustomStatistic Max Mean Median Min Moments PairwiseStatistic Product Statistic Std Sum Var subsumes",
     ".operators.blocks": "base_reduce check_laws check_merge coarsen group_reduce inverse_merge materialize run_plan",
     ".operators.labels": "blockwise center_coordinates preserve_metadata resample rolling tree_reduce_labelled window_coordinates",
     ".operators.sliding": "WindowConfig blockwise_windows rolling_windows validate_window_config",

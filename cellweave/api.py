@@ -72,8 +72,13 @@ class MultiResResult:
 
     Block scales are keyed by factor, windows by (window, stride, origin)."""
 
-    def __init__(self, dims: Sequence[str], frames: dict[tuple, DataFrame], shapes: dict[tuple, Factor], plan: ReductionPlan | None = None):
-        self.dims, self._frames, self.shapes, self.plan = tuple(dims), frames, shapes, plan
+    def __init__(self, dims: Sequence[str], frames: dict[tuple, DataFrame], shapes: dict[tuple, Factor], plan: ReductionPlan | None = None, kept: Sequence[DataFrame] = ()):
+        self.dims, self._frames, self.shapes, self.plan, self._kept = tuple(dims), frames, shapes, plan, list(kept)
+
+    def unpersist(self) -> None:
+        """Gives up the state that ``use_cache`` keeps between scales."""
+        while self._kept:
+            self._kept.pop().unpersist()
 
     @property
     def factors(self) -> list[tuple]:
@@ -126,11 +131,12 @@ def plan_for(extent: Factor, scales: Tower | Scale | Sequence[Scale]) -> Reducti
     return solver_plan(extent, [_per_dim(s, len(extent)) for s in scales])
 
 
-def reduce_stats(grid: Grid, scales: Tower | Sliding | Scale | Sequence[Scale] | Sequence[Sliding], stats: Sequence[Statistic] = (Mean(), Var()), *, skipna: bool = False, strategy: str = "tower", executor: str = "auto", plan: ReductionPlan | None = None, backend: object = None) -> MultiResResult:
+def reduce_stats(grid: Grid, scales: Tower | Sliding | Scale | Sequence[Scale] | Sequence[Sliding], stats: Sequence[Statistic] = (Mean(), Var()), *, skipna: bool = False, strategy: str = "tower", executor: str = "auto", plan: ReductionPlan | None = None, backend: object = None, use_cache: bool = False) -> MultiResResult:
     """Statistics of a field, or of a pair of fields, over blocks or windows at one or more scales.
 
     A plan may be reused for any grid of its extent.  ``backend`` is accepted and checked: where
-    the work runs is the session's affair."""
+    the work runs is the session's affair.  ``use_cache`` keeps the state of scales that others are
+    merged from until the result's ``unpersist``, so that scales used one by one share it."""
     resolve_backend(backend)
     check_arity(grid, stats)
     kind = grid.df.schema[grid.values[0]].dataType
@@ -146,6 +152,7 @@ def reduce_stats(grid: Grid, scales: Tower | Sliding | Scale | Sequence[Scale] |
         plan = plan_for(grid.extent, scales)
     elif plan.extent != grid.extent:
         raise ValueError(f"the plan is for {plan.extent}, the grid has {grid.extent}")
-    states = run_plan(grid, plan, stats, skipna, strategy)
+    kept: list[DataFrame] = []
+    states = run_plan(grid, plan, stats, skipna, strategy, kept if use_cache else None)
     frames = {f: materialize(states[f], grid.dims, stats, kind) for f in plan.targets}
-    return MultiResResult(grid.dims, frames, {f: factor_shape(grid.extent, f) for f in plan.targets}, plan)
+    return MultiResResult(grid.dims, frames, {f: factor_shape(grid.extent, f) for f in plan.targets}, plan, kept)

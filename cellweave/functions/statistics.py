@@ -326,6 +326,53 @@ class CustomStatistic(Statistic):
         return {self.name: self._finalize(self._own(state))}
 
 
+class PairwiseStatistic(Statistic):
+    """A user's statistic whose state merges two at a time.
+
+    ``state`` maps parts of the state to aggregates of the values and ``empty`` to those of no
+    value; ``merge`` takes the parts of two states, as functions of a name, and gives those of both
+    together.  Blocks fold the states of the finer blocks in them, whose number is the window's."""
+
+    def __init__(self, name: str, state: dict[str, Callable[..., Column]], empty: dict[str, Column], merge: Callable[[Callable[[str], Column], Callable[[str], Column]], dict[str, Column]], finalize: Callable[[Callable[[str], Column]], Column], arity: int = 1):
+        if state.keys() != empty.keys():
+            raise ValueError("state and empty must name the same parts")
+        self.name, self.arity, self._state, self._empty, self._merge, self._finalize = name, arity, state, empty, merge, finalize
+
+    def components(self) -> tuple[Component, ...]:
+        own = f"{self.name}__state"
+
+        def lift(v: Sequence[Column]) -> Column:
+            return F.struct(*[f(*v).alias(c) for c, f in self._state.items()])
+
+        def merge(state: Callable[[str], Column], equal: bool) -> Column:
+            def both(a: Column, b: Column) -> Column:
+                parts = self._merge(lambda c: a[c], lambda c: b[c])
+                return F.struct(*[parts[c].alias(c) for c in self._state])
+
+            return F.aggregate(F.collect_list(state(own)), F.struct(*[self._empty[c].alias(c) for c in self._state]), both)
+
+        return (Component(own, lift, merge),)
+
+    def result(self, state: Callable[[str], Column]) -> dict[str, Column]:
+        return {self.name: self._finalize(lambda c: state(f"{self.name}__state")[c])}
+
+
+def log_sum_exp() -> PairwiseStatistic:
+    """An example of a merge that isn't an aggregate of parts: ln of the sum of exp, about the largest value."""
+
+    def merge(a: Callable[[str], Column], b: Callable[[str], Column]) -> dict[str, Column]:
+        top = F.greatest(a("top"), b("top"))
+        return {"top": top, "s": a("s") * F.exp(a("top") - top) + b("s") * F.exp(b("top") - top)}
+
+    return PairwiseStatistic(
+        "log_sum_exp",
+        {"top": lambda v: F.max(v.cast("double")), "s": lambda v: F.sum(F.exp(v.cast("double"))) * F.exp(-F.max(v.cast("double")))},
+        {"top": F.lit(float("-inf")), "s": F.lit(0.0)},
+        merge,
+        lambda s: s("top") + F.ln(s("s")),
+    )
+
+
 def geometric_mean() -> CustomStatistic:
     """An example of a custom statistic: exp of the mean logarithm."""
     return CustomStatistic(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,12 +80,13 @@ def materialize(state: DataFrame, dims: Sequence[str], stats: Sequence[Statistic
     return state.select(*dims, *[c.alias(n) for n, c in out.items()])
 
 
-def run_plan(grid: Grid, plan: ReductionPlan, stats: Sequence[Statistic], skipna: bool = False, strategy: str = "tower") -> dict[Factor, DataFrame]:
+def run_plan(grid: Grid, plan: ReductionPlan, stats: Sequence[Statistic], skipna: bool = False, strategy: str = "tower", kept: list[DataFrame] | None = None) -> dict[Factor, DataFrame]:
     """State by wanted factor.
 
     ``tower`` merges along the plan; ``direct`` reads the cells for each scale;
     ``grouping_sets`` reads them once for all scales.  Statistics that cannot be merged take
-    the cells in any case."""
+    the cells in any case.  With a list ``kept``, steps of a tower that others are merged from are
+    persisted and added to it, for callers that use the scales one by one."""
     if strategy not in ("tower", "direct", "grouping_sets"):
         raise ValueError(f"unknown strategy {strategy!r}")
     merge = [s for s in stats if s.mergeable]
@@ -97,13 +99,17 @@ def run_plan(grid: Grid, plan: ReductionPlan, stats: Sequence[Statistic], skipna
     else:
         extents: list[Factor] = []
         by_step: list[DataFrame] = []
-        for step in plan.steps:
+        sources = {s.source for s in plan.steps} if kept is not None and merge else set()
+        for k, step in enumerate(plan.steps):
             if not merge:
                 by_step.append(grid.df)
             elif step.source is None:
                 by_step.append(base_reduce(grid, step.factor, merge, skipna))
             else:
                 by_step.append(coarsen(by_step[step.source], grid.dims, extents[step.source], step.window, merge, grid.dense and not skipna))
+            if k in sources:
+                by_step[-1] = by_step[-1].persist(StorageLevel.MEMORY_AND_DISK)
+                kept.append(by_step[-1])
             extents.append(factor_shape(grid.extent, step.factor))
             if step.wanted:
                 own = by_step[-1]

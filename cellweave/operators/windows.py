@@ -108,8 +108,10 @@ def tree_reduce_variance(blocks: Sequence[DataFrame], value: str, by: Sequence[s
     return materialize(rows.groupBy(*by).agg(*aggregates(v.components(), [F.col(value)])), by, [v])
 
 
-def multiresolution_stats(grid: Grid, factors: Sequence[int], stats: Sequence[str] = ("mean",)) -> dict[int, dict[str, DataFrame]]:
-    """{factor: {statistic: frame}} for isotropic factors; var and std by name are corrected here."""
+def multiresolution_stats(grid: Grid, factors: Sequence[int], stats: Sequence[str] = ("mean",), use_cache: bool = False) -> dict[int, dict[str, DataFrame]]:
+    """{factor: {statistic: frame}} for isotropic factors; var and std by name are corrected here.
+
+    ``use_cache`` persists the scales that others are merged from."""
     from ..api import reduce_stats
     from ..functions.statistics import Mean, Std, Var
 
@@ -118,7 +120,7 @@ def multiresolution_stats(grid: Grid, factors: Sequence[int], stats: Sequence[st
     if bad:
         raise ValueError(f"unknown statistics: {', '.join(bad)}")
     wanted = factor_sequence(min(factors), factors)
-    result = reduce_stats(grid, wanted, list({known[s].name: known[s] for s in stats}.values()))
+    result = reduce_stats(grid, wanted, list({known[s].name: known[s] for s in stats}.values()), use_cache=use_cache)
     return {f: {s: result(f, known[s]) for s in stats} for f in wanted}
 
 

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .api import Sliding, Tower, plan_for, reduce_stats
-from .functions.statistics import Count, Cov, Max, Mean, Median, Min, Moments, Std, Sum, Var, geometric_mean
-from .operators.blocks import base_reduce, coarsen, group_reduce, inverse_merge, materialize
-from .operators.labels import blockwise, center_coordinates, resample, rolling, window_coordinates
-from .operators.sliding import WindowConfig, rolling_windows
-from .operators.windows import blockwise_stats, merge_stats, multiresolution_stats, product_mean, product_moments, rolling_stats, tiled_stats, tree_reduce, tree_reduce_variance, window_stat
-from .sources.grid import Grid
+from .backends import LazyPlan, map_reduce, resolve_backend
+from .functions.statistics import Count, Cov, Max, Mean, Median, Min, Moments, Std, Sum, Var, geometric_mean, log_sum_exp
+from .operators.blocks import base_reduce, check_laws, coarsen, group_reduce, inverse_merge, materialize
+from .operators.labels import blockwise, center_coordinates, resample, rolling, tree_reduce_labelled, window_coordinates
+from .operators.sliding import WindowConfig, blockwise_windows, rolling_windows, validate_window_config
+from .operators.windows import blockwise_stats, merge_stats, moment_covariance, moment_variance, multiresolution_stats, product_mean, product_moments, rolling_stats, tiled_stats, tree_reduce, tree_reduce_variance, window_stat
+from .sources.grid import Grid, gather, rechunk, scatter
 from .streaming import windowed_state
 from .tiles import Tiles
 
@@ -287,10 +290,13 @@ def tiled_partials_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tiled_stats(embeddings(spark, sf_dir), (10, 8), "var"))
 
 
-def _halves(spark: SparkSession, sf_dir: str, stat: str) -> list[DataFrame]:
+def _parities(spark: SparkSession, sf_dir: str) -> list[Grid]:
     g = embeddings(spark, sf_dir)
-    by_parity = [Grid(g.df.where(F.col("i") % 2 == k).withColumn("i", F.expr("i div 2")), g.dims, (g.extent[0] // 2, 64), g.values) for k in (0, 1)]
-    return [blockwise_stats(h, (5, 8), stat, strict=False) for h in by_parity]
+    return [Grid(g.df.where(F.col("i") % 2 == k).withColumn("i", F.expr("i div 2")), g.dims, (g.extent[0] // 2, 64), g.values) for k in (0, 1)]
+
+
+def _halves(spark: SparkSession, sf_dir: str, stat: str) -> list[DataFrame]:
+    return [blockwise_stats(h, (5, 8), stat, strict=False) for h in _parities(spark, sf_dir)]
 
 
 def _halves_sql(inner: str, outer: str) -> str:
@@ -451,11 +457,218 @@ def tiles_multiscale_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(df.withColumnsRenamed({"f_d0": "f_i", "f_d1": "f_j", "d0": "i", "d1": "j"}))
 
 
-@_query(None)
+def _values(columns: str, rows: Sequence[tuple]) -> str:
+    def text(v: object) -> str:
+        return f"CAST({v} AS BIGINT)" if isinstance(v, int) and not isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else str(v).lower()
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) t({columns})"
+
+
+@_query(f"WITH {_X}, s AS (SELECT n * 64 AS base, n // 3 * 21 AS third FROM x) SELECT CAST(k AS BIGINT) AS step, f AS factor, CAST(o AS BIGINT) AS source, w AS window, CAST(CASE WHEN o < 0 THEN base ELSE third END AS BIGINT) AS work, k > 0 AS wanted FROM s, (VALUES (0, '(3, 3)', -1, '(3, 3)'), (1, '(4, 4)', -1, '(4, 4)'), (2, '(6, 6)', 0, '(2, 2)'), (3, '(9, 9)', 0, '(3, 3)')) t(k, f, o, w)")
 def plan_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The steps of the plan for scales 4, 6 and 9 of the embeddings grid."""
     plan = plan_for(embeddings(spark, sf_dir).extent, [4, 6, 9])
-    return spark.createDataFrame([(k, str(s.factor), -1 if s.source is None else s.source, str(s.window), s.work, s.wanted) for k, s in enumerate(plan.steps)], "step int, factor string, source int, window string, work long, wanted boolean")
+    return spark.createDataFrame([(k, str(s.factor), -1 if s.source is None else s.source, str(s.window), s.work, s.wanted) for k, s in enumerate(plan.steps)], "step long, factor string, source long, window string, work long, wanted boolean")
+
+
+@_query("SELECT CAST(4096 * 4096 + 2048 * 2048 + 1024 * 1024 + 512 * 512 + 256 * 256 + 128 * 128 AS BIGINT) AS work, CAST(6 * 4096 * 4096 AS BIGINT) AS naive, CAST(1 AS BIGINT) AS base_passes")
+def plan_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows read by the plan for 2 to 64 of 4096 x 4096 cells, and by a pass for each scale."""
+    plan = plan_for((4096, 4096), [2, 4, 8, 16, 32, 64])
+    return spark.createDataFrame([(plan.total_work, plan.naive_work, plan.n_base_passes)], "work long, naive long, base_passes long")
+
+
+_CASES = {
+    "arity": True,
+    "backend": True,
+    "dimensions of windows": True,
+    "exact windows": False,
+    "extents of a pair": True,
+    "merge of medians": True,
+    "padding": True,
+    "remainder of windows": True,
+    "scale over the extent": True,
+    "scale zero": True,
+    "stride zero": True,
+    "window over the extent": True,
+}
+
+
+@_query(_values("what, raised", list(_CASES.items())))
+def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is refused before any row is read."""
+    g = embeddings(spark, sf_dir)
+    attempts: dict[str, Callable[[], object]] = {
+        "arity": lambda: reduce_stats(g, 4, [Cov()]),
+        "backend": lambda: resolve_backend("abacus"),
+        "dimensions of windows": lambda: validate_window_config((10, 10), WindowConfig((3,))),
+        "exact windows": lambda: validate_window_config((12,), WindowConfig((3,)), True),
+        "extents of a pair": lambda: g.pair(replace(g, extent=(1, 64))),
+        "merge of medians": lambda: coarsen(g.df, g.dims, g.extent, (2, 2), [Median()]),
+        "padding": lambda: WindowConfig((3,), None, "wrap"),
+        "remainder of windows": lambda: validate_window_config((10,), WindowConfig((3,)), True),
+        "scale over the extent": lambda: plan_for((8, 8), [16]),
+        "scale zero": lambda: plan_for((8, 8), (0, 1)),
+        "stride zero": lambda: WindowConfig((3,), (0,)),
+        "window over the extent": lambda: validate_window_config((2,), WindowConfig((3,), (1,)), True),
+    }
+    seen = []
+    for what, attempt in attempts.items():
+        try:
+            attempt()
+            seen.append((what, False))
+        except ValueError:
+            seen.append((what, True))
+    return spark.createDataFrame(seen, "what string, raised boolean")
+
+
+@_query(f"WITH {_P}, {_X} {_blocks(5, 8, _r('covar_samp(x, y)') + ' AS cov', 'p')}")
+def pair_of_fields_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = embeddings(spark, sf_dir)
+    mirrored = replace(g, df=g.df.select("i", (F.lit(63) - F.col("j")).alias("j"), "v"))
+    return rounded(reduce_stats(g.pair(mirrored), (5, 8), [Cov()])[5, 8])
+
+
+@_query(f"WITH {_E}, {_X} {_blocks(10, 8, _MV)}")
+def scattered_rechunked_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slabs dealt anew by block, then the blocks' statistics."""
+    return rounded(reduce_stats(rechunk(scatter(embeddings(spark, sf_dir), 4), (10, 8)), (10, 8))[10, 8])
+
+
+@_query(f"WITH {_E}, {_X} {_blocks(50, 64, _MV)}")
+def gathered_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sink for small results: the blocks as pandas, and back."""
+    values = rounded(reduce_stats(embeddings(spark, sf_dir), (50, 64))[50, 64])
+    return spark.createDataFrame(gather(values), values.schema)
+
+
+@_query(f"WITH {_E} SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(1 AS BIGINT) AS count, {_r('v')} AS mean, 0.0::DOUBLE AS var_pop FROM e")
+def one_by_one_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reduce_stats(embeddings(spark, sf_dir), (1, 1), [Count(), Mean(), Var(False)])[1, 1])
+
+
+@_query(f"WITH {_P}, {_X} {_blocks(5, 8, _r('var_pop(x)') + ' AS var_x, ' + _r('covar_pop(x, y)') + ' AS cov_xy', 'p')}")
+def moment_identities_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """<xx> - <x><x> and <xy> - <x><y> of blocks."""
+    g = mirrored_pair(spark, sf_dir)
+    cells = g.df.where(F.col("i") < g.extent[0] // 5 * 5).select(F.expr("i div 5").alias("i"), F.expr("j div 8").alias("j"), "x", "y", (F.col("x") * F.col("x")).alias("xx"), (F.col("x") * F.col("y")).alias("xy"))
+    m = group_reduce(cells, ["i", "j"], {c: (c, Mean()) for c in ("x", "y", "xx", "xy")})
+    return rounded(m.select("i", "j", moment_variance(F.col("x"), F.col("xx")).alias("var_x"), moment_covariance(F.col("x"), F.col("y"), F.col("xy")).alias("cov_xy")))
+
+
+@_query(f"WITH {_E}, {_X}, h AS (SELECT i // 2 AS i, j, v FROM e, x WHERE i // 2 < (n // 2) // 5 * 5) SELECT CAST(i // 5 AS BIGINT) AS i, CAST(j // 8 AS BIGINT) AS j, count(*) AS count, {_MV} FROM h GROUP BY ALL")
+def merge_welford(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = [base_reduce(h, (5, 8), [Var()]) for h in _parities(spark, sf_dir)]
+    return rounded(materialize(merge_stats(states, ["i", "j"], "welford"), ["i", "j"], [Count(), Mean(), Var()]))
+
+
+@_query(f"WITH {_E} SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, {_r('v + v * v')} AS value FROM e")
+def tree_reduce_labelled_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _labelled(spark, sf_dir)
+    squares = replace(g, df=g.df.withColumn("v", F.col("v") * F.col("v")))
+    out = tree_reduce_labelled([g, squares])
+    return rounded(out.df.select("i", "j", F.col(out.values[0]).alias("value")))
+
+
+@_query(_values("law, holds", [(x, True) for x in ("associativity", "commutativity", "homomorphism", "identity", "inverse")]))
+def monoid_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    laws = check_laws(embeddings(spark, sf_dir), (25, 16), [Count(), Sum(), Mean(), Var()])
+    return spark.createDataFrame(list(laws.items()), "law string, holds boolean")
+
+
+@_query(f"WITH {_X} SELECT CAST(a AS BIGINT) AS d0, CAST(a * 10 AS BIGINT) AS d0_start, CAST(a * 10 + 10 AS BIGINT) AS d0_stop, CAST(a * 10 + 5 AS BIGINT) AS d0_center, CAST(b AS BIGINT) AS d1, CAST(b * 8 AS BIGINT) AS d1_start, CAST(b * 8 + 8 AS BIGINT) AS d1_stop, CAST(b * 8 + 4 AS BIGINT) AS d1_center FROM (SELECT unnest(range(0, n // 10)) AS a FROM x), (SELECT unnest(range(0, 8)) AS b)")
+def blockwise_enumeration_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blockwise_windows(embeddings(spark, sf_dir).extent, (10, 8), spark, strict=False)
+
+
+@_query(f"WITH x AS (SELECT max(event_id) + 1 AS n FROM events), k AS (SELECT k, (k + unnest(range(0, 9))) % n AS cell FROM (SELECT unnest(range(0, n)) AS k, n FROM x)) SELECT CAST(k AS BIGINT) AS event_id, {_r('avg(value)', 7)} AS value FROM k JOIN events ON cell = event_id GROUP BY k")
+def rolling_periodic_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rolling_stats(events(spark, sf_dir), WindowConfig((9,), (1,)), "mean", boundary="periodic"), 7)
+
+
+@_query(f"WITH {_E} SELECT CAST(a.i AS BIGINT) AS i, CAST(a.j AS BIGINT) AS j, {_r('var_pop(b.v)')} AS value FROM e a JOIN e b ON b.i BETWEEN a.i * 7 - 4 AND a.i * 7 AND b.j BETWEEN a.j * 5 - 5 AND a.j * 5 GROUP BY a.i, a.j")
+def rolling_full_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variances of windows that hang over both ends of both dimensions."""
+    return rounded(rolling_stats(embeddings(spark, sf_dir), WindowConfig((5, 6), (7, 5), "full"), "var"))
+
+
+@_query(f"WITH {_GAPS} SELECT CAST(a.event_id AS BIGINT) AS event_id, CASE WHEN count(b.v) FILTER (NOT isnan(b.v)) >= 4 THEN {_r('var_pop(b.v) FILTER (NOT isnan(b.v))', 6)} ELSE 'nan'::DOUBLE END AS value FROM (SELECT event_id, unnest(range(event_id - 6, event_id + 1)) AS cell FROM g) a JOIN g b ON b.event_id = a.cell GROUP BY 1")
+def rolling_trailing_gaps_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rolling(events_with_gaps(spark, sf_dir), {"event_id": 7}, "var", min_periods=4, center=False)
+    return rounded(out.df.select("event_id", F.col(out.values[0]).alias("value")))
+
+
+@_query(f"WITH {_X} SELECT CAST(k AS BIGINT) AS idx, (k * 10 + 5) * 0.5::DOUBLE + 10 AS coord FROM (SELECT unnest(range(0, n // 10)) AS k FROM x)")
+def block_center_coords_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = blockwise(_labelled(spark, sf_dir), {"i": 10, "j": 8}, "mean", strict=False, coord="center")
+    return out.coords["i"].select("idx", F.col("coord").cast("double").alias("coord"))
+
+
+@_query(_values("stat, name, units", [("count", "u_count_blockwise", "1"), ("mean", "u_mean_blockwise", "m/s"), ("var", "u_var_blockwise", "(m/s)^2")]))
+def result_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and units of results, as the column's metadata holds them."""
+    g, rows = _labelled(spark, sf_dir), []
+    for stat in ("count", "mean", "var"):
+        out = blockwise(g, {"i": 10, "j": 8}, stat, strict=False)
+        rows.append((stat, out.name, out.df.schema[out.name].metadata["units"]))
+    return spark.createDataFrame(rows, "stat string, name string, units string")
+
+
+@_query(f"WITH {_E}, {_X} " + " UNION ALL ".join(f"SELECT CAST({f} AS BIGINT) AS f_i, CAST({f} AS BIGINT) AS f_j, * FROM ({_blocks(f, f, _r('ln(sum(exp(v)))') + ' AS log_sum_exp')})" for f in (4, 8)))
+def pairwise_merge_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's merge of two states, along the plan."""
+    return rounded(reduce_stats(embeddings(spark, sf_dir), [4, 8], [log_sum_exp()]).to_dataframe())
+
+
+@_query(f"SELECT CAST(event_id // 1000 AS BIGINT) AS k, count(*) AS n, {_r('avg(value)', 7)} AS mean FROM events GROUP BY 1")
+def map_reduce_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def partial(df):  # noqa: ANN001, ANN202
+        own = df.groupby(df["event_id"] // 1000)["value"].agg(["count", "sum"]).reset_index()
+        return own.set_axis(["k", "n", "s"], axis=1)
+
+    def total(df: DataFrame) -> DataFrame:
+        return df.groupBy("k").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean"))
+
+    return rounded(map_reduce(_read(spark, sf_dir, "events").select("event_id", "value"), partial, "k long, n long, s double", total), 7)
+
+
+@_query(f"WITH {_E}, {_X} {_blocks(20, 16, _MV)}")
+def lazy_plan_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A named plan: blocks, a merge of them, their statistics."""
+    g, stats = embeddings(spark, sf_dir), [Mean(), Var()]
+    plan = LazyPlan()
+    plan.add("values", "stats", lambda state: materialize(state, g.dims, stats), "coarse")
+    plan.add("coarse", "merge", lambda state: coarsen(state, g.dims, (g.extent[0] // 10, 8), (2, 2), stats, True), "blocks")
+    plan.add("blocks", "window", lambda cells: base_reduce(replace(g, df=cells), (10, 8), stats), "cells")
+    return rounded(plan.execute("values", cells=g.df))
+
+
+_BACKENDS = ("serial", "threaded", "distributed", "mpi", "gpu", "jax", "dask")
+
+
+@_query(f"WITH {_E}, {_X} SELECT * FROM ({_blocks(50, 32, _MV)}), (VALUES {', '.join(f'({chr(39)}{b}{chr(39)})' for b in _BACKENDS)}) b(backend)")
+def backends_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same blocks by every backend's name."""
+    g = embeddings(spark, sf_dir)
+    frames = [reduce_stats(g, (50, 32), backend=b)[50, 32].withColumn("backend", F.lit(resolve_backend(b).name)) for b in _BACKENDS]
+    return rounded(reduce(DataFrame.unionByName, frames))
+
+
+@_query(f"WITH {_P}, {_X} SELECT CAST(i // 15 AS BIGINT) AS i, CAST(j // 8 AS BIGINT) AS j, {_r('covar_samp(x, y)')} AS cov FROM p, x WHERE i % 3 <> 0 AND i < n // 15 * 15 GROUP BY ALL")
+def inverse_merge_cov_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = mirrored_pair(spark, sf_dir)
+    part = replace(g, df=g.df.where(F.col("i") % 3 == 0), dense=False)
+    states = [base_reduce(x, (15, 8), [Cov()]) for x in (g, part)]
+    return rounded(materialize(inverse_merge(*states, g.dims, [Cov()]), g.dims, [Cov()]))
+
+
+@_query(f"WITH x AS (SELECT max(event_id) + 1 AS n FROM events) SELECT CAST(event_id // 60 AS BIGINT) AS event_id, {_r('avg(value)')} AS m1, {_r('avg(value * value)', 4)} AS m2 FROM events, x WHERE event_id % 3 <> 0 AND event_id < n // 60 * 60 GROUP BY ALL")
+def inverse_merge_moments_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = events(spark, sf_dir)
+    part = replace(g, df=g.df.where(F.col("event_id") % 3 == 0), dense=False)
+    states = [base_reduce(x, (60,), [Moments(2)]) for x in (g, part)]
+    df = materialize(inverse_merge(*states, g.dims, [Moments(2)]), g.dims, [Moments(2)])
+    return df.select("event_id", (F.round("m1", 6) + 0.0).alias("m1"), (F.round("m2", 4) + 0.0).alias("m2"))
 
 
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:

@@ -19,7 +19,7 @@ def test_entry_runs(spark):
 def test_core_queries_are_registered():
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(QUERIES) - set(ORACLES) == {"plan_describe"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 def plain(rows, columns):

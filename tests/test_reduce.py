@@ -169,3 +169,17 @@ def test_two_slidings_of_one_window_and_errors(spark):
         reduce_stats(g, 4, [Mean()], backend="abacus")
     with pytest.raises(ValueError):
         reduce_stats(g, 4, [Mean()], strategy="guess")
+
+
+def test_pairwise_merge_and_kept_scales(spark):
+    from cellweave.functions.statistics import log_sum_exp
+
+    x = np.random.default_rng(6).standard_normal((24, 16)) * 30
+    result = reduce_stats(Grid.from_numpy(spark, x), [2, 4, 8], [log_sum_exp()], use_cache=True)
+    for f in (2, 4, 8):
+        got = result[f].toPandas().sort_values(["d0", "d1"])["log_sum_exp"].to_numpy()
+        blocks = x.reshape(24 // f, f, 16 // f, f).transpose(0, 2, 1, 3).reshape(-1, f * f)
+        np.testing.assert_allclose(got, np.logaddexp.reduce(blocks, axis=1), rtol=1e-12)
+    assert len(result._kept) == 2
+    result.unpersist()
+    assert not result._kept
