@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from math import prod
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,6 +123,16 @@ def framed_windows(grid: Grid, counts: Sequence[int], sizes: Sequence[int], stri
     return df
 
 
+#: Windows of a cell up to which expansion is cheaper: it is combined before its one shuffle,
+#: where frames shuffle the cells once for each axis.
+FEW_WINDOWS = 16
+
+
+def windows_of_cell(sizes: Sequence[int], strides: Sequence[int]) -> int:
+    """How many windows a cell is in, at most."""
+    return prod(-(-w // s) for w, s in zip(sizes, strides, strict=True))
+
+
 def _single(c: Component, v: Sequence[Column]) -> Column:
     """A component's state of one cell."""
     known = reduce(Column.__and__, [x.isNotNull() for x in v])
@@ -182,9 +193,7 @@ def window_state(grid: Grid, config: WindowConfig, stats: Sequence[Statistic], o
             count, first = window_geometry(n, w, s, config.padding, same_align)
             counts.append(count)
             firsts.append(first)
-    # windows that don't overlap are groups, which are combined before the shuffle
-    overlap = any(w > s for w, s in zip(config.sizes, config.strides, strict=True))
-    frames = executor == "frames" or executor == "auto" and overlap and framable(grid, stats, config.sizes, skipna)
+    frames = executor == "frames" or executor == "auto" and windows_of_cell(config.sizes, config.strides) > FEW_WINDOWS and framable(grid, stats, config.sizes, skipna)
     if executor not in ("auto", "frames", "expand"):
         raise ValueError(f"unknown executor {executor!r}")
     if frames:

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave import Count, Cov, Grid, IncrementalState, LazyPlan, Mean, Min, Var, WindowConfig, blockwise, blockwise_stats, blockwise_windows, center_coordinates, gather, map_reduce, materialize, merge_stats, multiresolution_stats, product_mean, product_moments, rechunk, resample, resolve_backend, rolling, rolling_stats, rolling_windows, scatter, tiled_stats, tree_reduce, tree_reduce_labelled, validate_window_config, window_coordinates, window_stat
-from cellweave.operators import sliding
+from cellweave.operators import labels, sliding
 from cellweave.operators.labels import result_attrs, seconds_of
 
 
@@ -215,8 +215,9 @@ def test_frames_equal_expansion_beyond_the_edges(spark, monkeypatch, bucket, pad
 
 
 @pytest.mark.parametrize("stat", ["mean", "count", "min", "sum", "var"])
-@pytest.mark.parametrize("center", [True, False])
-def test_rolling_with_gaps_equals_pandas_windows(spark, stat, center):
+@pytest.mark.parametrize(("center", "few"), [(True, 16), (True, 1), (False, 1)])
+def test_rolling_with_gaps(spark, monkeypatch, stat, center, few):
+    monkeypatch.setattr(labels, "FEW_WINDOWS", few)
     x = np.random.default_rng(5).standard_normal((11, 7))
     x[3:6, 2:5] = np.nan
     grid = Grid.from_numpy(spark, x)
