@@ -149,7 +149,34 @@ def test_repeated_spans_equal_brute_force(spark, seed, block, monkeypatch):
     got = substrings.repeated_spans(df).collect()
     # rows of one id but different texts share their answers by window, so each row is judged by its own text
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == Counter(brute_repeats(rows))
-    assert all(sum(s.stop - s.start for s in r.spans) == r.n_removed for r in got)
+    texts = {}
+    for doc, text, *_ in rows:
+        texts.setdefault(doc, []).append(space_words(text))
+    for r in got:
+        assert len({w for s in r.spans for w in range(s.start, s.stop)}) == r.n_removed
+        for s in r.spans:
+            assert s.source < r.doc_id
+            n = s.stop - s.start
+            sources = {" ".join(w[s.source_start : s.source_start + n]) for w in texts[s.source] if len(w) >= s.source_start + n}
+            assert bytes(s.sha256) in {hashlib.sha256(x.encode()).digest() for x in sources}
+            assert any(" ".join(w[s.start : s.stop]) in sources for w in texts[r.doc_id])
+
+
+def test_spans_are_confirmed_by_their_sources(spark):
+    words = [f"w{i}" for i in range(700)]
+    rows = [(1, " ".join(["a", *words, "b"])), (2, " ".join(["c", *words[:650]])), (3, " ".join(words[5:30])), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: [(s.start, s.stop, s.source, s.source_start) for s in r.spans] for r in substrings.repeated_spans(df).collect()}
+    assert spans == {1: [], 2: [(1, 268, 1, 1), (256, 524, 1, 256), (512, 651, 1, 512)], 3: [(0, 25, 1, 6)], 4: []}
+
+    def asked(start, stop, source, at, text):
+        one = [(start, stop, source, at, bytearray(hashlib.sha256(text.encode()).digest()))]
+        return spark.createDataFrame([(one,)], f"spans {substrings._SPANS_SQL}")
+
+    assert substrings.confirmed(df, asked(0, 20, 1, 6, " ".join(words[5:25])))
+    assert not substrings.confirmed(df, asked(0, 20, 1, 7, " ".join(words[5:25])))
+    assert not substrings.confirmed(df, asked(0, 20, 1, 695, " ".join(words[694:])))  # past the source's end
+    assert not substrings.confirmed(df, asked(0, 20, 9, 6, " ".join(words[5:25])))  # no such source
 
 
 def test_without_repeats_keeps_columns_and_clean_texts(spark):
