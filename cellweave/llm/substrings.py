@@ -48,7 +48,8 @@ WINDOW, ANCHOR = 13, 6
 #: Anchors that a block gathers before it is combined and sent.
 _BLOCK = 1 << 20
 _REMOVE, _EXPAND, _EDGE = 0, 1, 2
-_ANSWER = "doc bigint, code bigint, kind int, source bigint, at int"
+#: mark: a word of the source * 16 + kind.
+_ANSWER = "doc bigint, code bigint, source bigint, mark bigint"
 #: Words of a source after which a span ends at the latest.
 _PIECE = 256
 _U = np.uint64
@@ -74,6 +75,7 @@ class Paths:
         self.starts, self.stops, self.rows = W.words(data, offsets, W.SPACE_EXACT)
         hashes = W.word_hashes(data, self.starts, self.stops, W.SPACE_EXACT, 1 + salt)
         n = len(hashes)
+        self.begin = np.searchsorted(self.rows, np.arange(len(offsets) - 1))
         self.window = window
         self.first = np.zeros(0, np.int64)  # per window: its first word
         self.path = np.zeros(0, np.int64)  # per window: its path
@@ -103,7 +105,7 @@ class Paths:
 
     def within_row(self, words: np.ndarray) -> np.ndarray:
         """Places of words in their rows."""
-        return words - np.searchsorted(self.rows, self.rows[words])
+        return words - self.begin[self.rows[words]]
 
     def edges(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a = self.first[which]
@@ -125,22 +127,22 @@ def _batch(columns: dict[str, np.ndarray], kinds: dict[str, pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(columns[c], k) for c, k in kinds.items()], names=list(kinds))
 
 
-_QUESTION = {"key": pa.int64(), "code": pa.int64(), "doc": pa.int64(), "kind": pa.int32(), "source": pa.int64(), "at": pa.int32()}
-_QUESTION_SQL = "key bigint, code bigint, doc bigint, kind int, source bigint, at int"
-#: Kinds of rows on the way to an anchor: one path, several paths; answers known already pass through.
+_QUESTION = {"key": pa.int64(), "code": pa.int64(), "doc": pa.int64(), "mark": pa.int64()}
+_QUESTION_SQL = "key bigint, code bigint, doc bigint, mark bigint"
+#: Kinds of rows on the way to an anchor: one path, several paths; answers known already pass through,
+#: with the document told as key and the source as doc.
 _ONE, _SEVERAL, _KNOWN = 0, 1, 10
 
 
-def _none(n: int) -> dict[str, np.ndarray]:
-    """No source."""
-    return {"source": np.zeros(n, np.int64), "at": np.zeros(n, np.int32)}
+def _mark(kind: np.ndarray | int, at: np.ndarray) -> np.ndarray:
+    return at.astype(np.int64) * 16 + kind
 
 
 def _questions(docs: np.ndarray, anchors: np.ndarray, codes: np.ndarray, ats: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row for each anchor of the block, and the answers that the block knows by itself.
 
     The row of an anchor has the place of its path in the least document."""
-    order = np.lexsort((ats, docs, codes, anchors))
+    order = np.lexsort((docs, codes, anchors))
     h, s, d, at = anchors[order], codes[order], docs[order], ats[order]
     pair = _groups(h, s)
     group = _groups(h)
@@ -148,21 +150,20 @@ def _questions(docs: np.ndarray, anchors: np.ndarray, codes: np.ndarray, ats: np
     sizes = np.diff(np.r_[group, len(h)])
     least, most = np.minimum.reduceat(d, group), np.maximum.reduceat(d, group)
     several = n_pairs > 1
-    yield _batch({"key": W.signed(h[group]), "code": W.signed(np.where(several, _U(0), s[group])), "doc": least, "kind": several.astype(np.int32), "source": np.zeros(len(group), np.int64), "at": at[group].astype(np.int32)}, _QUESTION)
+    yield _batch({"key": W.signed(h[group]), "code": W.signed(np.where(several, _U(0), s[group])), "doc": least, "mark": _mark(several, at[group])}, _QUESTION)
     open_ = np.repeat(several & (least != most), sizes)
     if open_.any():  # branching inside the block, between documents
         hh, dd = h[open_], d[open_]
         keep = _distinct(hh, dd)
         hh, dd = hh[keep], dd[keep]
-        yield _batch({"key": dd, "code": W.signed(hh), "doc": dd, "kind": np.full(len(dd), _KNOWN + _EXPAND, np.int32), **_none(len(dd))}, _QUESTION)
+        yield _batch({"key": dd, "code": W.signed(hh), "doc": dd, "mark": np.full(len(dd), _KNOWN + _EXPAND, np.int64)}, _QUESTION)
     pairs = np.diff(np.r_[pair, len(d)])
     lowest, place = np.repeat(d[pair], pairs), np.repeat(at[pair], pairs)
     again = d > lowest  # the same path in a smaller document of the block
     if again.any():
         ss, dd = s[again], d[again]
         keep = _distinct(ss, dd)
-        source, place = lowest[again][keep], place[again][keep].astype(np.int32)
-        yield _batch({"key": dd[keep], "code": W.signed(ss[keep]), "doc": dd[keep], "kind": np.full(len(keep), _KNOWN + _REMOVE, np.int32), "source": source, "at": place}, _QUESTION)
+        yield _batch({"key": dd[keep], "code": W.signed(ss[keep]), "doc": lowest[again][keep], "mark": _mark(_KNOWN + _REMOVE, place[again][keep])}, _QUESTION)
 
 
 def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -205,15 +206,16 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-_ANSWERS = {"doc": pa.int64(), "code": pa.int64(), "kind": pa.int32(), "source": pa.int64(), "at": pa.int32()}
+_ANSWERS = {"doc": pa.int64(), "code": pa.int64(), "source": pa.int64(), "mark": pa.int64()}
 
 
 def _answer_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in _whole_groups(batches):
-        key, code, doc, kind, source, at = (table.column(c).to_numpy() for c in _QUESTION)
+        key, code, doc, mark = (table.column(c).to_numpy() for c in _QUESTION)
+        kind, at = mark & 15, mark >> 4
         known = kind >= _KNOWN
         if known.any():
-            yield _batch({"doc": doc[known], "code": code[known], "kind": kind[known] - _KNOWN, "source": source[known], "at": at[known]}, _ANSWERS)
+            yield _batch({"doc": key[known], "code": code[known], "source": doc[known], "mark": mark[known] - _KNOWN}, _ANSWERS)
             key, code, doc, kind, at = key[~known], code[~known], doc[~known], kind[~known], at[~known]
         if not len(key):
             continue
@@ -227,27 +229,28 @@ def _answer_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         remove = np.repeat(~branch & shared, sizes) & (doc > lowest)
         both = expand | remove
         if both.any():
-            place = np.repeat(np.minimum.reduceat(np.where(doc == lowest, at, np.iinfo(np.int32).max), group), sizes)
-            yield _batch({"doc": doc[both], "code": np.where(expand, key, code)[both], "kind": np.where(expand, _EXPAND, _REMOVE).astype(np.int32)[both], "source": lowest[both], "at": place[both]}, _ANSWERS)
+            place = np.repeat(np.minimum.reduceat(np.where(doc == lowest, at, np.iinfo(np.int64).max), group), sizes)
+            yield _batch({"doc": doc[both], "code": np.where(expand, key, code)[both], "source": lowest[both], "mark": _mark(np.where(expand, _EXPAND, _REMOVE)[both], place[both])}, _ANSWERS)
 
 
 def _answer_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in _whole_groups(batches):
-        key, code, doc, kind, source, at = (table.column(c).to_numpy() for c in _QUESTION)
+        key, code, doc, mark = (table.column(c).to_numpy() for c in _QUESTION)
+        kind, at = mark & 15, mark >> 4
         known = kind >= _KNOWN
         if known.any():
-            yield _batch({"doc": doc[known], "code": code[known], "kind": kind[known] - _KNOWN, "source": source[known], "at": at[known]}, _ANSWERS)
+            yield _batch({"doc": key[known], "code": code[known], "source": doc[known], "mark": mark[known] - _KNOWN}, _ANSWERS)
             key, code, doc, at = key[~known], code[~known], doc[~known], at[~known]
         if not len(key):
             continue
-        order = np.lexsort((at, doc, code, key))
+        order = np.lexsort((doc, code, key))
         key, code, doc, at = key[order], code[order], doc[order], at[order]
         group = _groups(key, code)
         sizes = np.diff(np.r_[group, len(key)])
         lowest = np.repeat(doc[group], sizes)
         again = doc > lowest
         if again.any():
-            yield _batch({"doc": doc[again], "code": key[again], "kind": np.full(int(again.sum()), _EDGE, np.int32), "source": lowest[again], "at": np.repeat(at[group], sizes)[again]}, _ANSWERS)
+            yield _batch({"doc": doc[again], "code": key[again], "source": lowest[again], "mark": _mark(_EDGE, np.repeat(at[group], sizes)[again])}, _ANSWERS)
 
 
 class _Told:
@@ -258,7 +261,8 @@ class _Told:
         sizes = np.diff(lists.offsets.to_numpy())
         flat = lists.flatten()
         rows = np.repeat(np.arange(batch.num_rows), sizes)
-        codes, kinds, sources, places = (flat.field(c).to_numpy() for c in ("code", "kind", "source", "at"))
+        codes, sources, marks = (flat.field(c).to_numpy() for c in ("code", "source", "mark"))
+        kinds, places = marks & 15, marks >> 4
         self.some = sizes > 0
         self.by = {}
         for kind in (_REMOVE, _EXPAND, _EDGE):
@@ -296,17 +300,17 @@ def _second_pass(window: int, anchor: int, salt: int):  # noqa: ANN202
         def sent() -> Iterator[pa.RecordBatch]:
             docs, a, b, at = map(np.concatenate, zip(*held, strict=True))
             held.clear()
-            order = np.lexsort((at, docs, b, a))
-            docs, a, b, at = docs[order], a[order], b[order], at[order].astype(np.int32)
+            order = np.lexsort((docs, b, a))
+            docs, a, b, at = docs[order], a[order], b[order], at[order]
             group = _groups(a, b)
             sizes = np.diff(np.r_[group, len(docs)])
-            yield _batch({"key": W.signed(a[group]), "code": W.signed(b[group]), "doc": docs[group], "kind": np.zeros(len(group), np.int32), "source": np.zeros(len(group), np.int64), "at": at[group]}, _QUESTION)
+            yield _batch({"key": W.signed(a[group]), "code": W.signed(b[group]), "doc": docs[group], "mark": _mark(_ONE, at[group])}, _QUESTION)
             lowest = np.repeat(docs[group], sizes)
             again = docs > lowest
             if again.any():
                 aa, dd, source, place = a[again], docs[again], lowest[again], np.repeat(at[group], sizes)[again]
                 keep = _distinct(aa, dd)
-                yield _batch({"key": dd[keep], "code": W.signed(aa[keep]), "doc": dd[keep], "kind": np.full(len(keep), _KNOWN + _EDGE, np.int32), "source": source[keep], "at": place[keep]}, _QUESTION)
+                yield _batch({"key": dd[keep], "code": W.signed(aa[keep]), "doc": source[keep], "mark": _mark(_KNOWN + _EDGE, place[keep])}, _QUESTION)
 
         for batch in batches:
             told = _Told(batch)
@@ -433,7 +437,7 @@ def _told(documents: DataFrame, keep: list[str], window: int, anchor: int, salt:
     asked = usable.mapInArrow(_first_pass(window, anchor, salt), _QUESTION_SQL)
     at_anchors = R.written(asked.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_answer_anchors, _ANSWER), "paths")
     texts = documents.select(*[c for c in keep if c not in ("doc_id", "text")], F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    listed = F.collect_list(F.struct("code", "kind", "source", "at")).alias("__answers")
+    listed = F.collect_list(F.struct("code", "source", "mark")).alias("__answers")
     # a document has at most an answer for each of its windows
     first = at_anchors.groupBy(F.col("doc").alias("__doc")).agg(listed)
     # rows without an id have no answers; a key of their own keeps them from meeting in one task
@@ -451,7 +455,7 @@ def _told(documents: DataFrame, keep: list[str], window: int, anchor: int, salt:
 
 
 def _or_none(column: str) -> F.Column:
-    return F.coalesce(F.col(column), F.array().cast("array<struct<code:bigint,kind:int,source:bigint,at:int>>")).alias(column)
+    return F.coalesce(F.col(column), F.array().cast("array<struct<code:bigint,source:bigint,mark:bigint>>")).alias(column)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
