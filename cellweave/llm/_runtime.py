@@ -50,6 +50,11 @@ def _scratch(spark: SparkSession) -> str:
     return f"{scratch_root(spark)}/cellweave/{spark.sparkContext.applicationId}"
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A folder of this application's own in the shared one, deleted by ``cleanup``."""
+    return f"{_scratch(spark)}/{name}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back with its schema."""
     spark = df.sparkSession

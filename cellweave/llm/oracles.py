@@ -77,4 +77,10 @@ SELECT pair_id, CAST(any_value(n_prefix) AS BIGINT) AS n_prefix,
 FROM y GROUP BY pair_id
 """
 
-ORACLES: dict[str, str] = {"op6_debruijn": OP6, "op8_metric_join": OP8, "op9_preference": OP9, "op4_decontaminate": OP4}
+OP11 = """
+WITH d AS (SELECT *, coalesce(text, '') AS t, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) AS place FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
+"""
+
+ORACLES: dict[str, str] = {"op6_debruijn": OP6, "op8_metric_join": OP8, "op9_preference": OP9, "op4_decontaminate": OP4, "op11_stateful_stream": OP11}

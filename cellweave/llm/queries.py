@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, neighbours, pieces, preference, sharding, substrings, toxicity, wrapper
+from . import decontaminate, exact, jaccard, language, neighbours, pieces, preference, sharding, substrings, toxicity, wrapper
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,4 +84,8 @@ def op10_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_profiles, op2_factorization, op3_virtual_slots, op4_decontaminate, op5_pieces, op6_debruijn, op7_additive, op8_metric_join, op9_preference, op10_wrapper)}
+def op11_stateful_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_profiles, op2_factorization, op3_virtual_slots, op4_decontaminate, op5_pieces, op6_debruijn, op7_additive, op8_metric_join, op9_preference, op10_wrapper, op11_stateful_stream)}
