@@ -83,4 +83,18 @@ g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
 """
 
-ORACLES: dict[str, str] = {"op6_debruijn": OP6, "op8_metric_join": OP8, "op9_preference": OP9, "op4_decontaminate": OP4, "op11_stateful_stream": OP11}
+_TERMS = rf"regexp_extract_all({_FOLD.format('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+k AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+b AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS w FROM benchmark),
+q AS (SELECT i, item_id, t, count(*) AS c FROM (SELECT i, item_id, unnest(w) AS t FROM b) GROUP BY ALL),
+f AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+g AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM f, k GROUP BY t, n),
+p AS (SELECT f.t, doc_id, r, weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * len(w) * n) // l))) AS impact FROM f JOIN g USING (t) JOIN d USING (r), k),
+s AS (SELECT i, item_id, r, doc_id, CAST(sum(c * impact) AS BIGINT) AS score FROM q JOIN p USING (t) GROUP BY ALL HAVING score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s) WHERE rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op6_debruijn": OP6, "op8_metric_join": OP8, "op9_preference": OP9, "op4_decontaminate": OP4, "op11_stateful_stream": OP11, "op12_interval_bounds": OP12}
