@@ -97,4 +97,21 @@ s AS (SELECT i, item_id, r, doc_id, CAST(sum(c * impact) AS BIGINT) AS score FRO
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s) WHERE rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op6_debruijn": OP6, "op8_metric_join": OP8, "op9_preference": OP9, "op4_decontaminate": OP4, "op11_stateful_stream": OP11, "op12_interval_bounds": OP12}
+OP13 = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS alike, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) AS place FROM s WHERE alike) WHERE place <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.anchor AS anchor_id, p.other AS positive_id, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY s.score DESC, s.other) AS rank
+  FROM p JOIN s ON p.anchor = s.anchor AND NOT s.alike AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+) WHERE rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op6_debruijn": OP6, "op8_metric_join": OP8, "op9_preference": OP9, "op4_decontaminate": OP4, "op11_stateful_stream": OP11, "op12_interval_bounds": OP12, "op13_multi_index": OP13}

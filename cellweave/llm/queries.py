@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, jaccard, language, neighbours, pieces, preference, ranked, sharding, substrings, toxicity, wrapper
+from . import decontaminate, exact, jaccard, language, negatives, neighbours, pieces, preference, ranked, sharding, substrings, toxicity, wrapper
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,4 +92,8 @@ def op12_interval_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_profiles, op2_factorization, op3_virtual_slots, op4_decontaminate, op5_pieces, op6_debruijn, op7_additive, op8_metric_join, op9_preference, op10_wrapper, op11_stateful_stream, op12_interval_bounds)}
+def op13_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_profiles, op2_factorization, op3_virtual_slots, op4_decontaminate, op5_pieces, op6_debruijn, op7_additive, op8_metric_join, op9_preference, op10_wrapper, op11_stateful_stream, op12_interval_bounds, op13_multi_index)}
