@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .backends import resolve_backend
 from .functions.statistics import Mean, Statistic, Var
-from .operators.blocks import check_arity, materialize, run_plan
+from .operators.blocks import check_arity, materialize, run_plan, value_columns
 from .operators.sliding import WindowConfig, window_state
+from .operators.towers import SCALE, all_scales
 from .plans.lattice import Factor, factor_shape
 from .plans.planner import ReductionPlan, solver_plan, tower_plan
 from .sources.grid import Grid
@@ -70,10 +71,11 @@ def _per_dim(x: Scale, n: int) -> Factor:
 class MultiResResult:
     """A DataFrame of values for each scale, finest first.
 
-    Block scales are keyed by factor, windows by (window, stride, origin)."""
+    Block scales are keyed by factor, windows by (window, stride, origin).  ``together`` holds all
+    scales in one frame, where one pass gives them (``to_dataframe``)."""
 
-    def __init__(self, dims: Sequence[str], frames: dict[tuple, DataFrame], shapes: dict[tuple, Factor], plan: ReductionPlan | None = None, kept: Sequence[DataFrame] = ()):
-        self.dims, self._frames, self.shapes, self.plan, self._kept = tuple(dims), frames, shapes, plan, list(kept)
+    def __init__(self, dims: Sequence[str], frames: dict[tuple, DataFrame], shapes: dict[tuple, Factor], plan: ReductionPlan | None = None, kept: Sequence[DataFrame] = (), together: DataFrame | None = None):
+        self.dims, self._frames, self.shapes, self.plan, self._kept, self._together = tuple(dims), frames, shapes, plan, list(kept), together
 
     def unpersist(self) -> None:
         """Gives up the state that ``use_cache`` keeps between scales."""
@@ -110,6 +112,8 @@ class MultiResResult:
 
     def to_dataframe(self) -> DataFrame:
         """All scales in one frame, with the factor of each dimension as f_<dim>."""
+        if self._together is not None:
+            return self._together
         out = None
         for key, df in self._frames.items():
             factor = key[0] if isinstance(key[0], tuple) else key
@@ -134,6 +138,7 @@ def plan_for(extent: Factor, scales: Tower | Scale | Sequence[Scale]) -> Reducti
 def reduce_stats(grid: Grid, scales: Tower | Sliding | Scale | Sequence[Scale] | Sequence[Sliding], stats: Sequence[Statistic] = (Mean(), Var()), *, skipna: bool = False, strategy: str = "tower", executor: str = "auto", plan: ReductionPlan | None = None, backend: object = None, use_cache: bool = False) -> MultiResResult:
     """Statistics of a field, or of a pair of fields, over blocks or windows at one or more scales.
 
+    Scales used one by one follow the plan's steps; ``to_dataframe`` gives all of them from one pass over the cells.
     A plan may be reused for any grid of its extent.  ``backend`` is accepted and checked: where
     the work runs is the session's affair.  ``use_cache`` keeps the state of scales that others are
     merged from until the result's ``unpersist``, so that scales used one by one share it."""
@@ -155,4 +160,10 @@ def reduce_stats(grid: Grid, scales: Tower | Sliding | Scale | Sequence[Scale] |
     kept: list[DataFrame] = []
     states = run_plan(grid, plan, stats, skipna, strategy, kept if use_cache else None)
     frames = {f: materialize(states[f], grid.dims, stats, kind) for f in plan.targets}
-    return MultiResResult(grid.dims, frames, {f: factor_shape(grid.extent, f) for f in plan.targets}, plan, kept)
+    together = None
+    if strategy == "tower" and not use_cache and len(plan.targets) > 1 and all(s.mergeable and not any(c.both for c in s.components()) for s in stats):
+        scales_of = [F.element_at(F.array(*[F.lit(s.factor[k]).cast("long") for s in plan.steps]), F.col(SCALE) + 1).alias(f"f_{d}") for k, d in enumerate(grid.dims)]
+        rows = all_scales(grid, plan, stats, value_columns(grid, skipna), skipna)
+        values = materialize(rows, [SCALE, *grid.dims], stats, kind)
+        together = values.select(*scales_of, *[c for c in values.columns if c != SCALE])
+    return MultiResResult(grid.dims, frames, {f: factor_shape(grid.extent, f) for f in plan.targets}, plan, kept, together)

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 NAN = float("nan")
 
+#: What is known of the state rows that are merged: all hold equally many cells, there are two at most, or nothing.
+EQUAL, PAIR, ANY = "equal", "pair", "any"
+
 
 def nan() -> Column:
     return F.lit(NAN)
@@ -27,12 +30,18 @@ def nan() -> Column:
 @dataclass(frozen=True)
 class Component:
     """A column of state.  ``lift(values)`` and ``merge(state)`` are aggregate expressions;
-    state maps component names to columns of finer rows."""
+    state maps component names to columns of finer rows.  ``both`` merges two states in order, where
+    only that is known."""
 
     name: str
     lift: Callable[[Sequence[Column]], Column]
-    merge: Callable[[Callable[[str], Column], bool], Column]
+    merge: Callable[[Callable[[str], Column], str], Column]
     needs: tuple[str, ...] = ()
+    both: Callable[[Column, Column], Column] | None = None
+
+
+#: Components that are sums of products of deviations, with the means they are about.
+SPREADS = {"m2": ("mean", "mean"), "m2_y": ("mean_y", "mean_y"), "c": ("mean", "mean_y")}
 
 
 def _known(values: Sequence[Column]) -> Column:
@@ -48,25 +57,19 @@ def _only(values: Sequence[Column], k: int) -> Column:
     return v if len(values) == 1 else F.when(_known(values), v)
 
 
-def _merged_spread(state: Callable[[str], Column], equal: bool, n: str, a: str, b: str, m: str) -> Column:
-    """Sum of products of deviations of merged rows.
-
-    With equal counts it is the sum of the parts plus n times that of the means; in general
-    the parts are folded pairwise, which is as stable as merging accumulators is."""
-    if equal:
-        between = F.regr_sxx(state(a), state(a)) if a == b else F.regr_sxy(state(a), state(b))
-        return F.sum(state(m)) + F.coalesce(F.first(state(n), True).cast("double") * between, F.lit(0.0))
-    parts = F.collect_list(F.struct(state(n).cast("double").alias("n"), state(a).alias("a"), state(b).alias("b"), state(m).alias("m")))
-
-    def fold(x: Column, y: Column) -> Column:
-        n_ = x["n"] + y["n"]
-        share = y["n"] / F.when(n_ > 0, n_).otherwise(1.0)
-        da, db = y["a"] - x["a"], y["b"] - x["b"]
-        both = F.struct(n_.alias("n"), (x["a"] + da * share).alias("a"), (x["b"] + db * share).alias("b"), (x["m"] + y["m"] + da * db * x["n"] * share).alias("m"))
-        return F.when(y["n"] == 0, x).when(x["n"] == 0, y).otherwise(both)
+def _merged_spread(state: Callable[[str], Column], how: str, n: str, a: str, b: str, m: str) -> Column:
+    """Sum of products of deviations of merged rows: that of the parts and that between their means.
 
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in "nabm"])
-    return F.aggregate(parts, zero, fold)["m"]
+    ``EQUAL`` counts: n times that of the means.  ``PAIR``: of at most two rows, whose means differ by
+    twice what the two deviate from their middle.  Any other rows are merged by the binary digits of
+    their counts (``operators.merging``), as equal counts digit by digit."""
+    between = F.coalesce(F.regr_sxx(state(a), state(a)) if a == b else F.regr_sxy(state(b), state(a)), F.lit(0.0))
+    if how == EQUAL:
+        return F.sum(state(m)) + F.coalesce(F.first(state(n), True).cast("double"), F.lit(0.0)) * between
+    if how != PAIR:
+        raise ValueError(f"{m} of unequal counts isn't merged by one aggregate")
+    total = F.sum(state(n)).cast("double")
+    return F.sum(state(m)) + F.coalesce(2.0 * between * F.min(state(n)).cast("double") * F.max(state(n)) / F.when(total > 0, total), F.lit(0.0))
 
 
 def _merged_mean(state: Callable[[str], Column], n: str, mean: str) -> Column:
@@ -295,7 +298,7 @@ class Median(Statistic):
 
     def components(self) -> tuple[Component, ...]:
         # percentile, not median: the latter has no sliding frame
-        def refuse(state: Callable[[str], Column], equal: bool) -> Column:
+        def refuse(state: Callable[[str], Column], how: str) -> Column:
             raise ValueError("a median can't be merged")
 
         return (Component("median", lambda v: F.percentile(v[0].cast("double"), F.lit(0.5)), refuse),)
@@ -331,7 +334,8 @@ class PairwiseStatistic(Statistic):
 
     ``state`` maps parts of the state to aggregates of the values and ``empty`` to those of no
     value; ``merge`` takes the parts of two states, as functions of a name, and gives those of both
-    together.  Blocks fold the states of the finer blocks in them, whose number is the window's."""
+    together, the first before the second.  Blocks are folded by position: neighbours along the widest dimension
+    merge, round by round, so the merge need not commute along a line, and no row holds more than two states."""
 
     def __init__(self, name: str, state: dict[str, Callable[..., Column]], empty: dict[str, Column], merge: Callable[[Callable[[str], Column], Callable[[str], Column]], dict[str, Column]], finalize: Callable[[Callable[[str], Column]], Column], arity: int = 1):
         if state.keys() != empty.keys():
@@ -344,14 +348,16 @@ class PairwiseStatistic(Statistic):
         def lift(v: Sequence[Column]) -> Column:
             return F.struct(*[f(*v).alias(c) for c, f in self._state.items()])
 
-        def merge(state: Callable[[str], Column], equal: bool) -> Column:
-            def both(a: Column, b: Column) -> Column:
-                parts = self._merge(lambda c: a[c], lambda c: b[c])
-                return F.struct(*[parts[c].alias(c) for c in self._state])
+        def both(a: Column, b: Column) -> Column:
+            parts = self._merge(lambda c: a[c], lambda c: b[c])
+            return F.struct(*[parts[c].alias(c) for c in self._state])
 
-            return F.aggregate(F.collect_list(state(own)), F.struct(*[self._empty[c].alias(c) for c in self._state]), both)
+        def merge(state: Callable[[str], Column], how: str) -> Column:
+            """Of states of one and the same block: as many as results are merged."""
+            states = F.collect_list(state(own))
+            return F.when(F.size(states) > 0, F.aggregate(F.slice(states, 2, F.size(states)), F.get(states, F.lit(0)), both)).otherwise(F.struct(*[self._empty[c].alias(c) for c in self._state]))
 
-        return (Component(own, lift, merge),)
+        return (Component(own, lift, merge, both=both),)
 
     def result(self, state: Callable[[str], Column]) -> dict[str, Column]:
         return {self.name: self._finalize(lambda c: state(f"{self.name}__state")[c])}
@@ -373,6 +379,17 @@ def log_sum_exp() -> PairwiseStatistic:
     )
 
 
+def total_variation() -> PairwiseStatistic:
+    """An example of a merge that depends on the order: the sum of the steps from cell to cell along a line."""
+
+    def merge(a: Callable[[str], Column], b: Callable[[str], Column]) -> dict[str, Column]:
+        return {"first": a("first"), "last": b("last"), "steps": a("steps") + b("steps") + F.abs(b("first") - a("last"))}
+
+    only = lambda v: F.max(v.cast("double"))
+    none = F.lit(None).cast("double")
+    return PairwiseStatistic("variation", {"first": only, "last": only, "steps": lambda v: F.max(v.cast("double") * 0.0)}, {"first": none, "last": none, "steps": none}, merge, lambda s: s("steps"))
+
+
 def geometric_mean() -> CustomStatistic:
     """An example of a custom statistic: exp of the mean logarithm."""
     return CustomStatistic(

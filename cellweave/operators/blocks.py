@@ -14,12 +14,7 @@ from ..functions.statistics import Component, Min, Statistic, minimal_components
 from ..plans.lattice import Factor, factor_shape
 from ..plans.planner import ReductionPlan
 from ..sources.grid import Grid
-
-PREFIX = "__"
-
-
-def state_column(name: str) -> Column:
-    return F.col(PREFIX + name)
+from .merging import PREFIX, folded, merged, state_column
 
 
 def check_arity(grid: Grid, stats: Sequence[Statistic]) -> None:
@@ -54,15 +49,24 @@ def base_reduce(grid: Grid, factor: Factor, stats: Sequence[Statistic], skipna:
     return cells.groupBy(*block_keys(grid.dims, factor)).agg(*aggregates(minimal_components(stats).values(), value_columns(grid, skipna)))
 
 
-def coarsen(state: DataFrame, dims: Sequence[str], extent: Factor, window: Factor, stats: Sequence[Statistic], equal: bool = False) -> DataFrame:
-    """State of coarser blocks merged from state rows.  extent is that of the finer blocks;
-    equal: all of them hold equally many cells."""
+def coarsen(state: DataFrame, dims: Sequence[str], extent: Factor | None, window: Factor, stats: Sequence[Statistic], equal: bool = False) -> DataFrame:
+    """State of coarser blocks merged from state rows.  extent is that of the finer blocks, or None if
+    all rows count; equal: all of them hold equally many cells."""
     components = minimal_components(stats)
     bad = [s.name for s in stats if not s.mergeable]
     if bad:
         raise ValueError(f"not mergeable: {', '.join(bad)}")
-    rows = truncated(state, dims, extent, window)
-    return rows.groupBy(*block_keys(dims, window)).agg(*[c.merge(state_column, equal).alias(PREFIX + name) for name, c in components.items()])
+    rows = state if extent is None else truncated(state, dims, extent, window)
+    by_two = {n: c for n, c in components.items() if c.both is not None}
+    if any(w > 1 for w in window) and by_two:
+        out = folded(rows, dims, window, by_two)
+        others = {n: c for n, c in components.items() if n not in by_two}
+        return out if not others else out.join(coarsen_rows(rows, dims, window, others, equal), list(dims)).select(*dims, *[PREFIX + c for c in components])
+    return coarsen_rows(rows, dims, window, components, equal)
+
+
+def coarsen_rows(rows: DataFrame, dims: Sequence[str], window: Factor, components: dict[str, Component], equal: bool) -> DataFrame:
+    return merged(rows.select(*block_keys(dims, window), *[PREFIX + c for c in components]), dims, components, equal)
 
 
 def materialize(state: DataFrame, dims: Sequence[str], stats: Sequence[Statistic], value_type: T.DataType | None = None) -> DataFrame:

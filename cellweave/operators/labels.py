@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.statistics import Count, Statistic, named, nan
 from ..sources.grid import Grid
 from .blocks import materialize
-from .sliding import FEW_WINDOWS, WindowConfig, expanded_windows, framable, framed_windows, window_geometry, windows_of_cell
+from .sliding import WindowConfig, placed_windows, window_geometry
 
 
 def result_attrs(attrs: dict[str, object], stat: str, config: WindowConfig | None = None) -> dict[str, object]:
@@ -76,12 +76,9 @@ def rolling(grid: Grid, window: dict[str, int], stat: str | Statistic, min_perio
     before = [w // 2 if center else w - 1 for w in sizes]
     ones = (1,) * len(sizes)
     stats = [s] if s.name == "count" else [s, Count()]
-    if windows_of_cell(sizes, ones) > FEW_WINDOWS and framable(grid, stats, sizes, skipna=True):
-        got = materialize(framed_windows(grid, grid.extent, sizes, ones, [-b for b in before], stats, skipna=True), grid.dims, stats)
-    else:
-        got = materialize(expanded_windows(grid, grid.extent, sizes, ones, [-b for b in before], stats, skipna=True), grid.dims, stats)
-        if not grid.dense:  # only windows of cells that exist
-            got = grid.df.select(*grid.dims).join(got, list(grid.dims), "left")
+    got = materialize(placed_windows(grid, grid.extent, sizes, ones, [-b for b in before], stats, skipna=True), grid.dims, stats)
+    if not grid.dense:  # only windows of cells that exist
+        got = grid.df.select(*grid.dims).join(got, list(grid.dims), "left")
     value = F.when(F.col("count") >= need, F.col(s.name)).otherwise(nan() if s.name != "count" else F.lit(None))
     values = got.select(*grid.dims, F.coalesce(value.cast("double"), nan()).alias("value"))
     return preserve_metadata(grid, values, stat if isinstance(stat, str) else s.name, config=WindowConfig(sizes, (1,) * len(sizes)))

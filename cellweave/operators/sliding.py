@@ -1,4 +1,4 @@
-"""Overlapping windows: separable frames for dense grids, expansion into windows for any."""
+"""Overlapping windows: two queues in linear time, sliding frames, and expansion into windows for any grid and statistic."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from ..functions.statistics import Component, Statistic, minimal_components
 from ..plans.lattice import Factor
 from ..sources.grid import Grid
 from .blocks import PREFIX, aggregates, state_column, value_columns
+from .queues import queueable, queued_windows
 
 PADDINGS = ("valid", "same", "full")
 
@@ -124,8 +125,8 @@ def framed_windows(grid: Grid, counts: Sequence[int], sizes: Sequence[int], stri
 
 
 #: Windows of a cell up to which expansion is cheaper: it is combined before its one shuffle,
-#: where frames shuffle the cells once for each axis.
-FEW_WINDOWS = 16
+#: where the others shuffle the cells once for each axis.
+FEW_WINDOWS = 32
 
 
 def windows_of_cell(sizes: Sequence[int], strides: Sequence[int]) -> int:
@@ -193,12 +194,23 @@ def window_state(grid: Grid, config: WindowConfig, stats: Sequence[Statistic], o
             count, first = window_geometry(n, w, s, config.padding, same_align)
             counts.append(count)
             firsts.append(first)
-    frames = executor == "frames" or executor == "auto" and windows_of_cell(config.sizes, config.strides) > FEW_WINDOWS and framable(grid, stats, config.sizes, skipna)
-    if executor not in ("auto", "frames", "expand"):
+    return placed_windows(grid, counts, config.sizes, config.strides, firsts, stats, skipna, executor), tuple(counts)
+
+
+def placed_windows(grid: Grid, counts: Sequence[int], sizes: Sequence[int], strides: Sequence[int], firsts: Sequence[int], stats: Sequence[Statistic], skipna: bool = False, executor: str = "auto") -> DataFrame:
+    """State of the windows that hold a cell, of so many windows from the first ones' starts.
+
+    ``auto`` takes expansion for windows of few cells' overlap, and two queues for others where they
+    give the result; ``frames`` slides a frame for each window."""
+    if executor not in ("auto", "queues", "frames", "expand"):
         raise ValueError(f"unknown executor {executor!r}")
-    if frames:
-        return framed_windows(grid, counts, config.sizes, config.strides, firsts, stats, skipna), tuple(counts)
-    return expanded_windows(grid, counts, config.sizes, config.strides, firsts, stats, skipna), tuple(counts)
+    if executor == "queues" and not queueable(grid, stats, sizes):
+        raise ValueError("queues take mergeable statistics, of dense grids or along one axis")
+    if executor == "queues" or executor == "auto" and windows_of_cell(sizes, strides) > FEW_WINDOWS and queueable(grid, stats, sizes):
+        return queued_windows(grid, counts, sizes, strides, firsts, stats, value_columns(grid, skipna), skipna)
+    if executor == "frames":
+        return framed_windows(grid, counts, sizes, strides, firsts, stats, skipna)
+    return expanded_windows(grid, counts, sizes, strides, firsts, stats, skipna)
 
 
 def rolling_windows(grid_extent: Sequence[int], config: WindowConfig, spark, dims: Sequence[str] | None = None, strict: bool = False, same_align: str = "shifted") -> DataFrame:  # noqa: ANN001

@@ -83,7 +83,7 @@ def merge_stats(results: Sequence[DataFrame], dims: Sequence[str], method: str =
     if method == "welford":
         from ..functions.statistics import Var
 
-        return coarsen(both, dims, (1 << 62,) * len(dims), (1,) * len(dims), [Var()])
+        return coarsen(both, dims, None, (1,) * len(dims), [Var()])
     return both.groupBy(*dims).agg((F.avg if method == "mean" else F.sum)("value").alias("value"))
 
 

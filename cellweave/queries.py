@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .api import Sliding, Tower, plan_for, reduce_stats
 from .backends import LazyPlan, map_reduce, resolve_backend
-from .functions.statistics import Count, Cov, Max, Mean, Median, Min, Moments, Std, Sum, Var, geometric_mean, log_sum_exp
+from .functions.statistics import Count, Cov, Max, Mean, Median, Min, Moments, Std, Sum, Var, geometric_mean, log_sum_exp, total_variation
 from .operators.blocks import base_reduce, check_laws, coarsen, group_reduce, inverse_merge, materialize
 from .operators.labels import blockwise, center_coordinates, resample, rolling, tree_reduce_labelled, window_coordinates
 from .operators.sliding import WindowConfig, blockwise_windows, rolling_windows, validate_window_config
@@ -671,6 +671,89 @@ def inverse_merge_moments_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", (F.round("m1", 6) + 0.0).alias("m1"), (F.round("m2", 4) + 0.0).alias("m2"))
 
 
+_WIDE = "WINDOW f AS (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 899 FOLLOWING)"
+
+
+@_query(
+    f"WITH x AS (SELECT max(event_id) + 1 AS n FROM events), w AS (SELECT event_id AS k, {_r('avg(value) OVER f', 7)} AS mean, {_r('var_samp(value) OVER f', 6)} AS var, {_r('min(value) OVER f', 7)} AS min, {_r('max(value) OVER f', 7)} AS max, count(*) OVER f AS count FROM events {_WIDE}) SELECT CAST(k // 3 AS BIGINT) AS event_id, mean, var, min, max, count FROM w, x WHERE k % 3 = 0 AND k <= n - 900"
+)
+def queued_wide_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 900 cells, each merged from what is left of one block and the beginning of the next."""
+    result = reduce_stats(events(spark, sf_dir), Sliding(900, 3), [Mean(), Var(), Min(), Max(), Count()])
+    df = result[result.factors[0]]
+    return df.select("event_id", *[(F.round(c, d) + 0.0).alias(c) for c, d in (("mean", 7), ("var", 6), ("min", 7), ("max", 7))], "count")
+
+
+_HOLES = f"{_E}, h AS (SELECT i, j, CASE WHEN (i * 64 + j) % 5 < 2 OR (i % 50 < 20 AND j BETWEEN 8 AND 30) THEN NULL ELSE v END AS v FROM e)"
+
+
+def embeddings_with_holes(spark: SparkSession, sf_dir: str) -> Grid:
+    """The embeddings, two cells of five NaN, and a box of every fifty rows."""
+    g = embeddings(spark, sf_dir)
+    hole = ((F.col("i") * 64 + F.col("j")) % 5 < 2) | ((F.col("i") % 50 < 20) & F.col("j").between(8, 30))
+    return replace(g, df=g.df.select("i", "j", F.when(hole, F.lit(float("nan"))).otherwise(F.col("v")).alias("v")))
+
+
+@_query(f"WITH {_HOLES} SELECT CAST(a.i AS BIGINT) AS i, CAST(a.j AS BIGINT) AS j, CASE WHEN count(b.v) >= 40 THEN {_r('stddev_pop(b.v)')} ELSE 'nan'::DOUBLE END AS value FROM e a JOIN h b ON b.i BETWEEN a.i - 20 AND a.i + 20 AND b.j BETWEEN a.j - 7 AND a.j + 7 GROUP BY a.i, a.j")
+def queued_gaps_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deviations over both axes that leave NaN out, so that counts differ, without expansion of cells."""
+    out = rolling(embeddings_with_holes(spark, sf_dir), {"i": 41, "j": 15}, "std", min_periods=40)
+    return rounded(out.df.select("i", "j", F.col(out.values[0]).alias("value")))
+
+
+@_query(
+    "WITH s AS (SELECT event_id, value, abs(value - lag(value) OVER (ORDER BY event_id)) AS step FROM events), x AS (SELECT max(event_id) + 1 AS n FROM events), w AS (SELECT event_id AS k, sum(step) OVER (ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND 199 FOLLOWING) AS steps, sum(exp(value / 100)) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND 199 FOLLOWING) AS e FROM s) "
+    f"SELECT CAST(k // 2 AS BIGINT) AS event_id, {_r('steps', 5)} AS variation, {_r('ln(e)', 6)} AS log_sum_exp FROM w, x WHERE k % 2 = 0 AND k <= n - 200"
+)
+def queued_users_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' states in windows: only their merge is known, and one of them depends on the order."""
+    g = events(spark, sf_dir)
+    args = Sliding(200, 2)
+    steps = reduce_stats(g, args, [total_variation()])
+    scaled = reduce_stats(replace(g, df=g.df.select("event_id", (F.col("value") / 100).alias("value"))), args, [log_sum_exp()])
+    df = steps[steps.factors[0]].join(scaled[scaled.factors[0]], "event_id")
+    return df.select("event_id", (F.round("variation", 5) + 0.0).alias("variation"), (F.round("log_sum_exp", 6) + 0.0).alias("log_sum_exp"))
+
+
+@_query(f"WITH x AS (SELECT max(event_id) + 1 AS n FROM events), s AS (SELECT event_id // 37 AS k, CASE WHEN event_id % 37 > 0 THEN abs(value - lag(value) OVER (ORDER BY event_id)) ELSE 0 END AS step FROM events) SELECT CAST(k AS BIGINT) AS event_id, {_r('sum(step)', 5)} AS variation FROM s, x WHERE k < n // 37 GROUP BY k")
+def fold_in_order_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order-sensitive merge of the cells of a block, folded by position in balanced rounds."""
+    g, stats = events(spark, sf_dir), [total_variation()]
+    return rounded(materialize(coarsen(base_reduce(g, (1,), stats), g.dims, g.extent, (37,), stats), g.dims, stats), 5)
+
+
+@_query(f"WITH {_L} SELECT CAST(l_orderkey // 100 AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS count, {_r('avg(l_quantity) + 1000000', 4)} AS mean, {_r(_sample('stddev_samp', 'l_quantity'), 6)} AS std FROM lineitem, x WHERE l_orderkey < a // 100 * 100 GROUP BY ALL")
+def offset_merge_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unequal counts merged by their binary digits; a million on top of each value takes no digit of the deviation."""
+    g = lineitems(spark, sf_dir, "l_quantity")
+    g = replace(g, df=g.df.withColumn("l_quantity", F.col("l_quantity").cast("double") + 1_000_000))
+    stats = [Count(), Mean(), Std()]
+    df = materialize(coarsen(base_reduce(g, (4, 1), stats), g.dims, (g.extent[0] // 4, g.extent[1]), (25, 1), stats), g.dims, stats)
+    return df.select("l_orderkey", "l_linenumber", "count", (F.round("mean", 4) + 0.0).alias("mean"), (F.round("std", 6) + 0.0).alias("std"))
+
+
+def _line_scales(factors: Sequence[int], table: str, key: str, columns: str, extent: str) -> str:
+    parts = [f"SELECT CAST({f} AS BIGINT) AS f_{key}, CAST({key} // {f} AS BIGINT) AS {key}, {columns} FROM {table}, x WHERE {key} < n // {f} * {f} GROUP BY ALL" for f in factors]
+    return f"WITH {extent} " + " UNION ALL ".join(parts)
+
+
+_HOLED = "count(v) AS count, coalesce(" + _r("avg(v)") + ", 'nan'::DOUBLE) AS mean, CASE WHEN count(v) > 1 THEN " + _r("var_samp(v)") + " ELSE 'nan'::DOUBLE END AS var"
+
+
+@_query(f"WITH {_HOLES}, {_X} " + " UNION ALL ".join(f"SELECT CAST({f} AS BIGINT) AS f_i, CAST({f} AS BIGINT) AS f_j, * FROM ({_blocks(f, f, _HOLED, 'h')})" for f in (3, 6, 12)))
+def tower_gaps_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scales of a field with gaps from one pass: blocks of unequal counts are merged."""
+    return rounded(reduce_stats(embeddings_with_holes(spark, sf_dir), [3, 6, 12], [Count(), Mean(), Var()], skipna=True).to_dataframe())
+
+
+@_query(_line_scales([4, 8, 40], "lineitem", "l_orderkey", f"count(*) AS count, {_r('sum(l_quantity)', 2)} AS sum, {_r(_sample('stddev_samp', 'l_quantity'), 6)} AS std, {_r('max(l_quantity)', 2)} AS max", "x AS (SELECT max(l_orderkey) + 1 AS n FROM lineitem)"))
+def tower_sparse_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scales of a sparse line, whose cells repeat, from one pass."""
+    g = Grid.from_table(_read(spark, sf_dir, "lineitem").withColumn("l_quantity", F.col("l_quantity").cast("double")), ["l_orderkey"], ["l_quantity"])
+    df = reduce_stats(g, [4, 8, 40], [Count(), Sum(), Std(), Max()]).to_dataframe()
+    return df.select("f_l_orderkey", "l_orderkey", "count", *[(F.round(c, d) + 0.0).alias(c) for c, d in (("sum", 2), ("std", 6), ("max", 2))])
+
+
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     return tower_mean_var_2d(spark, sf_dir)
 

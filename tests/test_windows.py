@@ -217,7 +217,7 @@ def test_frames_equal_expansion_beyond_the_edges(spark, monkeypatch, bucket, pad
 @pytest.mark.parametrize("stat", ["mean", "count", "min", "sum", "var"])
 @pytest.mark.parametrize(("center", "few"), [(True, 16), (True, 1), (False, 1)])
 def test_rolling_with_gaps(spark, monkeypatch, stat, center, few):
-    monkeypatch.setattr(labels, "FEW_WINDOWS", few)
+    monkeypatch.setattr(sliding, "FEW_WINDOWS", few)
     x = np.random.default_rng(5).standard_normal((11, 7))
     x[3:6, 2:5] = np.nan
     grid = Grid.from_numpy(spark, x)
