@@ -1,10 +1,11 @@
 """Sharding by fixed virtual slots.
 
-Records are hashed into ``n_slots`` virtual slots by their id (and text checksum, so that
-records without an id spread too).  Bytes and rows are summed per slot, which is all the
+Records are hashed into ``n_slots`` virtual slots by their id and text checksum; rows of one id and text,
+which would all meet in one slot, are hashed by their place in the input too.  Bytes and rows are summed per slot, which is all the
 driver sees: ``n_slots`` rows whatever the corpus holds.  A versioned map sends slots to
 shards; balancing moves slots, never single records, and stores the edited map as the next
-version.  A hot id range, source or group of copies is spread over all slots by the hash.
+version.  A hot id range, source or group of copies or of repeated rows is spread over all slots by the hash,
+so no slot, and no window over one, is much larger than another.
 
 A null text has no bytes; a null id hashes like any other value; repeated rows each get a
 place of their own.  Extra columns are ignored; an empty table gives an empty result.
@@ -103,14 +104,18 @@ class SlotMap:
 
 
 def sized(documents: DataFrame, n_slots: int) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot."""
+    """doc_id, size, text_crc32, virtual_slot; written, so that a repeated row keeps its place."""
     text = F.col("text").cast("string")
     rows = documents.select(F.col("doc_id").cast("long"), text.alias("text"))
-    return rows.select(
+    rows = rows.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-    ).withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_slots)).cast("int"))
+    ).withColumn("key", F.xxhash64("doc_id", "text_crc32"))
+    rows = rows.withColumn("place", F.monotonically_increasing_id())
+    repeated = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key", F.lit(True).alias("repeated"))
+    slot = F.when(F.col("repeated"), F.xxhash64("key", "place")).otherwise(F.col("key"))
+    return R.written(rows.join(repeated, "key", "left").select("doc_id", "size", "text_crc32", F.pmod(slot, F.lit(n_slots)).cast("int").alias("virtual_slot")), "sized")
 
 
 def shard(documents: DataFrame, n_shards: int = 40, n_slots: int = 16384, map_path: str | None = None) -> DataFrame:

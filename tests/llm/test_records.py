@@ -28,6 +28,24 @@ def test_shards_places_and_sizes(spark):
     assert sharding.shard(spark.createDataFrame([], SCHEMA), 4, 64).count() == 0
 
 
+def test_repeated_rows_and_rows_without_id_spread(spark):
+    """Invariants of law `bytes` where one record, or records without an id, are a large part of all rows."""
+    rows = [(i, "x" * (i % 90)) for i in range(2000)] + [(7, "y" * 50)] * 1000 + [(None, "z" * 20)] * 1500
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.shard(df, n_shards=8, n_slots=4096)
+    got.createOrReplaceTempView("placed")
+    by = spark.sql("SELECT shard, sum(size) AS bytes, count(*) AS n, min(slot) AS low, max(slot) AS high, count(DISTINCT slot) AS slots, count(DISTINCT virtual_slot) AS virtual FROM placed GROUP BY shard").collect()
+    mean = sum(r.bytes for r in by) / 8
+    assert len(by) == 8 and sum(r.n for r in by) == len(rows)
+    assert all(abs(r.bytes - mean) <= 0.03 * mean and r.low == 0 and r.high == r.n - 1 and r.slots == r.n for r in by)
+    assert spark.sql("SELECT max(n) AS n FROM (SELECT count(*) AS n FROM placed GROUP BY virtual_slot)").first().n < 12
+    one = {(r.doc_id, r.text_crc32): r.virtual_slot for r in got.where("doc_id > 7").collect()}
+    again = {(r.doc_id, r.text_crc32): r.virtual_slot for r in sharding.shard(df.repartition(3), n_shards=8, n_slots=4096).where("doc_id > 7").collect()}
+    assert one == again  # records that are not repeated have their slot by id and text alone
+    for (doc_id, crc), slot in list(one.items())[:50]:
+        assert crc == zlib.crc32(("x" * (doc_id % 90)).encode()) and 0 <= slot < 4096
+
+
 def test_slot_maps_edit_few_slots(spark, tmp_path):
     rng = random.Random(1)
     weights = {s: rng.randint(1, 100) for s in range(1000)}
