@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _runtime as R
@@ -179,20 +179,16 @@ def _digested(documents: DataFrame) -> DataFrame:
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 6, max_block: int = 4_000_000) -> DataFrame:
     """doc_id, n_words, spans (merged [start, stop) word ranges that are hit) and items (sorted ids), a row per document row."""
     meta, found = find_hits(documents, benchmark, window, shingle, max_block)
-    # a text's occurrences are at most as many as its words
-    spans = found.groupBy("digest").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("at"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    merged = F.aggregate(
-        "at",
-        F.array().cast("array<struct<start:int,stop:int>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= x["start"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
+    # a text's occurrences are at most as many as its words: runs that touch are numbered in one pass over them
+    before = Window.partitionBy("digest").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("digest").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, 0)
+    apart = found.withColumn("new", F.coalesce((F.max("stop").over(before) < F.col("start")).cast("int"), F.lit(1)))
+    islands = apart.withColumn("island", F.sum("new").over(upto)).groupBy("digest", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    spans = islands.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     none = F.array().cast("array<struct<start:int,stop:int>>"), F.array().cast("array<string>")
     # rows without candidates don't join: their null keys would all meet in one task
     clear = meta.where(F.col("digest").isNull()).select("doc_id", "n_words", none[0].alias("spans"), none[1].alias("items"))
-    joined = meta.where(F.col("digest").isNotNull()).join(spans.select("digest", merged.alias("spans"), "items"), "digest", "left")
+    joined = meta.where(F.col("digest").isNotNull()).join(spans, "digest", "left")
     return clear.unionByName(joined.select("doc_id", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items")))
 
 
