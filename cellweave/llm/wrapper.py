@@ -14,7 +14,9 @@
    (article, main, or a name of only such words), else all content slots.  What markup itself
    declares to be a menu, header, footer, sidebar, notice, advert, form, script, style or comment
    section, by its element or by a name of only such words, is template on any host, as are pages'
-   own unmatched nodes of that kind; an article's own header is content.  Inside a main
+   own unmatched nodes of that kind; an article's own header is content, and inside a main element words that
+   may name a part of a text decide nothing.  A form or sidebar that holds a main element or most of the page's text is
+   none; where there is a `main`, articles outside it are teasers.  Inside a main
    element a node is template only with one single text beside ten different contents or more, and
    beside half of the different contents that its parent has; nor does a page lose all its text.
 
@@ -30,8 +32,10 @@ import hashlib
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,9 +43,10 @@ from pyspark.sql import functions as F
 
 from . import _runtime as R
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|[^<]+", re.S)
+_TAG = re.compile(r"</?[a-zA-Z](?:[^>\"']++|\"[^\"]*\"|'[^']*')*+")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<=\s)(hidden)(?=[\s/>])")
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'<>/=])([^\s\"'<>/=]++)\s*+=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<=\s)(hidden)(?=[\s/>])")
 #: Element names by role: fixed by the HTML standard.
 _RAW = frozenset("script style textarea title noscript iframe noframes xmp".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,8 +63,8 @@ _AWAY_WORDS = frozenset(
 )
 _MAIN = frozenset("article main".split())
 _MAIN_WORDS = frozenset("article content post entry story maincontent".split())
-#: Of these, what an article may have of its own.
-_OWN_WORDS = frozenset("header masthead banner".split())
+#: Of these, what an article may have of its own: words that also name parts of a text.
+_OWN_WORDS = frozenset("header masthead banner discussion replies promo promotion notice notices search menu navigation social sponsor login signup modal overlay popup toolbar widget footer sidebar pager consent complementary recommended".split())
 #: Words that leave the role of a name as the others have it: `post-comments`, `ad-box`, `article-body`.
 _NEUTRAL = frozenset("main page site post posts entry article articles top bottom left right inner outer wrap wrapper container box block area bar list item items links section body text".split())
 _MAX_DEPTH, _MAX_CHILDREN = 48, 32
@@ -73,27 +78,70 @@ class Page:
         self.labels, self.parents = ["#"], [-1]
         self.away, self.main = [False], [-1]  # main: the outermost main element above, or -1
         self.blocks: list[tuple[int, str]] = []
-        self._kids: list[list[int]] = [[]]
+        self._wraps: list[int] = []  # forms and sidebars, which may turn out to hold the page
+        self._whole: set[int] = set()  # main elements that are `main` itself
+        self._last: list[int] = [-1]  # of each node its last child, and of wide ones all by label
+        self._wide: dict[int, dict[str, int]] = {}
+        self._count: list[int] = [0]
         self._read(source)
-
-    def _node(self, parent: int, tag: str, label: str, away: bool, main: bool) -> int:
-        kids = self._kids[parent]
-        for k in kids if len(kids) >= _MAX_CHILDREN else kids[-1:]:
-            if self.labels[k] == label:
-                return k
+        self._settle()
+
+    def _node(self, parent: int, label: str, role: Role) -> int:
+        last = self._last[parent]
+        if last >= 0 and self.labels[last] == label:
+            return last
+        if self._count[parent] >= _MAX_CHILDREN:
+            known = self._wide.get(parent)
+            if known is None:
+                known = self._wide[parent] = {self.labels[k]: k for k in range(len(self.labels) - 1, parent, -1) if self.parents[k] == parent}
+            if label in known:
+                return known[label]
+            known[label] = len(self.labels)
         self.labels.append(label)
         self.parents.append(parent)
-        self.away.append(away or self.away[parent])
+        self.away.append(role.away or self.away[parent])
         n = len(self.labels) - 1
-        self.main.append(self.main[parent] if self.main[parent] >= 0 else n if main and not self.away[n] else -1)
-        self._kids.append([])
-        kids.append(n)
+        self.main.append(self.main[parent] if self.main[parent] >= 0 else n if role.main and not self.away[n] else -1)
+        self._last.append(-1)
+        self._count.append(0)
+        self._last[parent] = n
+        self._count[parent] += 1
+        if role.wraps:
+            self._wraps.append(n)
+        if role.main and role.whole:
+            self._whole.add(n)
         return n
 
+    def _settle(self) -> None:
+        """A form or sidebar is away unless it holds a main element or most of the page's text; where
+        there is a `main` with text, other main elements are none."""
+        if self._wraps:
+            size = [0] * len(self.labels)
+            for k, block in self.blocks:
+                if not self.away[k]:
+                    size[k] += len(block)
+            holds = [m == k for k, m in enumerate(self.main)]
+            for k in range(len(self.labels) - 1, 0, -1):
+                size[self.parents[k]] += size[k]
+                holds[self.parents[k]] = holds[self.parents[k]] or holds[k]
+            gone = {k for k in self._wraps if not holds[k] and size[k] * 2 < size[0]}
+            for k in range(1, len(self.labels)):
+                if k in gone or self.parents[k] in gone:
+                    gone.add(k)
+                    self.away[k] = True
+        with_text = {self.main[k] for k, _ in self.blocks if self.main[k] >= 0 and not self.away[k]}
+        if with_text & self._whole:
+            self.main = [m if m in self._whole else -1 for m in self.main]
+
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#", 0)]
+        opened: Counter[str] = Counter()  # tags on the stack
         text: list[str] = []
-        at, n = 0, len(source)
+        at, n, closed_by = 0, len(source), source.rfind(">")
+
+        def cut(k: int) -> None:
+            opened.subtract(tag for tag, _ in stack[k:])
+            del stack[k:]
 
         def flush() -> None:
             if text:
@@ -104,10 +152,19 @@ class Page:
 
         while at < n:
             m = _TOKEN.match(source, at)
-            token, at = m[0], m.end()
-            if token[0] != "<" or token == "<":
-                text.append(token)
+            if m is not None:
+                token, at = m[0], m.end()
+                if token[0] != "<":
+                    text.append(token)
                 continue
+            m = _TAG.match(source, at) if at < closed_by else None
+            if m is None:  # no tag
+                text.append("<")
+                at += 1
+                continue
+            # the tag ends at the next >; a quote that is never closed doesn't hide it
+            end = source.find(">", m.end())
+            token, at = (source[at : end + 1], end + 1) if end >= 0 else (source[at:], n)
             name = _NAME.match(token)
             if name is None:
                 continue
@@ -115,10 +172,8 @@ class Page:
             if token[1] == "/":
                 if tag in _BLOCK:
                     flush()
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == tag:
-                            del stack[k:]
-                            break
+                    if opened[tag]:
+                        cut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
                 elif tag in _SPACED:
                     text.append(" ")
                 continue
@@ -134,24 +189,26 @@ class Page:
                 continue
             flush()
             if tag in _CLOSES_P and stack[-1][0] == "p":
-                stack.pop()
+                cut(len(stack) - 1)
             if tag in _CLOSED_BY:
                 closed, scope = _CLOSED_BY[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in scope:
-                        break
-                    if stack[k][0] in closed.split():
-                        del stack[k:]
-                        break
+                if any(opened[x] for x in closed.split()):
+                    for k in range(len(stack) - 1, 0, -1):
+                        if stack[k][0] in scope:
+                            break
+                        if stack[k][0] in closed.split():
+                            cut(k)
+                            break
             over = stack[-1][1]
-            label, away, main = _labelled(token, tag, self.main[over] >= 0)
-            if len(stack) > _MAX_DEPTH and (self.away[over] or not away and not (main and self.main[over] < 0)):
-                # deeper structure counts as its ancestor's, but for what changes its role (twice on a path at most)
+            label, role = _labelled(token, tag, self.main[over] >= 0) if len(token) <= 1000 else _labelled.__wrapped__(token, tag, self.main[over] >= 0)
+            if len(stack) > _MAX_DEPTH and (self.away[over] or not role.away and not role.wraps and not (role.main and self.main[over] < 0)):
+                # deeper structure counts as its ancestor's, but for what changes its role
                 stack.append((tag, over))
             else:
-                stack.append((tag, self._node(stack[-1][1], tag, label, away, main)))
+                stack.append((tag, self._node(over, label, role)))
+            opened[tag] += 1
             if tag in _VOID or token.endswith("/>") and tag in ("svg",):
-                stack.pop()
+                cut(len(stack) - 1)
         flush()
 
     def skeleton(self) -> str:
@@ -173,20 +230,32 @@ class Page:
         return out
 
 
+class Role(NamedTuple):
+    """What an element declares to be: no main text, a form or sidebar (away unless it holds the page), a main element, `main` itself."""
+
+    away: bool
+    wraps: bool
+    main: bool
+    whole: bool
+
+
 @lru_cache(1 << 14)
-def _labelled(token: str, tag: str, inside: bool) -> tuple[str, bool, bool]:
-    """The label of an element, and whether it declares to be no main text or the main element.  A name
-    declares a role only if all its words do: `social` and `social-share` but not `social-history`.
-    Inside a main element a header is the article's own."""
+def _labelled(token: str, tag: str, inside: bool) -> tuple[str, Role]:
+    """The label and role of an element.  A name declares a role only if all its words do: `social` and
+    `social-share` but not `social-history`.  Inside a main element a header is the article's
+    own, and words that may name a part of a text (`discussion`, `promotion`, `search`) decide nothing."""
     names: list[list[str]] = []
     classes = ""
-    away = tag in _AWAY and not (inside and tag == "header")
+    away = tag in _AWAY and tag != "form" and not (inside and tag == "header")
+    wraps = tag == "form"
     main = tag in _MAIN
+    whole = tag == "main"
     for name, a, b, c, bare in _ATTRIBUTE.findall(token):
         name, value = (name or bare).lower(), a or b or c
         if name in ("class", "id", "role"):
             names += [re.findall(r"[a-z0-9]+", x) for x in html.unescape(value).lower().split()]
             main = main or value.lower() == "main"
+            whole = whole or name == "role" and value.lower() == "main"
             if name == "class":
                 classes = ".".join(sorted(value.lower().split()))
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -194,11 +263,12 @@ def _labelled(token: str, tag: str, inside: bool) -> tuple[str, bool, bool]:
     if not main and tag not in ("body", "html"):
         main = tag in ("div", "section") and any(_MAIN_WORDS.intersection(x) and _MAIN_WORDS.union(_NEUTRAL).issuperset(x) for x in names)
         for x in names:
-            words = _AWAY_WORDS.intersection(x) - (_OWN_WORDS if inside else frozenset())
-            away = away or bool(words) and words.union(_NEUTRAL).issuperset(x)
-    main = main and not away
+            words = _AWAY_WORDS.intersection(x)
+            if words and words.union(_NEUTRAL).issuperset(x) and not (inside and words <= _OWN_WORDS):
+                away, wraps = away or words != {"sidebar"}, wraps or words == {"sidebar"}
+    main = main and not away and not wraps
     # what is declared by id, role or hidden sets siblings of one tag apart too
-    return (f"{tag}.{classes}" if classes else tag) + "!" * away + "*" * main, away, main
+    return (f"{tag}.{classes}" if classes else tag) + "!" * (away or wraps) + "*" * main, Role(away, wraps and not away, main, whole and main)
 
 
 def tree_match(a: str, b: str) -> dict[int, int]:
@@ -226,21 +296,36 @@ def _matched(a: str, b: str) -> tuple[tuple[int, int], ...]:
         if la[x] != lb[y]:
             return 0, []
         if (x, y) not in known:
-            p, q = ka[x], kb[y]
-            best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-            for i in range(len(p)):
-                for j in range(len(q)):
-                    best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + match(p[i], q[j])[0])
-            pairs, i, j = [], len(p), len(q)
-            while i and j:
-                if best[i][j] == best[i - 1][j]:
-                    i -= 1
-                elif best[i][j] == best[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    pairs.append((p[i], q[j]))
-            known[x, y] = best[-1][-1] + 1, pairs
+            places: dict[str, list[int]] = {}
+            for j, child in enumerate(kb[y]):
+                places.setdefault(lb[child], []).append(j)
+            # the heaviest increasing chain of children with one label: only such pairs are looked at
+            tree: list[tuple[int, int]] = [(0, -1)] * (len(kb[y]) + 1)  # Fenwick: (weight, last pair) of chains ending up to j
+            chain: list[tuple[int, int, int]] = []  # child of a, child of b, pair before
+            for child in ka[x]:
+                new = []
+                for j in places.get(la[child], ()):
+                    best, at = (0, -1), j
+                    while at:
+                        best = max(best, tree[at], key=lambda t: t[0])
+                        at -= at & -at
+                    new.append((best[0] + match(child, kb[y][j])[0], best[1], j))
+                for weight, before, j in new:
+                    chain.append((child, kb[y][j], before))
+                    at = j + 1
+                    while at < len(tree):
+                        if tree[at][0] < weight:
+                            tree[at] = weight, len(chain) - 1
+                        at += at & -at
+            best, at = (0, -1), len(kb[y])
+            while at:
+                best = max(best, tree[at], key=lambda t: t[0])
+                at -= at & -at
+            pairs, k = [], best[1]
+            while k >= 0:
+                pairs.append(chain[k][:2])
+                k = chain[k][2]
+            known[x, y] = best[0] + 1, pairs
         return known[x, y]
 
     match(0, 0)

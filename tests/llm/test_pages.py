@@ -131,3 +131,76 @@ def test_tree_matching_equals_brute_force():
         x, y = ("#", [tree(2), tree(2)]), ("#", [tree(2), tree(1)])
         found = wrapper.tree_match("\n".join(lines(x, -1, [])), "\n".join(lines(y, -1, [])))
         assert len(found) == brute_match(x, y) and len(set(found.values())) == len(found)
+
+
+def text_of(html):
+    return wrapper.page_text(wrapper.Page(html), {})
+
+
+def test_forms_and_sidebars_that_hold_the_page():
+    assert text_of('<body><form id="aspnetForm"><div><p>Long article text</p></div></form><div>low</div></body>') == "Long article text\nlow"
+    assert text_of('<body><form><article><p>Short</p></article><p>other words that are longer</p></form><p>much longer text outside of the form is here</p></body>') == "Short"
+    assert text_of('<body><div class="sidebar-right"><p>Body of the page</p><p>and more</p></div></body>') == "Body of the page\nand more"
+    assert text_of('<body><p>Body of the page, which is long</p><div class="sidebar">Tags</div><form>Search</form></body>') == "Body of the page, which is long"
+
+
+def test_names_of_parts_of_a_text_inside_a_main_element():
+    assert text_of('<article><p>a</p><section id="discussion"><p>b</p></section><div class="promotion">c</div><section class="search">d</section><div class="ads">e</div><div class="comments">f</div></article>') == "a\nb\nc\nd"
+    assert text_of('<div class="text"><p>a</p></div><section id="discussion">b</section>') == "a"
+
+
+def test_a_teaser_outside_main_is_no_article():
+    assert text_of('<main><p>Body</p></main><article class="card">Teaser</article>') == "Body"
+    assert text_of('<main></main><article class="card">Only</article>') == "Only"
+
+
+def test_broken_markup_is_read_in_linear_time():
+    import time
+
+    cases = ['<p title="' * 40_000, "<a " * 70_000, '<p a=">' * 40_001 + "end", "<" * 200_000, '<div a="' + "x" * 300_000, "<p " + "a" * 300_000 + ">t", "<div>" * 40_000 + "</p>" * 40_000, "<div>" * 20_000 + "<li></li>" * 20_000, "<p title='\"" * 30_000 + ">x"]
+    for html in cases:
+        t = time.perf_counter()
+        wrapper.Page(html)
+        assert time.perf_counter() - t < 5, html[:20]
+    assert text_of('<p title="never closed>one</p><p>two</p>') == "one\ntwo"
+    assert text_of("a < b <p>c</p") == "a < b\nc</p"
+
+
+def test_wide_trees_match_in_time():
+    import time
+
+    wide = "\n".join(["-1 #", *(f"0 div.c{k}" for k in range(4000))])
+    other = "\n".join(["-1 #", *(f"0 div.c{k}" for k in range(0, 4000, 2))])
+    t = time.perf_counter()
+    found = wrapper.tree_match(wide, other)
+    assert len(found) == 2001 and time.perf_counter() - t < 3
+
+
+def plain_extract(rows):
+    """Induction by plain counting, for hosts of one layout without main elements: a slot whose text is one of
+    few over the different rests of its pages is template."""
+    pages = [(u, wrapper.Page(h)) for _, u, h in rows]
+    sums = [p.checksums() for _, p in pages]
+    out = []
+    for i, (url, page) in enumerate(pages):
+        kinds = {}
+        for k in range(len(page.labels)):
+            seen = [(s[k], tuple(x for j, x in enumerate(s) if j != k and x and not p.away[j])) for (u, p), s in zip(pages, sums, strict=True) if u == url and s[k]]
+            texts, n = len({t for t, _ in seen}), len({r for _, r in seen})
+            if n >= 3 and texts * 3 <= n:
+                kinds[k] = "template"
+            if texts == 1 and n >= 10:
+                kinds[k] = "fixed"
+        out.append(wrapper.page_text(page, kinds))
+    return out
+
+
+def test_extraction_equals_plain_counting(spark):
+    rng = random.Random(9)
+    rows = []
+    for host in range(3):
+        for i in range(30):
+            low = rng.choice(["Low A", "Low B"])
+            rows.append((len(rows), f"http://p{host}.example.com/", f"<body><nav>n</nav><div class='t'><p>Top {host}</p></div><div class='m'><h2>H {host} {i}</h2><p>text {rng.randrange(10**6)}</p></div><div class='l'>{low}</div><footer>f</footer></body>"))
+    got = run(spark, rows)
+    assert [got[i].text for i in range(len(rows))] == plain_extract(rows)
