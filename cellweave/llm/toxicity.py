@@ -11,7 +11,9 @@ term is between LEAST and 1, larger for one that tells the labels apart (chi-squ
 thousands of indifferent terms add little noise but none is left out.
 
 It is fitted by full-batch Adam on the driver, on about ``max_train`` labelled rows at most and
-``max_pairs`` (row, bucket) pairs of them, taken in the order of a hash of the id, whole texts each.
+``max_pairs`` (row, bucket) pairs of them: rows are taken in the order of a hash of the id, whole texts each, those
+that no longer fit are passed over, and one of each label is always taken (a row has 2**18 pairs at most).
+Rows of one id, label and text count once.
 
 Scoring reads every whole text once and needs the model alone.  A null or empty text has no
 term and gets the score of the intercept.  Rows without a usable label are not learned from;
@@ -77,7 +79,7 @@ class Machine:
         return out
 
 
-def fit(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, value: np.ndarray, factors: int = 4, steps: int = 80, rate: float = 0.05, decay: float = 2e-4, weight: float = 2.0, seed: int = 7) -> Machine:
+def fit(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, value: np.ndarray, factors: int = 4, steps: int = 80, rate: float = 0.3, decay: float = 2e-4, weight: float = 2.0, seed: int = 7) -> Machine:
     """Full-batch Adam on the weighted logistic loss; label 1 counts ``weight`` times.  (row, bucket)
     pairs are sorted by row; value: x of each bucket."""
     n, n_terms = len(labels), len(value)
@@ -138,8 +140,8 @@ def values(buckets: np.ndarray, toxic: np.ndarray, labels: np.ndarray, n_terms:
 
 
 def learn(documents: DataFrame, labels: DataFrame, max_train: int = 8_000, max_pairs: int = 6_000_000, steps: int = 80) -> Machine:
-    """Fits on about max_train labelled rows at most, in the order of a hash of the id, and on fewer if
-    they hold more than max_pairs terms."""
+    """Fits on about max_train labelled rows at most, in the order of a hash of the id, and passes over rows
+    that would make more than max_pairs terms."""
     spark = R.prepare(documents.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).cast("int")
@@ -155,18 +157,20 @@ def learn(documents: DataFrame, labels: DataFrame, max_train: int = 8_000, max_p
             data, offsets = R.text_buffers(pc.utf8_lower(batch.column("text")))
             for lo, hi in R.chunks(offsets):
                 rows, buckets = terms(data, offsets[lo : hi + 1])
-                head = [batch.column(c).slice(lo, hi - lo) for c in ("toxic", "place")]
-                yield pa.RecordBatch.from_arrays([*head, R.list_column(buckets, np.bincount(rows, minlength=hi - lo), pa.int32())], names=["toxic", "place", "buckets"])
-
-    sample = R.written(texts.join(F.broadcast(known), "doc_id").select("toxic", "place", "text").mapInArrow(hashed, "toxic int, place int, buckets array<int>"), "toxic-sample")
-    # rows of the sample by place: what the driver may hold
-    room, limit = max_pairs, 1 << 20
-    for row in sample.groupBy("place").agg(F.sum(F.size("buckets")).alias("pairs")).orderBy("place").collect():
-        room -= row["pairs"]
-        if room < 0:
-            limit = row["place"]
-            break
-    train = sample.where(F.col("place") < limit).select("toxic", "buckets").toArrow()
+                head = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "toxic", "place")]
+                yield pa.RecordBatch.from_arrays([*head, R.list_column(buckets, np.bincount(rows, minlength=hi - lo), pa.int32())], names=["doc_id", "toxic", "place", "buckets"])
+
+    sample = texts.join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "place", "text").mapInArrow(hashed, "doc_id long, toxic int, place int, buckets array<int>")
+    sample = R.written(sample.distinct(), "toxic-sample")
+    # labelled ids by place: what the driver may hold
+    room, taken, seen = max_pairs, [], set()
+    for row in sample.groupBy("place", "toxic").agg(F.sum(F.size("buckets")).alias("pairs")).orderBy("place", "toxic").collect():
+        if row["pairs"] <= room or row["toxic"] not in seen:
+            room -= row["pairs"]
+            seen.add(row["toxic"])
+            taken.append((row["place"], row["toxic"]))
+    picked = spark.createDataFrame(taken, "place int, toxic int")  # max_train rows or so
+    train = sample.join(F.broadcast(picked), ["place", "toxic"], "left_semi").select("toxic", "buckets").toArrow()
     R.drop(sample)
     y = train.column("toxic").to_numpy().astype(np.int64)
     lists = train.column("buckets").combine_chunks()

@@ -78,7 +78,7 @@ def test_empty_tables(spark):
 
 
 def test_query_names():
-    assert [int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES] == list(range(1, 14))
 
 
 def test_item_ids_are_strings(spark):

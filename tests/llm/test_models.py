@@ -105,7 +105,7 @@ def test_machine_learns_a_pair_of_neutral_terms(spark):
     rows, labels = xor_rows(2, 3000)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    machine = toxicity.learn(docs.where("doc_id % 3 <> 1"), known.where("doc_id % 3 <> 1"), steps=300)
+    machine = toxicity.learn(docs.where("doc_id % 3 <> 1"), known.where("doc_id % 3 <> 1"))  # as shipped
     score = {r.doc_id: r.score for r in toxicity.score(docs, machine).collect()}
     high = [score[i] for i, _, y in labels if i % 3 == 1 and y]
     low = [score[i] for i, _, y in labels if i % 3 == 1 and not y]
@@ -147,7 +147,23 @@ def test_training_pairs_are_bounded(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     assert toxicity.learn(docs, known, max_pairs=500).v.shape == (1 << toxicity.BITS, 4)
-    assert toxicity.learn(docs, known, max_pairs=0).w0 < -10
+    least = toxicity.learn(docs, known, max_pairs=0)  # one row of each label
+    assert least.w.any() and -10 < least.w0 < 10
+
+
+def test_a_labelled_id_that_is_repeated_doesnt_use_up_the_bound(spark):
+    rows, labels = toxic_rows(4, 300)
+    own = labels[0][0]
+    again = [(own, dict((r[0], r[1]) for r in rows)[own], "en")] * 400
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    schema = "doc_id long, text string, lang string"
+    a = toxicity.learn(spark.createDataFrame(rows, schema), known, max_pairs=2500)
+    b = toxicity.learn(spark.createDataFrame(rows + again, schema), known, max_pairs=2500)
+    assert np.allclose(a.w, b.w, atol=1e-4) and np.isclose(a.w0, b.w0, atol=1e-3) and a.w.any()
+    long = [(10_000_000, " ".join(f"x{i}" for i in range(5000)), "en")]  # fits nowhere, whatever its place
+    more = spark.createDataFrame([*labels, (10_000_000, 0, 0)], "doc_id long, quality int, toxic int")
+    c = toxicity.learn(spark.createDataFrame(rows + long, schema), more, max_pairs=2500)
+    assert np.count_nonzero(c.w) > 100
 
 
 def test_toxicity_edge_cases(spark):
