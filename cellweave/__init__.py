@@ -8,10 +8,12 @@ from importlib import import_module
 #: Python workers that need one subpackage don't load the others.
 _EXPORTS = {
     ".api": "MultiResResult Sliding Tower plan_for reduce_stats",
+    ".catalogue": "IncrementalTower Lattice",
     ".backends": "Backend LazyPlan map_reduce resolve_backend",
     ".functions": "Count Cov CustomStatistic Max Mean Median Min Moments PairwiseStatistic Product Statistic Std Sum Var subsumes",
     ".operators.blocks": "base_reduce check_laws check_merge coarsen group_reduce inverse_merge materialize run_plan",
     ".operators.labels": "blockwise center_coordinates preserve_metadata resample rolling tree_reduce_labelled window_coordinates",
+    ".operators.selection": "median_scales medians",
     ".operators.sliding": "WindowConfig blockwise_windows rolling_windows validate_window_config",
     ".operators.windows": "blockwise_stats merge_stats multiresolution_stats product_mean product_moments rolling_stats tiled_stats tree_reduce tree_reduce_variance window_stat",
     ".plans": "ReductionPlan ReductionStep factor_sequence reachable_factors solver_plan tower_plan",

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from math import prod
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.statistics import Component, Min, Statistic, minimal_components, nan
+from ..functions.statistics import Component, Count, Median, Min, Statistic, minimal_components, nan
 from ..plans.lattice import Factor, factor_shape
 from ..plans.planner import ReductionPlan
 from ..sources.grid import Grid
 from .merging import PREFIX, folded, merged, state_column
+from .selection import SELECT_FROM, medians
 
 
 def check_arity(grid: Grid, stats: Sequence[Statistic]) -> None:
@@ -46,9 +48,21 @@ def block_keys(dims: Sequence[str], factor: Factor) -> list[Column]:
 def base_reduce(grid: Grid, factor: Factor, stats: Sequence[Statistic], skipna: bool = False) -> DataFrame:
     """State of every block straight from the cells: one partial and one final aggregation."""
     cells = truncated(grid.df, grid.dims, grid.extent, factor)
+    if any(isinstance(s, Median) for s in stats) and prod(factor) >= SELECT_FROM:
+        return _with_selected(grid, cells, factor, stats, skipna)
     return cells.groupBy(*block_keys(grid.dims, factor)).agg(*aggregates(minimal_components(stats).values(), value_columns(grid, skipna)))
 
 
+def _with_selected(grid: Grid, cells: DataFrame, factor: Factor, stats: Sequence[Statistic], skipna: bool) -> DataFrame:
+    """The same for large blocks: medians are selected in rounds, which keep no block's cells together."""
+    keyed = cells.select(*block_keys(grid.dims, factor), *[v.alias(n) for v, n in zip(value_columns(grid, skipna), grid.values, strict=True)])
+    others = [s for s in stats if not isinstance(s, Median)]
+    components = list(minimal_components(others).values()) if others else [minimal_components([Count()])["n"]]
+    state = keyed.groupBy(*grid.dims).agg(*aggregates(components, [F.col(v) for v in grid.values]))
+    both = state.join(medians(keyed, grid.dims, grid.values[0], PREFIX + "median"), list(grid.dims), "left")
+    return both.select(*grid.dims, *[PREFIX + c for c in minimal_components(stats)])
+
+
 def coarsen(state: DataFrame, dims: Sequence[str], extent: Factor | None, window: Factor, stats: Sequence[Statistic], equal: bool = False) -> DataFrame:
     """State of coarser blocks merged from state rows.  extent is that of the finer blocks, or None if
     all rows count; equal: all of them hold equally many cells."""

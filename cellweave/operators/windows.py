@@ -10,10 +10,11 @@ from math import prod
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.statistics import Statistic, named, nan
+from ..functions.statistics import Median, Statistic, named, nan
 from ..plans.lattice import factor_sequence
 from ..sources.grid import Grid
 from .blocks import coarsen, materialize
+from .selection import medians
 from .sliding import WindowConfig, rolling_windows, validate_window_config, window_state
 
 
@@ -22,11 +23,20 @@ def _of(stat: str | Statistic) -> Statistic:
 
 
 def window_stat(df: DataFrame, value: str, stat: str, by: Sequence[str] = ()) -> DataFrame:
-    """One statistic of all rows, or of each group, skipping NaN."""
+    """One statistic of all rows, or of each group, skipping NaN.
+
+    Groups may be of any size: medians are selected in rounds (``selection``), and groups of NaN alone have NaN."""
     from .blocks import aggregates
 
     s = _of(stat)
     v = F.nanvl(F.col(value).cast("double"), F.lit(None))
+    if isinstance(s, Median):
+        found = medians(df.select(*by, v.alias("__value")), by, "__value", s.name)
+        every = df.select(*by, F.lit(0).alias("__one")).groupBy(*by).agg(F.count("__one").alias("__rows"))
+        if not by:
+            return every.withColumn("__one", F.lit(0)).join(found.withColumn("__one", F.lit(0)), "__one", "left").select(F.coalesce(s.name, nan()).alias(s.name))
+        both = every.join(found, reduce(Column.__and__, [every[c].eqNullSafe(found[c]) for c in by]), "left")
+        return both.select(*[every[c] for c in by], F.coalesce(found[s.name], nan()).alias(s.name))
     return materialize(df.groupBy(*by).agg(*aggregates(s.components(), [v])), by, [s])
 
 

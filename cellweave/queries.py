@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 from functools import reduce
@@ -11,12 +12,15 @@ from pyspark.sql import functions as F
 
 from .api import Sliding, Tower, plan_for, reduce_stats
 from .backends import LazyPlan, map_reduce, resolve_backend
+from .catalogue import IncrementalTower, Lattice
 from .functions.statistics import Count, Cov, Max, Mean, Median, Min, Moments, Std, Sum, Var, geometric_mean, log_sum_exp, total_variation
 from .operators.blocks import base_reduce, check_laws, coarsen, group_reduce, inverse_merge, materialize
 from .operators.labels import blockwise, center_coordinates, resample, rolling, tree_reduce_labelled, window_coordinates
+from .operators.selection import median_scales
 from .operators.sliding import WindowConfig, blockwise_windows, rolling_windows, validate_window_config
 from .operators.windows import blockwise_stats, merge_stats, moment_covariance, moment_variance, multiresolution_stats, product_mean, product_moments, rolling_stats, tiled_stats, tree_reduce, tree_reduce_variance, window_stat
 from .sources.grid import Grid, gather, rechunk, scatter
+from .storage import shared_folder
 from .streaming import windowed_state
 from .tiles import Tiles
 
@@ -754,6 +758,45 @@ def tower_sparse_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("f_l_orderkey", "l_orderkey", "count", *[(F.round(c, d) + 0.0).alias(c) for c, d in (("sum", 2), ("std", 6), ("max", 2))])
 
 
+@_query(f"WITH {_E}, {_X} " + " UNION ALL ".join(f"SELECT CAST({f} AS BIGINT) AS f_i, CAST(64 AS BIGINT) AS f_j, * FROM ({_blocks(f, 64, _r('median(v)') + ' AS median')})" for f in (50, 100, 500)))
+def median_scales_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians of thousands of cells at three scales, selected in the same rounds of histograms."""
+    return rounded(median_scales(embeddings(spark, sf_dir), [(50, 64), (100, 64), (500, 64)]))
+
+
+@_query(f"SELECT l_linestatus, {_r('median(l_extendedprice * (1 - l_discount) - 20000)', 6)} AS median FROM lineitem GROUP BY 1 UNION ALL SELECT NULL, {_r('median(l_extendedprice * (1 - l_discount) - 20000)', 6)} FROM lineitem")
+def median_of_large_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selection among values of both signs, by group and over the whole table."""
+    price = F.col("l_extendedprice").cast("double") * (1 - F.col("l_discount").cast("double")) - 20000
+    rows = _read(spark, sf_dir, "lineitem").select("l_linestatus", price.alias("price"))
+    whole = window_stat(rows, "price", "median").select(F.lit(None).cast("string").alias("l_linestatus"), "median")
+    return rounded(window_stat(rows, "price", "median", ["l_linestatus"]).unionByName(whole), 6)
+
+
+def _kept(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/cellweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+@_query(_line_scales([10, 50, 250], "events", "event_id", f"count(*) AS count, {_r('avg(value)', 7)} AS mean, {_r(_sample('var_samp', 'value'), 6)} AS var, {_r('max(value)', 7)} AS max", "x AS (SELECT max(event_id) + 1 AS n FROM events)"))
+def incremental_tower_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in four batches, each merged into the parts of the tower that it touches."""
+    g = events(spark, sf_dir)
+    tower = IncrementalTower(_kept(spark, "tower"), g.dims, g.extent, [10, 50, 250], [Count(), Mean(), Var(), Max()], g.values)
+    for k in range(4):
+        tower(g.df.where(F.expr("event_id div 300") % 4 == k), k)
+    df = tower.result(spark)
+    return df.select("f_event_id", "event_id", "count", *[(F.round(c, d) + 0.0).alias(c) for c, d in (("mean", 7), ("var", 6), ("max", 7))])
+
+
+@_query(_scales([(2, 4), (4, 4), (8, 16)], _MV))
+def stored_lattice_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scales merged from the stored state of an earlier request instead of the cells."""
+    g = embeddings(spark, sf_dir)
+    lattice = Lattice(spark, _kept(spark, "lattice"))
+    first = lattice.reduce_stats(g, [(2, 4)], [Mean(), Var(), Count()]).to_dataframe().drop("count")
+    return rounded(first.unionByName(lattice.reduce_stats(g, [(4, 4), (8, 16)]).to_dataframe()))
+
+
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     return tower_mean_var_2d(spark, sf_dir)
 
