@@ -10,6 +10,7 @@ _EXPORTS = {
     ".api": "MultiResResult Sliding Tower plan_for reduce_stats",
     ".catalogue": "IncrementalTower Lattice",
     ".backends": "Backend LazyPlan map_reduce resolve_backend",
+    ".chunks": "Chunks",
     ".functions": "Count Cov CustomStatistic Max Mean Median Min Moments PairwiseStatistic Product Statistic Std Sum Var subsumes",
     ".operators.blocks": "base_reduce check_laws check_merge coarsen group_reduce inverse_merge materialize run_plan",
     ".operators.labels": "blockwise center_coordinates preserve_metadata resample rolling tree_reduce_labelled window_coordinates",
@@ -18,6 +19,7 @@ _EXPORTS = {
     ".operators.windows": "blockwise_stats merge_stats multiresolution_stats product_mean product_moments rolling_stats tiled_stats tree_reduce tree_reduce_variance window_stat",
     ".plans": "ReductionPlan ReductionStep factor_sequence reachable_factors solver_plan tower_plan",
     ".sources": "Grid gather rechunk scatter",
+    ".sources.layout": "read_tiled scatter_along_curve write_tiled",
     ".tiles": "Tiles",
     ".streaming": "IncrementalState windowed_state",
 }

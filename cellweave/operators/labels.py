@@ -137,17 +137,12 @@ _CALENDAR = {"ms": (1, "start"), "qs": (3, "start"), "ys": (12, "start"), "m": (
 
 
 def calendar_of(freq: str) -> tuple[int, str] | None:
-    """(months, start or end) of a calendar frequency such as 1M, MS or QS; None of any other.
-
-    Several months, quarters or years are only counted from their start."""
+    """(months, start or end) of a calendar frequency such as 1M, 2QE or QS; None of any other."""
     m = re.fullmatch(r"\s*(\d*)\s*(ms|qs|ys|me|qe|ye|m|q|y)\s*", freq.lower())
     if not m or m[1] == "0":
         return None
     months, label = _CALENDAR[m[2]]
-    times = int(m[1] or 1)
-    if times > 1 and label == "end":
-        raise ValueError(f"bins of several periods are named after their start: {freq!r}")
-    return months * times, label
+    return months * int(m[1] or 1), label
 
 
 def _binned(df: DataFrame, time: str, freq: str) -> tuple[DataFrame, Callable[[Column], Column], int]:
@@ -165,21 +160,24 @@ def _binned(df: DataFrame, time: str, freq: str) -> tuple[DataFrame, Callable[[C
     months, label = calendar
     month = (F.year(time) * 12 + F.month(time) - 1).cast("long")
     first = lambda k: F.make_date((F.floor(k / 12)).cast("int"), (F.pmod(k, F.lit(12)) + 1).cast("int"), F.lit(1))
-    if label == "end":
+    unit = 12 if re.search(r"y[es]?\s*$", freq.lower()) else 3 if re.search(r"q[es]?\s*$", freq.lower()) else 1
+    if label == "end" and months == unit:
         return known.withColumn("__bin", (F.floor(month / months) * months).cast("long")), lambda k: F.last_day(F.add_months(first(k), months - 1)).cast("timestamp"), months
     if months % 3 == 0 and months in (3, 12) or months == 1:
         return known.withColumn("__bin", (F.floor(month / months) * months).cast("long")), lambda k: first(k).cast("timestamp"), months
-    # several periods are counted from the first row's
-    unit = 12 if months % 12 == 0 else 3 if freq.lower().strip().endswith("qs") else 1
+    # several periods are counted from the first row's: it begins the first bin, or ends it where bins are named after their end
     origin = known.agg(F.min(F.floor(month / unit) * unit).cast("long").alias("__origin"))
-    return known.crossJoin(F.broadcast(origin)).withColumn("__bin", (F.floor((month - F.col("__origin")) / months) * months + F.col("__origin")).cast("long")).drop("__origin"), lambda k: first(k).cast("timestamp"), months
+    away = F.floor(month / unit) * unit - F.col("__origin")
+    number = F.ceil(away / months) if label == "end" else F.floor(away / months)
+    named = (lambda k: F.last_day(F.add_months(first(k), unit - 1)).cast("timestamp")) if label == "end" else (lambda k: first(k).cast("timestamp"))
+    return known.crossJoin(F.broadcast(origin)).withColumn("__bin", (number * months + F.col("__origin")).cast("long")).drop("__origin"), named, months
 
 
 def resample(df: DataFrame, time: str, value: str, freq: str, stat: str | Statistic, empty: bool = True) -> DataFrame:
     """(bin, value) of time bins.  Those of seconds to days are closed and named at their start and
     counted from midnight of the first day if they divide a day, else from the epoch.  Weeks run from
     Monday to Sunday and are named after the Sunday.  M, Q and Y (with or without E) are named after
-    their last day, MS, QS and YS after the first.  Empty bins between the first and the last have NaN
+    their last day, MS, QS and YS after the first; several of them (2ME, 2QS) are counted from the first row's.  Empty bins between the first and the last have NaN
     (count 0, sum 0)."""
     s = named(stat) if isinstance(stat, str) else stat
     placed, named_at, step = _binned(df, time, freq)

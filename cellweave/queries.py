@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .api import Sliding, Tower, plan_for, reduce_stats
 from .backends import LazyPlan, map_reduce, resolve_backend
 from .catalogue import IncrementalTower, Lattice
+from .chunks import Chunks
 from .functions.statistics import Count, Cov, Max, Mean, Median, Min, Moments, Std, Sum, Var, geometric_mean, log_sum_exp, total_variation
 from .operators.blocks import base_reduce, check_laws, coarsen, group_reduce, inverse_merge, materialize
 from .operators.labels import blockwise, center_coordinates, resample, rolling, tree_reduce_labelled, window_coordinates
@@ -20,6 +21,7 @@ from .operators.selection import median_scales
 from .operators.sliding import WindowConfig, blockwise_windows, rolling_windows, validate_window_config
 from .operators.windows import blockwise_stats, merge_stats, moment_covariance, moment_variance, multiresolution_stats, product_mean, product_moments, rolling_stats, tiled_stats, tree_reduce, tree_reduce_variance, window_stat
 from .sources.grid import Grid, gather, rechunk, scatter
+from .sources.layout import read_tiled, write_tiled
 from .storage import shared_folder
 from .streaming import windowed_state
 from .tiles import Tiles
@@ -797,6 +799,45 @@ def stored_lattice_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(first.unionByName(lattice.reduce_stats(g, [(4, 4), (8, 16)]).to_dataframe()))
 
 
+def _blocks_3d(a: int, b: int, c: int, columns: str) -> str:
+    keys = ", ".join(f"CAST({d} // {f} AS BIGINT) AS {d}" for d, f in (("i", a), ("j0", b), ("j1", c)))
+    factors = ", ".join(f"CAST({f} AS BIGINT) AS f_{d}" for d, f in (("i", a), ("j0", b), ("j1", c)))
+    return f"SELECT {factors}, {keys}, {columns} FROM g, x WHERE i < n // {a} * {a} AND j0 < 8 // {b} * {b} AND j1 < 8 // {c} * {c} GROUP BY ALL"
+
+
+@_query(f"WITH {_E3}, {_X} " + " UNION ALL ".join(_blocks_3d(a, b, c, f"count(*) AS count, {_MV}, {_r('max(v)')} AS max") for a, b, c in ((4, 4, 1), (8, 4, 2), (10, 3, 4))))
+def chunked_scales_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of a field of three dimensions: two scales that they hold, and one whose blocks cross them."""
+    chunks = Chunks.from_grid(embeddings_3d(spark, sf_dir), (64, 4, 4))
+    return rounded(chunks.reduce_stats([(4, 4, 1), (8, 4, 2), (10, 3, 4)], [Count(), Mean(), Var(), Max()]).to_dataframe())
+
+
+@_query(f"WITH {_P}, {_X} " + " UNION ALL ".join(f"SELECT CAST({a} AS BIGINT) AS f_i, CAST({b} AS BIGINT) AS f_j, * FROM ({_blocks(a, b, _r('covar_samp(x, y)') + ' AS cov', 'p')})" for a, b in ((5, 4), (12, 10))))
+def chunked_cov_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fields in chunks; pieces of blocks that cross them are merged by their counts."""
+    return rounded(Chunks.from_grid(mirrored_pair(spark, sf_dir), (40, 16)).reduce_stats([(5, 4), (12, 10)], [Cov()]).to_dataframe())
+
+
+@_query(f"WITH {_E}, {_X} {_slid(21, 9, 2, 1, 3, 0, _MV + ', ' + _r('min(v)') + ' AS min')}")
+def chunk_borders_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping windows over chunks, to which only the borders of the next chunks come."""
+    return rounded(Chunks.from_grid(embeddings(spark, sf_dir), (50, 16)).sliding(Sliding((21, 9), (2, 1), (3, 0)), [Mean(), Var(), Min()]))
+
+
+@_query(f"WITH {_E}, {_X}, k AS (SELECT i AS a, j AS b FROM e WHERE i % 25 = 0) SELECT CAST(a // 25 AS BIGINT) AS i, CAST(b AS BIGINT) AS j, {_r('avg(v)')} AS mean FROM k, x JOIN e ON (e.i - a + n) % n < 10 AND (e.j - b + 64) % 64 < 5 GROUP BY a, b")
+def chunk_borders_periodic_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that wrap round both ends of both dimensions."""
+    return rounded(Chunks.from_grid(embeddings(spark, sf_dir), (50, 16)).sliding(Sliding((10, 5), (25, 1)), [Mean()], periodic=True))
+
+
+@_query(f"WITH {_E} SELECT CAST(i // 8 AS BIGINT) AS i, CAST(j // 8 AS BIGINT) AS j, {_MV} FROM e WHERE i >= 96 AND i < 304 AND j >= 16 AND j < 48 GROUP BY ALL")
+def tiled_box_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box of a field stored in tiles along a space-filling curve: other tiles' folders aren't read."""
+    path = _kept(spark, "tiled")
+    write_tiled(embeddings(spark, sf_dir), path, (32, 16))
+    return rounded(reduce_stats(read_tiled(spark, path, (96, 16), (304, 48)), 8)[8, 8])
+
+
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     return tower_mean_var_2d(spark, sf_dir)
 

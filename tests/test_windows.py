@@ -156,12 +156,12 @@ def test_resample_by_the_calendar(spark):
     times = pd.date_range("2019-11-20 05:00", periods=300, freq="37h").delete(slice(60, 140))
     series = pd.Series(np.arange(len(times), dtype=float), index=times)
     df = spark.createDataFrame([(str(t), float(v)) for t, v in series.items()], "t string, v double").select(F.col("t").cast("timestamp").alias("time"), "v")
-    for freq, pandas_freq in (("1M", "ME"), ("MS", "MS"), ("2MS", "2MS"), ("W", "W"), ("QS", "QS"), ("Q", "QE"), ("Y", "YE"), ("YS", "YS")):
+    for freq, pandas_freq in (("1M", "ME"), ("MS", "MS"), ("2MS", "2MS"), ("W", "W"), ("QS", "QS"), ("Q", "QE"), ("Y", "YE"), ("YS", "YS"), ("2M", "2ME"), ("5ME", "5ME"), ("2Q", "2QE"), ("3QE", "3QE"), ("2Y", "2YE"), ("2QS", "2QS"), ("2YS", "2YS")):
         want = series.resample(pandas_freq).sum()
         got = {r.bin: r.value for r in resample(df, "time", "v", freq, "sum").select(F.date_format("bin", "yyyy-MM-dd").alias("bin"), "value").collect()}
         assert got == {f"{t:%Y-%m-%d}": v for t, v in want.items()}, freq
     with pytest.raises(ValueError):
-        resample(df, "time", "v", "2M", "sum")
+        resample(df, "time", "v", "0M", "sum")
 
 
 def test_movement_and_backends(spark):
