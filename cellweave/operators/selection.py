@@ -1,9 +1,10 @@
 """Exact medians by selection on histograms, in memory that doesn't grow with the group.
 
 A round counts the values of every group by an order-preserving digit, combined before the shuffle, and finds the
-digit that holds the middle; the next round looks only at the values in it.  The first digit of a wide range is sign and
-power of two; within one power of two digits part the range evenly.  A digit's own least and greatest values bound
-the next round, so each round parts what is left, and at most six are needed for doubles.  A group
+digit that holds the middle; the next round looks only at the values in it.  Digits part the range evenly in the first round, which is
+mostly enough to leave a few values; after it, those of a wide range are sign and power of two, and those
+within one power of two part it evenly.  A digit's own least and greatest values bound
+the next round, so each round parts what is left, and at most seven are needed for doubles.  A group
 takes at most as many rows as there are digits, however many values it has; groups of any number, of all blocks
 and scales, go through the rounds together.
 
@@ -53,14 +54,14 @@ def medians(rows: DataFrame, by: Sequence[str], value: str, name: str = "median"
         n = wanted.count()
         if not n:
             break
-        wanted = settled(_narrowed(cells, wanted, keys, n <= MAX_BROADCAST))
+        wanted = settled(_narrowed(cells, wanted, keys, n <= MAX_BROADCAST, len(done) == 1))
     both = reduce(DataFrame.unionByName, done)
     ends = [F.max(F.when(F.col("__side") == k, F.col("__low"))) for k in (0, 1)]
     middle = F.when(ends[0] == ends[1], ends[0]).otherwise(ends[0] + (ends[1] - ends[0]) * 0.5)
     return both.groupBy(*keys).agg(middle.alias(name)).select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=False)], name)
 
 
-def _narrowed(cells: DataFrame, wanted: DataFrame, keys: Sequence[str], few: bool) -> DataFrame:
+def _narrowed(cells: DataFrame, wanted: DataFrame, keys: Sequence[str], few: bool, first: bool = False) -> DataFrame:
     """One round: of every wanted place the digit that holds it, as the next bracket."""
     bracket = [*keys, "__low", "__high"]
 
@@ -75,6 +76,8 @@ def _narrowed(cells: DataFrame, wanted: DataFrame, keys: Sequence[str], few: boo
     inside = cells.join(known(wanted.select(*bracket).distinct()), same(keys) & (v >= F.col("__low_of")) & (v <= F.col("__high_of")))
     inside = inside.select(*keys, F.col("__low_of").alias("__low"), F.col("__high_of").alias("__high"), "__v")
     near = _power(low) == _power(high)
+    if first:
+        near = near | (F.abs(high - low) < float("inf"))
     width = F.when(near, high - low)
     part = F.least(F.floor((v - low) / F.when(width > 0, width) * PARTS).cast("int"), F.lit(PARTS - 1))
     digits = inside.withColumn("__digit", F.when(near, part).otherwise(_power(v)))

@@ -27,7 +27,8 @@ _SUPPORTED = ("count", "sum", "mean", "var", "var_pop", "std", "std_pop", "min",
 
 @dataclass(frozen=True)
 class Tiles:
-    """``df`` has slab (BIGINT) and data (ARRAY<DOUBLE>, rows of ``extent[1]`` values)."""
+    """``df`` has slab (BIGINT) and data: rows of ``extent[1]`` values, as ARRAY<DOUBLE> or as BINARY (float64 in the
+    machine's order), which Spark hands over without a look at each value."""
 
     df: DataFrame
     extent: Factor
@@ -50,10 +51,10 @@ class Tiles:
             for batch in batches:
                 for slab in batch.column(0).to_pylist():
                     n = min(height, rows - slab * height) * width
-                    values = pa.array(np.random.default_rng([seed, slab]).standard_normal(n))
-                    yield pa.RecordBatch.from_arrays([pa.array([slab], pa.int64()), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), values)], names=["slab", "data"])
+                    values = np.random.default_rng([seed, slab]).standard_normal(n)
+                    yield pa.RecordBatch.from_arrays([pa.array([slab], pa.int64()), pa.array([memoryview(values).cast("B")], pa.binary())], names=["slab", "data"])
 
-        slabs = spark.range(-(-rows // height)).mapInArrow(make, "slab long, data array<double>")
+        slabs = spark.range(-(-rows // height)).mapInArrow(make, "slab long, data binary")
         return cls(slabs, (rows, width), height)
 
     def plan(self, scales: Tower | Scale | Sequence[Scale]) -> ReductionPlan:
@@ -79,7 +80,7 @@ class Tiles:
             for batch in batches:
                 slabs, lists = batch.column("slab").to_pylist(), batch.column("data")
                 for k, slab in enumerate(slabs):
-                    x = np.asarray(lists[k].values).reshape(-1, width)
+                    x = (np.frombuffer(lists[k].as_buffer(), np.float64) if pa.types.is_binary(lists.type) else np.asarray(lists[k].values)).reshape(-1, width)
                     if len(x) != min(height, n_rows - slab * height):
                         raise ValueError(f"slab {slab} isn't dense")
                     done: list[dict] = []
@@ -98,13 +99,33 @@ class Tiles:
         return TileResult(self.df.mapInArrow(run, schema), plan, names)
 
 
+def _summed(np, x, a: int, b: int):  # noqa: ANN001, ANN202
+    """Sums of blocks of a x b: whole rows are added, then every b-th column."""
+    h, w = x.shape[0] // a, x.shape[1] // b
+    rows = x[: h * a].reshape(h, a, x.shape[1]).sum(1) if a > 1 else x
+    if b > 16:
+        return rows[:, : w * b].reshape(h, w, b).sum(2)
+    out = rows[:, 0 : w * b : b].copy() if b > 1 else rows[:, :w]
+    for k in range(1, b):
+        out += rows[:, k : w * b : b]
+    return out
+
+
+def _less(np, x, mean, a: int, b: int):  # noqa: ANN001, ANN202
+    """Squares of what the values of blocks differ from the blocks' means."""
+    h, w = mean.shape
+    d = x[: h * a, : w * b].reshape(h, a, w * b) - np.repeat(mean, b, axis=1)[:, None, :]
+    d *= d
+    return d.reshape(h * a, w * b)
+
+
 def _base(np, x, factor: Factor, names: Sequence[str]) -> dict:  # noqa: ANN001
     a, b = factor
     h, w = x.shape[0] // a, x.shape[1] // b
-    blocks = x[: h * a, : w * b].reshape(h, a, w, b)
-    state = {"n": a * b, "mean": blocks.mean((1, 3))}
+    state = {"n": a * b, "mean": _summed(np, x, a, b) / (a * b)}
     if any(n.startswith(("var", "std")) for n in names):
-        state["m2"] = ((blocks - state["mean"][:, None, :, None]) ** 2).sum((1, 3))
+        state["m2"] = _summed(np, _less(np, x, state["mean"], a, b), a, b)
+    blocks = x[: h * a, : w * b].reshape(h, a, w, b)
     for n, f in (("min", blocks.min), ("max", blocks.max)):
         if n in names and blocks.size:
             state[n] = f((1, 3))
@@ -118,10 +139,10 @@ def _merged(np, fine: dict, window: Factor) -> dict:  # noqa: ANN001
     def blocks(name: str):  # noqa: ANN202
         return fine[name][: h * a, : w * b].reshape(h, a, w, b)
 
-    mean = blocks("mean").mean((1, 3))
+    mean = _summed(np, fine["mean"], a, b) / (a * b)
     state = {"n": fine["n"] * a * b, "mean": mean}
     if "m2" in fine:
-        state["m2"] = blocks("m2").sum((1, 3)) + fine["n"] * ((blocks("mean") - mean[:, None, :, None]) ** 2).sum((1, 3))
+        state["m2"] = _summed(np, fine["m2"], a, b) + fine["n"] * _summed(np, _less(np, fine["mean"], mean, a, b), a, b)
     if "min" in fine and mean.size:
         state["min"] = blocks("min").min((1, 3))
     if "max" in fine and mean.size:

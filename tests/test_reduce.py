@@ -110,6 +110,17 @@ def test_merging_laws_on_sparse_data(spark):
         coarsen(base_reduce(g, (2, 1), [Median()]), g.dims, (12, 6), (2, 1), [Median()])
 
 
+def test_broken_laws_are_told(spark):
+    from pyspark.sql import functions as F
+
+    from cellweave import CustomStatistic
+
+    g = Grid.from_numpy(spark, RNG.standard_normal((24, 12)) + 3)
+    broken = CustomStatistic("mean_of_means", {"m": lambda v: F.avg(v)}, {"m": lambda s: F.avg(s("m"))}, lambda s: s("m"))
+    laws = check_laws(g, (6, 6), [broken])
+    assert laws["identity"] and laws["commutativity"] and not laws["associativity"] and not laws["homomorphism"]
+
+
 def test_inverse_merge(spark):
     x = RNG.standard_normal(60)
     g = Grid.from_numpy(spark, x)
