@@ -33,6 +33,41 @@ def test_bundles_equal_a_plain_sum_over_ngrams():
         assert np.array_equal(v, want)
 
 
+def test_query_equals_plain_profiles(spark, tmp_path):
+    """op1 against profiles that are summed letter by letter, from the rows that the query may learn from."""
+    import zlib
+
+    from cellweave.llm.queries import QUERIES
+
+    rows = [*texts_of(5, 24), (100, None, "aa"), (101, "12 !", "bb"), (102, "abc", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    d = language.DIMENSIONS
+
+    def bundle(text):
+        s = " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split())
+        s = f" {s} " if s else ""
+        out = np.zeros(d)
+        for i in range(len(s) - 2):
+            a, b, c = (np.roll(language.letter_vectors(np.array([0 if x == " " else ord(x)]), d)[0].astype(float), 2 - j) for j, x in enumerate(s[i : i + 3]))
+            out += a * b * c
+        return out
+
+    unit = lambda v: v / np.linalg.norm(v) if np.linalg.norm(v) else v
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in rows}
+    names = sorted({lang for i, t, lang in rows if not held[i] and lang and np.any(bundle(t))})
+    prototypes = [unit(sum(unit(bundle(t)) for i, t, lang in rows if lang == name and t is not None and not held[i])) for name in names]
+    mean = np.mean(prototypes, axis=0)
+    centred = [unit(p - mean) for p in prototypes]
+    got = {r.doc_id: r for r in QUERIES["op1_profiles"](spark, f"file://{tmp_path}").collect()}
+    assert len(got) == len(rows) and any(held.values())
+    for i, text, _ in rows:
+        v = bundle(text)
+        cosine = [unit(unit(v) - mean) @ p for p in centred]
+        assert got[i].held_out == held[i]
+        assert got[i].lang_pred == (names[int(np.argmax(cosine))] if v.any() else "und")
+        assert np.isclose(got[i].score, max(0.0, max(cosine)) if v.any() else 0.0, atol=1e-4)
+
+
 def test_held_out_accuracy_and_edge_cases(spark):
     train = spark.createDataFrame(texts_of(1), "doc_id long, text string, lang string")
     profiles = language.learn(train)
