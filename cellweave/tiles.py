@@ -21,6 +21,8 @@ from .functions.statistics import Mean, Statistic, Var
 from .plans.lattice import Factor, factor_shape
 from .plans.planner import ReductionPlan
 
+#: Bytes of a slab, at most.
+MAX_SLAB_BYTES = 64 << 20
 #: Statistics that the kernel has: the name decides the formula.
 _SUPPORTED = ("count", "sum", "mean", "var", "var_pop", "std", "std_pop", "min", "max")
 
@@ -57,6 +59,10 @@ class Tiles:
         slabs = spark.range(-(-rows // height)).mapInArrow(make, "slab long, data binary")
         return cls(slabs, (rows, width), height)
 
+    def __post_init__(self) -> None:
+        if self.height * self.extent[1] * 8 > MAX_SLAB_BYTES:
+            raise ValueError(f"a slab of {self.height} rows of {self.extent[1]} takes over {MAX_SLAB_BYTES} bytes; chunks cut both dimensions")
+
     def plan(self, scales: Tower | Scale | Sequence[Scale]) -> ReductionPlan:
         plan = plan_for(self.extent, scales)
         tallest = lcm(*[s.factor[0] for s in plan.steps])
