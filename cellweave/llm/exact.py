@@ -88,10 +88,13 @@ class Deduplicator:
     def groups(self) -> DataFrame:
         """digest, n, keep_id, keep_file, keep_row of every digest that came more than once, as the state has it now."""
         last = F.max(F.struct("n", "keep_id", "keep_file", "keep_row")).alias("now")
+        kind = "digest binary, n long, keep_id long, keep_file string, keep_row long"
         try:
-            found = self.spark.read.parquet(f"{self.state}/hits")
-        except AnalysisException:  # no batch so far
-            found = self.spark.createDataFrame([], "digest binary, n long, keep_id long, keep_file string, keep_row long")
+            found = self.spark.read.schema(kind).parquet(f"{self.state}/hits")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            found = self.spark.createDataFrame([], kind)  # no batch so far
         return found.groupBy("digest").agg(last).select("digest", "now.*")
 
     def refuted(self, groups: DataFrame) -> DataFrame:
