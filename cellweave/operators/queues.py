@@ -18,6 +18,7 @@ binary expansion of the size are put together in order, so that a merge need not
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,15 +94,18 @@ def _queued(rows: DataFrame, dims: Sequence[str], d: str, n: int, w: int, s: int
     grow = (Window.unboundedPreceding, Window.currentRow)
     ahead, back = line.orderBy("__e"), line.orderBy(F.desc("__e"))
 
-    def over(name: str, c: Component, frame) -> Column:  # noqa: ANN001
-        if values is not None:
-            return c.lift(values).over(frame)
-        if digits and (name in SPREADS or name in ("mean", "mean_y")):
-            return _weighted(name, frame, digits)
-        return _even(name, c, frame)
-
-    states = {f"__{side}_{name}": over(name, c, w_.rangeBetween(*grow)) for name, c in components.items() for side, w_ in (("p", ahead), ("s", back))}
-    rows = rows.select(*others, "__bucket", "__block", "__e", F.lag("__e").over(ahead).alias("__before"), F.lead("__e").over(ahead).alias("__after"), *[e.alias(k) for k, e in states.items()])
+    framed: dict[str, Column] = {}  # what frames give, each once
+    finished: list[dict[str, Column]] = []
+    for side, frame in (("p", ahead.rangeBetween(*grow)), ("s", back.rangeBetween(*grow))):
+        if values is not None or not digits:
+            framed |= {f"__{side}_{name}": (c.lift(values).over(frame) if values is not None else _even(name, c, frame)) for name, c in components.items()}
+        else:
+            parts, means, spreads = _weighted(components, side, frame, digits)
+            framed |= parts
+            finished += [means, spreads]
+    rows = rows.select(*others, "__bucket", "__block", "__e", F.lag("__e").over(ahead).alias("__before"), F.lead("__e").over(ahead).alias("__after"), *[e.alias(k) for k, e in framed.items()])
+    for columns in finished:
+        rows = rows.withColumns(columns)
     # windows that start at this cell, or at places without one before it in the block
     block = F.col("__block") * w
     since = F.coalesce(F.col("__before") + 1, block)
@@ -137,34 +141,34 @@ def _even(name: str, c: Component, frame) -> Column:  # noqa: ANN001
     return c.merge(s, ANY).over(frame)
 
 
-def _weighted(name: str, frame, digits: int) -> Column:  # noqa: ANN001
-    """The same for counts of so many binary digits: rows of a digit weigh the same."""
-    s = state_column
-
-    def parts(m: str) -> list[tuple[Column, Column]]:
-        """(cells, mean) of each digit."""
-        has = [F.getbit(s("n").cast("long"), F.lit(b)) == 1 for b in range(digits)]
-        return [(F.count(F.when(h, F.lit(1))).over(frame) * float(1 << b), F.coalesce(F.avg(F.when(h, s(m))).over(frame), F.lit(0.0))) for b, h in enumerate(has)]
-
-    def mean(m: str) -> Column:
-        total = F.sum(s("n")).over(frame)
-        own = parts(m)
-        summed = own[0][0] * own[0][1]
-        for cells, x in own[1:]:
-            summed = summed + cells * x
-        return F.when(total > 0, summed / F.when(total > 0, total))
-
-    if name not in SPREADS:
-        return mean(name)
-    a, b = SPREADS[name]
-    out = F.sum(s(name)).over(frame)
-    mean_a, mean_b = mean(a), mean(b)
-    for digit, ((cells, x), (_, y)) in enumerate(zip(parts(a), parts(b), strict=True)):
-        has = F.getbit(s("n").cast("long"), F.lit(digit)) == 1
-        u, v = F.when(has, s(a)), F.when(has, s(b))
-        between = F.regr_sxx(u, u) if a == b else F.regr_sxy(v, u)
-        out = out + float(1 << digit) * F.coalesce(between.over(frame), F.lit(0.0)) + F.coalesce(cells * (x - mean_a) * (y - mean_b), F.lit(0.0))
-    return out
+def _weighted(components: dict[str, Component], side: str, frame, digits: int) -> tuple[dict[str, Column], dict[str, Column], dict[str, Column]]:  # noqa: ANN001
+    """The same for counts of so many binary digits, whose rows weigh the same: what frames give, and
+    from it the means and the spreads."""
+    s, at = state_column, lambda name: f"__{side}_{name}"
+    means = [m for m in ("mean", "mean_y") if m in components]
+    own = [c for c in SPREADS if c in components]
+    parts = {at(name): _even(name, c, frame) for name, c in components.items() if name not in means and name not in own}
+    parts |= {at(f"{c}_sum"): F.sum(s(c)).over(frame) for c in own}
+    for b in range(digits if means else 0):
+        has = F.getbit(s("n").cast("long"), F.lit(b)) == 1
+        parts[at(f"cells_{b}")] = F.count(F.when(has, F.lit(1))).over(frame) * float(1 << b)
+        parts |= {at(f"{m}_{b}"): F.coalesce(F.avg(F.when(has, s(m))).over(frame), F.lit(0.0)) for m in means}
+        for c in own:
+            u, v = (F.when(has, s(m)) for m in SPREADS[c])
+            between = F.regr_sxx(u, u) if len(set(SPREADS[c])) == 1 else F.regr_sxy(v, u)
+            parts[at(f"{c}_{b}")] = F.coalesce(between.over(frame), F.lit(0.0)) * float(1 << b)
+
+    def added(terms: Sequence[Column]) -> Column:
+        return reduce(Column.__add__, terms)
+
+    total = added([F.col(at(f"cells_{b}")) for b in range(digits)]) if means else None
+    mean = {at(m): added([F.col(at(f"cells_{b}")) * F.col(at(f"{m}_{b}")) for b in range(digits)]) / F.when(total > 0, total) for m in means}
+
+    def off(m: str, b: int) -> Column:
+        return F.col(at(f"{m}_{b}")) - F.col(at(m))
+
+    spread = {at(c): F.col(at(f"{c}_sum")) + added([F.col(at(f"{c}_{b}")) + F.coalesce(F.col(at(f"cells_{b}")) * off(SPREADS[c][0], b) * off(SPREADS[c][1], b), F.lit(0.0)) for b in range(digits)]) for c in own}
+    return parts, mean, spread
 
 
 def _doubled(rows: DataFrame, dims: Sequence[str], d: str, n: int, w: int, s: int, first: int, components: dict[str, Component], values: Sequence[Column] | None) -> DataFrame:

@@ -783,7 +783,7 @@ def _kept(spark: SparkSession, name: str) -> str:
 def incremental_tower_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events in four batches, each merged into the parts of the tower that it touches."""
     g = events(spark, sf_dir)
-    tower = IncrementalTower(_kept(spark, "tower"), g.dims, g.extent, [10, 50, 250], [Count(), Mean(), Var(), Max()], g.values)
+    tower = IncrementalTower(_kept(spark, "tower"), g.dims, g.extent, [10, 50, 250], [Count(), Mean(), Var(), Max()], g.values, boxes=20)
     for k in range(4):
         tower(g.df.where(F.expr("event_id div 300") % 4 == k), k)
     df = tower.result(spark)
