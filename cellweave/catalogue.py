@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import reduce
 from math import ceil, lcm, prod
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +18,10 @@ from .plans.lattice import Factor, divides, factor_shape, factor_window
 from .sources.grid import Grid
 
 
+#: Parts up to which their list (16 bytes each) is broadcast; beyond they are joined.
+MAX_BROADCAST = 1_000_000
+
+
 class _Folder:
     """The few operations on the shared file system that stored state needs."""
 
@@ -74,8 +77,12 @@ class IncrementalTower:
 
     def _now(self, spark: SparkSession, versions: Sequence[tuple[int, int]]) -> DataFrame:
         """part, version: where each part's state is."""
-        lists = [spark.read.schema("part long").parquet(f"{self.path}/parts/v{v}-batch{b}").withColumn("version", F.lit(v).cast("long")) for v, b in versions]
-        return reduce(DataFrame.unionByName, lists).groupBy("part").agg(F.max("version").alias("version"))
+        lists = spark.read.schema("part long, version long").parquet(*[f"{self.path}/parts/v{v}-batch{b}" for v, b in versions])
+        return lists.groupBy("part").agg(F.max("version").alias("version"))
+
+    def _listed(self, parts: DataFrame) -> DataFrame:
+        """Parts for a join: broadcast, so that other folders aren't read, where the extent has few enough of them."""
+        return F.broadcast(parts) if prod(ceil(x / p) for x, p in zip(self.extent, self.part, strict=True)) <= MAX_BROADCAST else parts
 
     def _state(self, spark: SparkSession, parts: DataFrame | None = None) -> DataFrame | None:
         """The state of all parts, or of those listed: only their folders are read."""
@@ -84,9 +91,9 @@ class IncrementalTower:
             return None
         now = self._now(spark, versions)
         if parts is not None:
-            now = now.join(F.broadcast(parts), "part", "left_semi")
+            now = now.join(self._listed(parts), "part", "left_semi")
         kept = spark.read.parquet(f"{self.path}/state")
-        return kept.join(F.broadcast(now), ["part", "version"], "left_semi").drop("version")
+        return kept.join(self._listed(now), ["part", "version"], "left_semi").drop("version")
 
     def update(self, cells: DataFrame, batch: int = -1) -> None:
         spark = cells.sparkSession
@@ -108,7 +115,7 @@ class IncrementalTower:
         folder.delete(f"state/version={version}")
         new.repartition("part").write.partitionBy("part").parquet(f"{self.path}/state/version={version}")
         folder.delete(f"parts/{name}")
-        touched.coalesce(1).write.parquet(f"{self.path}/parts/{name}")
+        touched.select("part", F.lit(version).cast("long").alias("version")).coalesce(1).write.parquet(f"{self.path}/parts/{name}")
         folder.delete(f"new/{name}")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
