@@ -69,16 +69,21 @@ class IncrementalTower:
             out = out * ceil(x / p) + F.floor(F.col(d) / blocks).cast("long")
         return out.alias("part")
 
-    def _versions(self, spark: SparkSession) -> list[tuple[int, int]]:
-        """(version, batch) of what counts, oldest first."""
+    def _lists(self, spark: SparkSession) -> list[tuple[int, int, str]]:
+        """(version, batch, name) of the lists that count, oldest first: the last summary and what came after it."""
         folder = _Folder(spark, self.path)
-        found = [re.fullmatch(r"v(\d+)-batch(-?\d+)", n) for n in folder.names("parts")]
-        return sorted((int(m[1]), int(m[2])) for m in found if m and folder.whole(f"parts/{m[0]}"))
+        found = [re.fullmatch(r"(v|upto)(\d+)-batch(-?\d+)", n) for n in folder.names("parts")]
+        lists = sorted((int(m[2]), m[1] == "upto", int(m[3]), m[0]) for m in found if m and folder.whole(f"parts/{m[0]}"))
+        summary = max((k for k, x in enumerate(lists) if x[1]), default=0)
+        return [(version, batch, name) for version, _, batch, name in lists[summary:]]
+
+    def _versions(self, spark: SparkSession) -> list[tuple[int, int]]:
+        return [(version, batch) for version, batch, _ in self._lists(spark)]
 
-    def _now(self, spark: SparkSession, versions: Sequence[tuple[int, int]]) -> DataFrame:
+    def _now(self, spark: SparkSession, lists: Sequence[tuple[int, int, str]]) -> DataFrame:
         """part, version: where each part's state is."""
-        lists = spark.read.schema("part long, version long").parquet(*[f"{self.path}/parts/v{v}-batch{b}" for v, b in versions])
-        return lists.groupBy("part").agg(F.max("version").alias("version"))
+        read = spark.read.schema("part long, version long").parquet(*[f"{self.path}/parts/{name}" for _, _, name in lists])
+        return read.groupBy("part").agg(F.max("version").alias("version"))
 
     def _listed(self, parts: DataFrame) -> DataFrame:
         """Parts for a join: broadcast, so that other folders aren't read, where the extent has few enough of them."""
@@ -86,10 +91,10 @@ class IncrementalTower:
 
     def _state(self, spark: SparkSession, parts: DataFrame | None = None) -> DataFrame | None:
         """The state of all parts, or of those listed: only their folders are read."""
-        versions = self._versions(spark)
-        if not versions:
+        lists = self._lists(spark)
+        if not lists:
             return None
-        now = self._now(spark, versions)
+        now = self._now(spark, lists)
         if parts is not None:
             now = now.join(self._listed(parts), "part", "left_semi")
         kept = spark.read.parquet(f"{self.path}/state")
@@ -124,15 +129,25 @@ class IncrementalTower:
             self.update(batch, batch_id)
 
     def vacuum(self, spark: SparkSession) -> None:
-        """Deletes versions of which no part is current; their lists stay."""
-        versions = self._versions(spark)
-        if versions:
-            used = {r.version for r in self._now(spark, versions).select("version").distinct().collect()}
-            folder = _Folder(spark, self.path)
-            for name in folder.names("state"):
-                m = re.fullmatch(r"version=(\d+)", name)
-                if m and int(m[1]) <= versions[-1][0] and int(m[1]) not in used:
-                    folder.delete(f"state/{name}")
+        """Writes the lists of all versions so far as one, and deletes them and the versions of which no part is current."""
+        lists = self._lists(spark)
+        if not lists:
+            return
+        folder = _Folder(spark, self.path)
+        last, batch, summary = lists[-1]
+        if len(lists) > 1:
+            summary = f"upto{last}-batch{batch}"
+            folder.delete(f"parts/{summary}")
+            self._now(spark, lists).coalesce(1).write.parquet(f"{self.path}/parts/{summary}")
+        used = {r.version for r in spark.read.schema("version long").parquet(f"{self.path}/parts/{summary}").distinct().collect()}
+        for name in folder.names("parts"):
+            m = re.fullmatch(r"(?:v|upto)(\d+)-batch-?\d+", name)
+            if m and int(m[1]) <= last and name != summary:
+                folder.delete(f"parts/{name}")
+        for name in folder.names("state"):
+            m = re.fullmatch(r"version=(\d+)", name)
+            if m and int(m[1]) <= last and int(m[1]) not in used:
+                folder.delete(f"state/{name}")
 
     def result(self, spark: SparkSession) -> DataFrame:
         """Values of all scales: f_<dim>, dims, statistics."""

@@ -50,6 +50,28 @@ def test_a_batch_rewrites_the_parts_it_touches_once(spark, tmp_path):
     same(table(make().result(spark)), table(reduce_stats(want, Tower(2, 2, 8), STATS).to_dataframe()))
 
 
+def test_batches_go_on_after_their_lists_became_one(spark, tmp_path, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(64, 8))
+    g = Grid.from_numpy(spark, x)
+    make = lambda: IncrementalTower(f"file://{tmp_path}/t", g.dims, g.extent, [4, 8], STATS)
+    lists = lambda: sorted(os.path.basename(p) for p in glob.glob(f"{tmp_path}/t/parts/*"))
+    make()(g.df.where("d0 < 40"), 0)
+    make()(g.df.where("d0 >= 40 and d1 < 3"), 1)
+    make().vacuum(spark)
+    assert lists() == ["upto2-batch1"]
+    make()(g.df, 1)  # taken before
+    monkeypatch.setattr("cellweave.catalogue.MAX_BROADCAST", 0)  # as with more parts than are broadcast
+    make()(g.df.where("d0 >= 40 and d1 >= 3"), 5)
+    assert lists() == ["upto2-batch1", "v3-batch5"] and make()._versions(spark) == [(2, 1), (3, 5)]
+    got = table(make().result(spark))
+    same(got, table(reduce_stats(g, [4, 8], STATS).to_dataframe()))
+    make().vacuum(spark)
+    assert lists() == ["upto3-batch5"] and [os.path.basename(p) for p in sorted(glob.glob(f"{tmp_path}/t/state/*"))] == ["version=1", "version=3"]
+    assert table(make().result(spark)) == got
+    make().vacuum(spark)
+    assert lists() == ["upto3-batch5"]
+
+
 def test_an_update_that_failed_is_done_again(spark, tmp_path):
     x = np.random.default_rng(3).normal(size=(32, 16))
     g = Grid.from_numpy(spark, x)
