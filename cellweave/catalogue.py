@@ -6,6 +6,7 @@ import re
 from collections.abc import Sequence
 from math import ceil, lcm, prod
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,14 +91,19 @@ class IncrementalTower:
         return F.broadcast(parts) if prod(ceil(x / p) for x, p in zip(self.extent, self.part, strict=True)) <= MAX_BROADCAST else parts
 
     def _state(self, spark: SparkSession, parts: DataFrame | None = None) -> DataFrame | None:
-        """The state of all parts, or of those listed: only their folders are read."""
+        """The state of all parts, or of those listed: only their folders are read.  None if there is none."""
         lists = self._lists(spark)
         if not lists:
             return None
         now = self._now(spark, lists)
         if parts is not None:
             now = now.join(self._listed(parts), "part", "left_semi")
-        kept = spark.read.parquet(f"{self.path}/state")
+        try:
+            kept = spark.read.parquet(f"{self.path}/state")
+        except AnalysisException as e:
+            if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            return None  # no batch had a cell
         return kept.join(self._listed(now), ["part", "version"], "left_semi").drop("version")
 
     def update(self, cells: DataFrame, batch: int = -1) -> None:
@@ -153,7 +159,7 @@ class IncrementalTower:
         """Values of all scales: f_<dim>, dims, statistics."""
         state = self._state(spark)
         if state is None:
-            raise ValueError("no batch yet")
+            raise ValueError("no cells yet")
         values = materialize(state, [SCALE, *self.dims], self.stats)
         of = [F.element_at(F.array(*[F.lit(s.factor[k]).cast("long") for s in self.plan.steps]), F.col(SCALE) + 1).alias(f"f_{d}") for k, d in enumerate(self.dims)]
         return values.select(*of, *[c for c in values.columns if c != SCALE])

@@ -72,6 +72,21 @@ def test_batches_go_on_after_their_lists_became_one(spark, tmp_path, monkeypatch
     assert lists() == ["upto3-batch5"]
 
 
+def test_batches_without_cells(spark, tmp_path):
+    g = Grid.from_numpy(spark, np.random.default_rng(7).normal(size=(16, 8)))
+    tower = IncrementalTower(f"file://{tmp_path}/t", g.dims, g.extent, [2, 4], STATS)
+    tower(g.df.where("false"), 0)
+    tower.vacuum(spark)
+    with pytest.raises(ValueError, match="no cells yet"):
+        tower.result(spark)
+    tower(g.df.where("d0 < 5"), 1)
+    tower(g.df.where("false"), 2)
+    tower(g.df.where("d0 >= 5"), 3)
+    tower.vacuum(spark)
+    assert tower._versions(spark) == [(4, 3)]
+    same(table(tower.result(spark)), table(reduce_stats(g, [2, 4], STATS).to_dataframe()))
+
+
 def test_an_update_that_failed_is_done_again(spark, tmp_path):
     x = np.random.default_rng(3).normal(size=(32, 16))
     g = Grid.from_numpy(spark, x)
