@@ -11,6 +11,7 @@ from math import prod
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .grid import Grid
 
@@ -51,8 +52,8 @@ def write_tiled(grid: Grid, path: str, tile: int | Sequence[int]) -> None:
     """Stores a grid as Parquet, a folder for each tile, written along the curve."""
     tile = (tile,) * len(grid.dims) if isinstance(tile, int) else tuple(tile)
     spark = grid.df.sparkSession
-    about = {"dims": grid.dims, "extent": grid.extent, "values": grid.values, "dense": grid.dense, "tile": tile}
     cells = grid.df.select(*grid.dims, *grid.values).withColumn("tile", _tiles(grid, tile))
+    about = {"dims": grid.dims, "extent": grid.extent, "values": grid.values, "dense": grid.dense, "tile": tile, "schema": cells.schema.jsonValue()}
     cells.repartitionByRange("tile").sortWithinPartitions("tile", *grid.dims).write.mode("overwrite").partitionBy("tile").parquet(f"{path}/cells")
     spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
 
@@ -61,7 +62,7 @@ def read_tiled(spark: SparkSession, path: str, low: Sequence[int] | None = None,
     """The grid, or the box low <= place < high of it (at its own coordinates): only folders of tiles that meet the box are read."""
     about = json.loads(spark.read.parquet(f"{path}/about").first()["about"])
     dims, extent, tile = tuple(about["dims"]), tuple(about["extent"]), about["tile"]
-    cells = spark.read.parquet(f"{path}/cells")
+    cells = spark.read.schema(StructType.fromJson(about["schema"])).parquet(f"{path}/cells")
     if low is not None or high is not None:
         low, high = tuple(low or (0,) * len(dims)), tuple(high or extent)
         if any(a < 0 or b > x or a > b for a, b, x in zip(low, high, extent, strict=True)):

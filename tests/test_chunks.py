@@ -152,6 +152,15 @@ def test_a_box_reads_the_tiles_that_it_meets(spark, tmp_path, monkeypatch, liste
     assert os.path.isdir(f"{tmp_path}/tiled/about")
 
 
+def test_a_tiled_grid_without_cells(spark, tmp_path):
+    grid = Grid.from_numpy(spark, np.ones((16, 16)))
+    path = f"file://{tmp_path}/tiled"
+    write_tiled(Grid(grid.df.where("false"), grid.dims, grid.extent, grid.values), path, 8)
+    for box in ((), ((0, 0), (3, 9))):
+        found = read_tiled(spark, path, *box)
+        assert found.df.count() == 0 and found.df.columns == ["d0", "d1", "v"] and not found.dense
+
+
 def test_scatter_along_the_curve_keeps_blocks_together(spark):
     from pyspark.sql import functions as F
 
