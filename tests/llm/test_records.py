@@ -252,3 +252,44 @@ def test_roles_cannot_forge_turns(spark):
     r = preference.neighbours_paired(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
     assert r.prompt == "<|user_____assistant|>\nhi<|end|>\n" and r.n_prefix == 1
     assert [r.chosen[s.first : s.last] for s in r.chosen_spans] == ["yes<|end|>\n"]
+
+
+@pytest.mark.parametrize("kind", ["near copies", "lengths", "one direction", "unlike the sample"])
+def test_neighbours_misses_none_of_the_nearest(spark, kind):
+    """Rows on which codes tell little: all of the truly nearest are found, in order, for every query."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 16))
+    if kind == "near copies":
+        x = rng.normal(size=(4, 16))[rng.integers(0, 4, 3000)] + rng.normal(size=(3000, 16)) * 1e-4
+    elif kind == "lengths":
+        x *= 10.0 ** rng.uniform(-4, 4, size=(3000, 1))
+    elif kind == "one direction":
+        x = 100 + rng.normal(size=(3000, 16)) * 0.01
+    elif kind == "unlike the sample":
+        x[:2900] = x[0] + x[:2900] * 1e-3
+    x = x.astype(np.float32)
+    df = spark.createDataFrame(zip(range(3000), x.tolist(), strict=True), "vec_id long, embedding array<float>")
+    got = neighbours.search(df, codebooks=8, max_train=256, rerank=40, query_block=70, code_block=1000).orderBy("query_id", "rank").toPandas()
+    exact = x.astype(np.float64)
+    for query, own in got.groupby("query_id"):
+        score = np.zeros(3000)
+        for j in range(16):
+            score += exact[:, j] * exact[query, j]
+        score[query] = -np.inf
+        assert own.vec_id.tolist() == np.lexsort((np.arange(3000), -score))[:20].tolist()
+    assert got.query_id.nunique() == 150
+
+
+def test_neighbours_answers_every_query_however_many_partitions(spark, monkeypatch):
+    """A session may deal keyed rows out to more partitions than were asked for."""
+    from pyspark.sql import DataFrame as Frame
+
+    rows = vectors(7, n=200)
+    df = spark.createDataFrame(rows, VEC)
+    kind = type(df)
+    plain = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *cols: plain(self, max(n, 9) if cols and isinstance(n, int) else n, *cols))
+    assert issubclass(kind, Frame)
+    got = neighbours.search(df, codebooks=4, k=5).toPandas()
+    want = neighbours.brute_force(df.toPandas(), k=5)
+    assert len(got.merge(want, on=["query_id", "rank", "vec_id"])) == len(want) == len(got)
