@@ -207,7 +207,7 @@ def product_moments_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_E}, {_X} {_blocks(10, 8, _r('median(v)') + ' AS value')}")
 def block_median_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(blockwise_stats(embeddings(spark, sf_dir), (10, 8), "median"))
+    return rounded(blockwise_stats(embeddings(spark, sf_dir), (10, 8), "median", strict=False))
 
 
 def _slid(wi: int, wj: int, si: int, sj: int, oi: int, oj: int, columns: str, source: str = "e") -> str:
