@@ -7,7 +7,7 @@ pieces' states are exchanged, and merged by the counts that they hold.  All stat
 medians and users' own are in the kernel, for one field or two.
 
 Windows need cells of the next chunks along each dimension: only the first window - 1 cells of a chunk
-travel, to the chunks before it (round the ends, if periodic).  A field that is stored as a bucketed table is joined with what
+travel, to the chunks before it (round the ends, if periodic, and to one chunk further past a short last one).  A field that is stored as a bucketed table is joined with what
 travels without a shuffle of its own.
 """
 
@@ -136,20 +136,23 @@ class Chunks:
 
         return self.df.mapInArrow(run, self._schema(components))
 
-    def sliding(self, spec: Sliding, stats: Sequence[Statistic] = (Mean(), Var()), periodic: bool = False) -> DataFrame:
+    def sliding(self, spec: Sliding, stats: Sequence[Statistic] = (Mean(), Var()), periodic: bool = False, strict: bool = True) -> DataFrame:
         """Statistics of overlapping windows at their places k; periodic ones wrap round the ends, so one starts at every place.
 
-        A window reaches no further than the next chunk in each dimension."""
+        A window reaches no further than the next chunk in each dimension, or, in a periodic field whose last chunk is shorter,
+        the one after it; ``strict`` takes periodic fields of whole chunks only."""
         components = self._checked(stats)
         window, stride, origin = spec.resolved(self.extent)
         if any(w - 1 > s for w, s in zip(window, self.shape, strict=True)):
             raise ValueError(f"windows of {window} reach over chunks of {self.shape}")
-        if periodic and any(x % s for x, s in zip(self.extent, self.shape, strict=True)):
+        if periodic and strict and any(x % s for x, s in zip(self.extent, self.shape, strict=True)):
             raise ValueError("a periodic field has whole chunks")
         counts = [(x - o - 1) // s + 1 if periodic else (x - w - o) // s + 1 for x, w, s, o in zip(self.extent, window, stride, origin, strict=True)]
         shape, extent, keys, arity, names, dims = self.shape, self.extent, self.keys, self.arity, list(components), self.dims
         n_chunks = [-(-x // s) for x, s in zip(extent, shape, strict=True)]
-        sides = [side for side in product((0, 1), repeat=len(shape)) if any(side) and all(w > 1 or not b for b, w in zip(side, window, strict=True))]
+        # hops along each dimension: none, to the chunk before, and past a short last chunk to the one before that
+        hops = [range(3 if periodic and m > 1 and (x - 1) % s + 1 < w - 1 else 2 if w > 1 else 1) for x, s, m, w in zip(extent, shape, n_chunks, window, strict=True)]
+        sides = [side for side in product(*hops) if any(side)]
 
         def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """What travels: the low cells of a chunk, to the chunk before it along the sides' dimensions."""
@@ -163,8 +166,10 @@ class Chunks:
                     for k, side in enumerate(sides):
                         to = [(c - b) % m if periodic else c - b for c, b, m in zip(chunk, side, n_chunks, strict=True)]
                         if min(to) >= 0:
-                            cut = tuple(slice(0, w - 1) if b else slice(None) for b, w in zip(side, window, strict=True))
-                            out.append((*to, k, *[np.ascontiguousarray(x[cut]).ravel() for x in fields]))
+                            spans = _spans(side, to, shape, extent, window, periodic)
+                            if all(n for _, n in spans):
+                                cut = tuple(slice(0, n) for _, n in spans)
+                                out.append((*to, k, *[np.ascontiguousarray(x[cut]).ravel() for x in fields]))
                 columns = list(zip(*out, strict=True)) or [()] * (len(keys) + 1 + arity)
                 kinds = [pa.int64()] * len(keys) + [pa.int32()] + [pa.list_(pa.float64())] * arity
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=[*keys, "side", *[f"v{k}" for k in range(arity)]])
@@ -186,12 +191,10 @@ class Chunks:
                     for field, x in zip(fields, _fields(np, batch, r, own, arity), strict=True):
                         field[inner] = x
                     for border in batch.column("borders")[r].as_py() or ():
-                        side = sides[border["side"]]
-                        at = tuple(slice(n, m) if b else slice(0, n) for b, n, m in zip(side, own, wide, strict=True))
+                        spans = _spans(sides[border["side"]], chunk, shape, extent, window, periodic)
+                        at = tuple(slice(first, first + n) for first, n in spans)
                         for k, field in enumerate(fields):
-                            size = field[at].shape
-                            given = np.array(border[f"v{k}"]).reshape(_border_shape(side, own, window, chunk, shape, extent, periodic))
-                            field[at] = given[tuple(slice(0, m) for m in size)]
+                            field[at] = np.array(border[f"v{k}"]).reshape([n for _, n in spans])
                     made = _windows(np, fields, [c * s for c, s in zip(chunk, shape, strict=True)], own, window, stride, origin, counts, names)
                     if made is not None:
                         yield _batch(np, 0, dims, *made, names)
@@ -204,12 +207,13 @@ def _box(chunk: Sequence[int], shape: Factor, extent: Factor) -> Factor:
     return tuple(min(s, x - c * s) for c, s, x in zip(chunk, shape, extent, strict=True))
 
 
-def _border_shape(side: Sequence[int], own: Factor, window: Factor, chunk: Sequence[int], shape: Factor, extent: Factor, periodic: bool) -> list[int]:
-    """The shape of what came from the next chunk along the side's dimensions: its low cells, as many as it has."""
+def _spans(side: Sequence[int], chunk: Sequence[int], shape: Factor, extent: Factor, window: Factor, periodic: bool) -> list[tuple[int, int]]:
+    """Where what comes to a chunk from the chunk so many hops on lies behind it, in each dimension: (start, length)."""
     out = []
-    for b, m, w, c, s, x in zip(side, own, window, chunk, shape, extent, strict=True):
-        there = s if periodic else min(s, x - (c + 1) * s)
-        out.append(min(w - 1, there) if b else m)
+    for hop, c, s, x, w in zip(side, chunk, shape, extent, window, strict=True):
+        m = -(-x // s)
+        sizes = [min(s, x - k * s) for k in ((c + h) % m if periodic else c + h for h in range(hop + 1))]
+        out.append((sum(sizes[:hop]), max(min(sizes[hop], w - 1 - sum(sizes[1:hop])), 0) if hop else sizes[0]))
     return out
 
 

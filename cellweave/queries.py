@@ -827,7 +827,7 @@ def chunk_borders_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_E}, {_X}, k AS (SELECT i AS a, j AS b FROM e WHERE i % 25 = 0) SELECT CAST(a // 25 AS BIGINT) AS i, CAST(b AS BIGINT) AS j, {_r('avg(v)')} AS mean FROM k, x JOIN e ON (e.i - a + n) % n < 10 AND (e.j - b + 64) % 64 < 5 GROUP BY a, b")
 def chunk_borders_periodic_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows that wrap round both ends of both dimensions."""
-    return rounded(Chunks.from_grid(embeddings(spark, sf_dir), (50, 16)).sliding(Sliding((10, 5), (25, 1)), [Mean()], periodic=True))
+    return rounded(Chunks.from_grid(embeddings(spark, sf_dir), (50, 16)).sliding(Sliding((10, 5), (25, 1)), [Mean()], periodic=True, strict=False))
 
 
 @_query(f"WITH {_E} SELECT CAST(i // 8 AS BIGINT) AS i, CAST(j // 8 AS BIGINT) AS j, {_MV} FROM e WHERE i >= 96 AND i < 304 AND j >= 16 AND j < 48 GROUP BY ALL")

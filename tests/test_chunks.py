@@ -84,6 +84,20 @@ def test_periodic_windows_and_pairs(spark):
             Chunks.from_grid(Grid.from_numpy(spark, x), 5).sliding(spec, periodic=periodic)
 
 
+@pytest.mark.parametrize(("shape", "chunk", "window"), [((12, 16), 5, 3), ((11, 16), (5, 8), (5, 4)), ((13, 7), (4, 3), (5, 4)), ((6, 9), (5, 4), (6, 5)), ((4, 9), (6, 9), (3, 1)), ((21,), (10,), (10,))])
+def test_periodic_windows_over_a_short_last_chunk(spark, shape, chunk, window):
+    """Windows go over the last chunk into the first, also where it is shorter than they are."""
+    x = np.random.default_rng(8).normal(size=shape)
+    sizes = (window,) * len(shape) if isinstance(window, int) else window
+    wrapped = np.pad(x, [(0, w - 1) for w in sizes], "wrap")
+    want = np.lib.stride_tricks.sliding_window_view(wrapped, sizes).mean(tuple(range(-len(shape), 0)))
+    chunks = Chunks.from_grid(Grid.from_numpy(spark, x), chunk)
+    got = table(chunks.sliding(Sliding(sizes, 1), [Mean()], periodic=True, strict=False), chunks.dims)
+    assert len(got) == x.size and all(np.isclose(v[0], want[k if isinstance(k, tuple) else (k,)]) for k, v in got.items())
+    with pytest.raises(ValueError):
+        Chunks.from_grid(Grid.from_numpy(spark, np.zeros(21)), 10).sliding(Sliding(3, 1), periodic=True)
+
+
 def test_only_borders_are_shuffled(spark, tmp_path):
     """Of a field stored by chunk, what is shuffled is the borders: other cells stay where they are."""
     grid = Grid.from_numpy(spark, np.random.default_rng(6).normal(size=(256, 256)))
