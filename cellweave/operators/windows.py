@@ -70,11 +70,11 @@ def blockwise_stats(grid: Grid, block: Sequence[int], stat: str | Statistic, str
     return rolling_stats(grid, WindowConfig(tuple(block)), stat, strict, skipna)
 
 
-def tiled_stats(grid: Grid, block: Sequence[int], stat: str | Statistic) -> DataFrame:
-    """Partials of tiles: value and the number of cells."""
+def tiled_stats(grid: Grid, block: Sequence[int], stat: str | Statistic, strict: bool = True) -> DataFrame:
+    """Partials of tiles: value and the number of cells; unless ``strict``, cells past the last whole tile are left out."""
     s, n = _of(stat), named("count")
     config = WindowConfig(tuple(block))
-    validate_window_config(grid.extent, config, True)
+    validate_window_config(grid.extent, config, strict)
     state, _ = window_state(grid, config, [s, n] if s.name != "count" else [s])
     out = materialize(state, grid.dims, [s, n] if s.name != "count" else [s])
     return out.select(*grid.dims, F.col(s.name).alias("value"), F.col("count").alias("n"))

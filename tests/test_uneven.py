@@ -5,7 +5,7 @@ import pytest
 
 from cellweave.queries import ORACLES, QUERIES
 
-NAMES = ["block_median_2d", "chunk_borders_periodic_2d"]
+NAMES = ["block_median_2d", "chunk_borders_periodic_2d", "tiled_partials_2d"]
 
 
 @pytest.mark.parametrize("n", [57, 73])
