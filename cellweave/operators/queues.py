@@ -12,13 +12,15 @@ cell before it.
 
 Counts may differ (NaN left out, windows over an end, sparse lines): spreads then go by the binary digits of the counts, as in ``merging``.
 Users' statistics, of which only the merge is known, are doubled instead: windows of 1, 2, 4, ... cells, of which those in the
-binary expansion of the size are put together in order, so that a merge need not commute along a line.  Their merges have to pass over missing states.
+binary expansion of the size are put together in order, so that a merge need not commute along a line; their rounds are made in
+partitions of a bounded number of buckets, however many cells there are.  Their merges have to pass over missing states.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import prod
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ from .merging import PREFIX, state_column
 
 #: Cells of a bucket, at least; it has eight blocks at least, so what comes along is an eighth at most.
 BUCKET_CELLS = 8_192
+#: Cells of a partition of users' states, whose rounds hold them in memory: 16 buckets.
+PARTITION_CELLS = 131_072
 
 
 def bucket_length(window: int) -> int:
@@ -54,13 +58,14 @@ def queued_windows(grid: Grid, counts: Sequence[int], sizes: Sequence[int], stri
         if not own:
             continue
         rows, most = cells, 0  # most: cells of a row, 0 while rows are cells
+        total = 0 if own is library else prod(grid.extent) if grid.dense else cells.count()
         for d, n, w, s, first in zip(grid.dims, counts, sizes, strides, firsts, strict=True):
             if w == 1:
                 rows = _started(rows, d, n, s, first)
             elif own is library:
                 rows = _queued(rows, grid.dims, d, n, w, s, first, own, None if most else lifted, 0 if even else most.bit_length())
             else:
-                rows = _doubled(rows, grid.dims, d, n, w, s, first, own, None if most else lifted)
+                rows = _doubled(rows, grid.dims, d, n, w, s, first, own, None if most else lifted, total)
             most = max(most, 1) * w if w > 1 else most
         if not most:
             rows = rows.groupBy(*grid.dims).agg(*[c.lift(lifted).alias(PREFIX + name) for name, c in own.items()])
@@ -74,8 +79,10 @@ def _started(rows: DataFrame, d: str, n: int, s: int, first: int) -> DataFrame:
     return rows.where((at >= 0) & (at % s == 0) & (at < n * s)).withColumn(d, F.expr(f"(`{d}` - {first}) div {s}"))
 
 
-def _bucketed(rows: DataFrame, dims: Sequence[str], d: str, n: int, w: int, s: int, first: int) -> tuple[DataFrame, list[str]]:
-    """Cells that windows hold, at their distance from the first window's start, beside the next bucket's first block."""
+def _bucketed(rows: DataFrame, dims: Sequence[str], d: str, n: int, w: int, s: int, first: int, total: int = 0) -> tuple[DataFrame, list[str]]:
+    """Cells that windows hold, at their distance from the first window's start, beside the next bucket's first block.
+
+    ``total``: the number of all cells, by which partitions are bounded; 0 where their size is Spark's affair."""
     size = bucket_length(w)
     at = F.col(d) - first
     rows = rows.where((at >= 0) & (at < (n - 1) * s + w)).withColumn("__e", at)
@@ -83,6 +90,9 @@ def _bucketed(rows: DataFrame, dims: Sequence[str], d: str, n: int, w: int, s: i
     along = (F.col("__e") % size < w) & (bucket > 0)
     rows = rows.withColumn("__bucket", F.explode(F.when(along, F.array(bucket, bucket - 1)).otherwise(F.array(bucket))))
     others = [o for o in dims if o != d]
+    parts = -(-total // PARTITION_CELLS)
+    if parts > 1:  # a number given is not made smaller by adaptive execution
+        return rows.repartition(max(parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *others, "__bucket"), others
     return rows.repartition(*others, "__bucket"), others
 
 
@@ -171,10 +181,10 @@ def _weighted(components: dict[str, Component], side: str, frame, digits: int) -
     return parts, mean, spread
 
 
-def _doubled(rows: DataFrame, dims: Sequence[str], d: str, n: int, w: int, s: int, first: int, components: dict[str, Component], values: Sequence[Column] | None) -> DataFrame:
+def _doubled(rows: DataFrame, dims: Sequence[str], d: str, n: int, w: int, s: int, first: int, components: dict[str, Component], values: Sequence[Column] | None, total: int) -> DataFrame:
     """One axis, for users' states.  A round doubles the windows that begin at each place, and puts
     the doubled one behind what is together so far where the size has that binary digit."""
-    rows, others = _bucketed(rows, dims, d, n, w, s, first)
+    rows, others = _bucketed(rows, dims, d, n, w, s, first, total)
     keys, size = [*others, "__bucket", "__e"], bucket_length(w)
     lifted = {f"__t_{c}": x.lift(values) if values is not None else F.first(PREFIX + c) for c, x in components.items()}
     rows = rows.groupBy(*keys).agg(*[e.alias(c) for c, e in lifted.items()], F.lit(True).alias("__t"))

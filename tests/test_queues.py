@@ -133,3 +133,17 @@ def test_folding_has_one_shuffle(spark):
     fine = base_reduce(g, (1, 1), [log_sum_exp()])
     plan = coarsen(fine, g.dims, (48, 30), (12, 10), [log_sum_exp()])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "collect_list" in plan  # of cells into states, and of states into blocks
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_partitions_of_users_states_are_bounded(spark, monkeypatch, dense):
+    """What a task of the doubling rounds holds doesn't grow with the line: partitions are as many as its cells need."""
+    monkeypatch.setattr(queues, "PARTITION_CELLS", 64, raising=False)
+    x = np.random.default_rng(9).normal(size=1500)
+    g = Grid.from_numpy(spark, x, dense=dense)
+    stats = [total_variation()]
+    got = placed_windows(g, (1494,), (7,), (1,), (0,), stats, executor="queues")
+    assert got.rdd.getNumPartitions() >= 1500 // 64
+    values = {k: v for k, (v,) in table(got, g.dims, stats).items()}
+    want = {(k,): np.abs(np.diff(x[k : k + 7])).sum() for k in range(1494)}
+    assert values.keys() == want.keys() and all(np.isclose(values[k], want[k]) for k in want)
